@@ -23,8 +23,8 @@ from cuewright.llm.common import TOKENIZERS, Memo, chunks, own_name, per_worker,
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, token_entropy double"
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
-#: Deviations allowed, and the least half-width of a band: a share of the median, and an absolute one.
-WIDTH, LEAST_SHARE, LEAST = 10.0, {"chars_per_token": 0.25, "byte_share": 0.0, "token_entropy": 0.25}, {"chars_per_token": 0.2, "byte_share": 0.15, "token_entropy": 0.5}
+#: Deviations allowed below and above the median, and the least half-width of a band: a share of the median, or so much.
+LOW, HIGH, LEAST_SHARE, LEAST = 4.5, 10.0, 0.125, {"chars_per_token": 0.0, "byte_share": 0.15, "token_entropy": 0.8}
 _workers: dict = {}
 
 
@@ -92,13 +92,13 @@ def bands(measured: DataFrame, s: str, lang: str, least: int = 20) -> DataFrame:
     the rows of measured that pass the base rule. Partial sums only cross the shuffle."""
     good = measured.where(~base_failed(s)).select(F.col(lang).alias("lang"), *(F.col(f"{s}.{m}").alias(m) for m in MEASURES))
     kinds = good.withColumn("every", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("lang", F.when(~F.col("every"), F.col("lang")))
-    mid = kinds.groupBy("every", "lang").agg(F.count("*").alias("n"), *(F.percentile_approx(m, [0.1, 0.25, 0.5, 0.75, 0.9], 10_000).alias(m) for m in MEASURES))
+    mid = kinds.groupBy("every", "lang").agg(F.count("*").alias("n"), *(F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in MEASURES))
     ends = []
     for m in MEASURES:
         q = F.col(m)
         # Half the distance between the quartiles is the median absolute deviation of a symmetric spread.
-        wide = F.greatest(WIDTH * (q[3] - q[1]) / 2, LEAST_SHARE[m] * q[2], F.lit(LEAST[m]))
-        ends += [(q[2] - wide).alias(f"{m}_low"), (q[2] + wide).alias(f"{m}_high")]
+        wide = lambda times: F.greatest(times * (q[2] - q[0]) / 2, LEAST_SHARE * q[1], F.lit(LEAST[m]))  # noqa: B023, E731
+        ends += [(q[1] - wide(LOW)).alias(f"{m}_low"), (q[1] + wide(HIGH)).alias(f"{m}_high")]
     return mid.where(F.col("every") | (F.col("n") >= least)).select("every", "lang", *ends)
 
 
