@@ -1,5 +1,475 @@
-"""The registered queries of the timed-text operators: (spark, sf_dir) -> DataFrame."""
+"""The registered queries of the timed-text operators: (spark, sf_dir) -> DataFrame, over whole tables."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cuewright.functions import metrics as m
+from cuewright.functions import timecode as t
+from cuewright.operators import convert as c
+from cuewright.operators import render, report, retime, rules
+from cuewright.plans import derived as d
+from cuewright.sources import ass, io, srt, vtt
+from cuewright.sources.decode import bad_sequences, bom, decoded, healthy, line_kinds
+from cuewright.sources.detect import detect_format, forced_format
+
+LONG = "bigint"
+PAL, NTSC = (25, 1), (24000, 1001)
+CORE = ["doc_id", "seq", "cue_no", "start_ms", "end_ms", "text"]
 QUERIES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def findings(spark, sf_dir, **more) -> DataFrame:
+    return rules.check(d.cues(spark, sf_dir), **more)
+
+
+def report_of(spark, sf_dir) -> DataFrame:
+    cues, docs = d.cues(spark, sf_dir), d.documents(spark, sf_dir)
+    errors = spark.createDataFrame([], "doc_id bigint, format string, line int, message string")
+    return report.check_report(docs, cues, d.styles(spark, sf_dir), rules.check(cues), errors)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+# Sources and sinks
+
+
+@query
+def read_files(spark, sf_dir):
+    """Files are written, read back as bytes, decoded, detected and parsed."""
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    io.write_text_files(d.raw_srt(spark, sf_dir), path)
+    files = io.read_files(spark, path).withColumn("doc_id", F.regexp_extract("path", r"doc_id=([0-9]+)", 1).cast(LONG))
+    own = srt.parse(files.where("format = 'srt'"))[0].groupBy("doc_id").agg(F.count("*").alias("n_cues"))
+    return files.select("doc_id", "format", "encoding.encoding", F.length("text").cast(LONG).alias("n_chars")).join(own, "doc_id", "left")
+
+
+def mixed_raw(spark, sf_dir) -> DataFrame:
+    """doc_id, text: SRT, VTT, ASS renderings and plain texts, by doc_id."""
+    own = [(d.raw_srt, 0), (d.raw_ass, 1), (d.raw_vtt, 2)]
+    out = d.read(spark, sf_dir, "documents").select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), "text")
+    for f, k in own:
+        out = out.unionByName(f(spark, sf_dir).where(F.col("doc_id") % 3 == k))
+    return out
+
+
+@query
+def detect_format_(spark, sf_dir):
+    return mixed_raw(spark, sf_dir).select("doc_id", detect_format().alias("format"))
+
+
+@query
+def force_format(spark, sf_dir):
+    forced = F.when(F.col("doc_id") % 5 == 0, "vtt")
+    return mixed_raw(spark, sf_dir).select("doc_id", forced_format(forced).alias("format"))
+
+
+@query
+def parse_srt(spark, sf_dir):
+    return srt.parse(d.raw_srt(spark, sf_dir))[0].select(*CORE)
+
+
+@query
+def parse_vtt(spark, sf_dir):
+    return vtt.parse(d.raw_vtt(spark, sf_dir))[0].select(*CORE)
+
+
+@query
+def parse_ass_events(spark, sf_dir):
+    return ass.parse(d.raw_ass(spark, sf_dir))[0]
+
+
+@query
+def parse_ass_styles(spark, sf_dir):
+    rows = ass.parse(d.raw_ass(spark, sf_dir))[1]
+    return rows.select("doc_id", "style_pos", "name", F.size("fields").cast(LONG).alias("n_fields"), m.field("fields", "fontsize").alias("fontsize"))
+
+
+@query
+def parse_headers(spark, sf_dir):
+    own = vtt.parse(d.raw_vtt(spark, sf_dir))[1].withColumn("source", F.lit("vtt"))
+    return own.unionByName(ass.parse(d.raw_ass(spark, sf_dir))[2].withColumn("source", F.lit("ass")))
+
+
+@query
+def syntax_errors(spark, sf_dir):
+    """Plain texts read as each of the formats."""
+    raw = d.read(spark, sf_dir, "documents").select("doc_id", "text")
+    return srt.parse(raw)[1].unionByName(vtt.parse(raw)[2]).unionByName(ass.parse(raw)[3])
+
+
+@query
+def render_srt(spark, sf_dir):
+    return d.raw_srt(spark, sf_dir)
+
+
+@query
+def render_vtt(spark, sf_dir):
+    return d.raw_vtt(spark, sf_dir)
+
+
+@query
+def render_ass(spark, sf_dir):
+    return d.raw_ass(spark, sf_dir)
+
+
+@query
+def write_documents(spark, sf_dir):
+    path = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    io.write_documents(d.raw_vtt(spark, sf_dir), path)
+    return spark.read.parquet(path).select("doc_id", F.length("text").cast(LONG).alias("n_chars"))
+
+
+@query
+def write_reports(spark, sf_dir):
+    path = f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}"
+    io.write_reports(report.report_summary(report_of(spark, sf_dir)), path)
+    return spark.read.schema("doc_id bigint, n_cues bigint, n_lines bigint, duration string, n_findings bigint, n_critical bigint").json(path)
+
+
+@query
+def read_profile(spark, sf_dir):
+    """Each profile as JSON text without its missing fields, read back with defaults."""
+    own = d.profiles(spark, sf_dir)
+    text = F.to_json(F.struct(*(x for x in own.columns if x != "doc_id")))
+    return own.select("doc_id", io.parse_profile(text).alias("p")).select("doc_id", "p.*")
+
+
+# Encodings
+
+
+@query
+def bom_sniff(spark, sf_dir):
+    mark, length, note = bom("content")
+    return d.files(spark, sf_dir).select("doc_id", mark.alias("encoding"), length.cast(LONG).alias("mark_bytes"), note.alias("note"))
+
+
+@query
+def decode_text(spark, sf_dir):
+    return decoded(d.files(spark, sf_dir)).select("doc_id", F.length("text").cast(LONG).alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def bad_sequences_(spark, sf_dir):
+    return d.files(spark, sf_dir).select("doc_id", bad_sequences(F.col("content")).alias("bad_seq"))
+
+
+@query
+def mixed_encoding(spark, sf_dir):
+    good, other = line_kinds(F.col("content"))
+    return d.files(spark, sf_dir).select("doc_id", good.alias("utf8_lines"), other.alias("single_byte_lines"), ((good > 0) & (other > 0)).alias("mixed"))
+
+
+@query
+def encoding_report(spark, sf_dir):
+    rows = decoded(d.files(spark, sf_dir)).select("doc_id", "encoding.*", healthy().alias("healthy"))
+    return rows.withColumn("notes", F.size("notes").cast(LONG))
+
+
+# Scalars
+
+
+@query
+def parse_timestamp(spark, sf_dir):
+    times = {"srt_ms": t.format_srt_time, "ass_ms": t.format_ass_time, "vtt_ms": t.format_vtt_time}
+    return d.cues(spark, sf_dir).select("doc_id", "seq", *(t.parse_timestamp(f("start_ms")).alias(k) for k, f in times.items()))
+
+
+@query
+def format_srt_time(spark, sf_dir):
+    return d.cues_docs(spark, sf_dir).select("doc_id", "seq", t.format_srt_time("start_ms").alias("shown"))
+
+
+@query
+def format_ass_time(spark, sf_dir):
+    return d.cues_docs(spark, sf_dir).select("doc_id", "seq", t.format_ass_time("start_ms").alias("shown"))
+
+
+@query
+def format_vtt_time(spark, sf_dir):
+    return d.cues_docs(spark, sf_dir).select("doc_id", "seq", t.format_vtt_time("start_ms").alias("shown"))
+
+
+@query
+def duration_text(spark, sf_dir):
+    return d.cues_docs(spark, sf_dir).groupBy("doc_id").agg(t.duration_text(F.max("end_ms")).alias("duration"))
+
+
+@query
+def cue_metrics(spark, sf_dir):
+    return d.cues(spark, sf_dir).select("doc_id", "seq", m.duration().alias("duration_ms"), m.characters().alias("n_chars"), m.line_count().alias("n_lines"), m.longest_line().alias("longest_line"), m.timing_valid().alias("valid"))
+
+
+@query
+def reading_speed(spark, sf_dir):
+    return d.cues(spark, sf_dir).select("doc_id", "seq", m.reading_speed().alias("speed"))
+
+
+@query
+def required_duration(spark, sf_dir):
+    return d.cues(spark, sf_dir).select("doc_id", "seq", m.required_ms(F.lit(1000).cast(LONG), F.lit(6.0)).alias("required_ms"))
+
+
+@query
+def fps_fraction(spark, sf_dir):
+    """Rates from the documents' ids: tenths, and NTSC rates."""
+    rate = F.when(F.col("doc_id") % 4 == 0, F.lit(23.976)).when(F.col("doc_id") % 4 == 1, F.lit(29.97)).otherwise((F.col("doc_id") % 1200) / F.lit(10.0))
+    num, den = t.fps_columns(rate)
+    return d.doc_ids(spark, sf_dir).select("doc_id", num.alias("num"), den.alias("den"))
+
+
+@query
+def frame_number(spark, sf_dir):
+    return d.cues(spark, sf_dir).select("doc_id", "seq", t.frame_number("start_ms", *NTSC).alias("frame"))
+
+
+@query
+def frame_to_ms(spark, sf_dir):
+    return d.cues(spark, sf_dir).select("doc_id", "seq", t.frame_to_ms("cue_no", *NTSC).alias("ms"))
+
+
+@query
+def snap_to_frame(spark, sf_dir):
+    return d.cues(spark, sf_dir).select("doc_id", "seq", t.snap_to_frame("start_ms", *NTSC).alias("ntsc_ms"), t.snap_to_frame("end_ms", *PAL).alias("pal_ms"))
+
+
+@query
+def format_name(spark, sf_dir):
+    alias = F.element_at(F.array(*map(F.lit, ("SubRip", " ssa", "WebVTT", "srt", "txt", "ASS"))), (F.col("turn") % 6 + 1).cast("int"))
+    return d.read(spark, sf_dir, "conversations").select("conv_id", "turn", m.format_name(alias).alias("format"))
+
+
+@query
+def event_kind(spark, sf_dir):
+    tag = F.when(F.col("event_kind") == "comment", F.when(F.col("seq") % 2 == 0, "COMMENT ").otherwise("Comment")).otherwise("Picture")
+    own = m.event_kind(tag)
+    return d.cues(spark, sf_dir).select("doc_id", "seq", own.alias("kind"), m.event_tag(own).alias("tag"))
+
+
+@query
+def style_field(spark, sf_dir):
+    changed = m.with_field("fields", "FONTSIZE", "20")
+    return d.styles(spark, sf_dir).select("doc_id", "name", m.field("fields", "fontname").alias("font"), m.field("fields", "none").alias("none"), F.get(F.filter(changed, lambda f: m.fold(f["name"]) == "fontsize"), F.lit(0))["value"].alias("size"), F.size(m.with_field("fields", "Bold", "1")).cast(LONG).alias("n_fields"))
+
+
+@query
+def script_type(spark, sf_dir):
+    return d.documents(spark, sf_dir).select("doc_id", ass.script_type("headers").alias("script_type"))
+
+
+# Rules
+
+
+def rule(k: int, name: str, where: str = "true"):
+    def run(spark, sf_dir):
+        return findings(spark, sf_dir).where(F.col("rule") == rules.RULES[k]).where(where).select("doc_id", "severity", "cue_no", "related_cue_no", "line", "measured", "threshold", "message")
+
+    QUERIES[name] = run
+
+
+for _k, _name, _where in ((0, "rule_reading_speed", "true"), (1, "rule_min_duration", "true"), (2, "rule_line_length", "line > 0"), (2, "rule_line_count", "line = 0"), (3, "rule_overlap", "true"), (4, "rule_negative_or_zero", "threshold <> 'baslangic artan sirada'"), (4, "rule_order", "threshold = 'baslangic artan sirada'")):
+    rule(_k, _name, _where)
+
+
+@query
+def rule_encoding(spark, sf_dir):
+    rows = decoded(d.files(spark, sf_dir)).select("doc_id", F.explode(rules.encoding_findings()).alias("f")).select("doc_id", "f.*")
+    return rows.select("doc_id", "severity", "measured", "threshold", "message")
+
+
+# Joins
+
+
+@query
+def undefined_styles(spark, sf_dir):
+    rows = report.undefined_styles(d.cues(spark, sf_dir), d.styles(spark, sf_dir))
+    return rows.select("doc_id", F.array_join("styles", ",").alias("styles"))
+
+
+@query
+def check_with_profile(spark, sf_dir):
+    rows = findings(spark, sf_dir, profiles=d.profiles(spark, sf_dir))
+    return rows.groupBy("doc_id", "rule").agg(F.count("*").alias("n"), F.min("threshold").alias("threshold"))
+
+
+@query
+def shift_by_table(spark, sf_dir):
+    control = d.doc_ids(spark, sf_dir).where("doc_id % 3 = 0").select("doc_id", (F.col("doc_id") * 37 % 5000 - 2500).alias("shift_ms"))
+    return retime.shift_by_table(d.cues(spark, sf_dir), control).select("doc_id", "seq", "start_ms", "end_ms")
+
+
+# Aggregations
+
+
+@query
+def doc_stats(spark, sf_dir):
+    return report.doc_stats(d.documents(spark, sf_dir), d.cues(spark, sf_dir))
+
+
+@query
+def rule_summary(spark, sf_dir):
+    return report.rule_summary(d.doc_ids(spark, sf_dir), findings(spark, sf_dir))
+
+
+@query
+def check_report(spark, sf_dir):
+    rows = report_of(spark, sf_dir)
+    shown = F.array_join(F.transform("findings", lambda f: F.concat_ws("|", F.coalesce(f["cue_no"], F.lit(0)), f["line"], f["rule"])), ";")
+    return rows.select("doc_id", "n_cues", "n_lines", "last_end_ms", "n_findings", "n_critical", "n_syntax", F.array_join("styles", ",").alias("styles"), shown.alias("findings"))
+
+
+@query
+def report_summary(spark, sf_dir):
+    return report.report_summary(report_of(spark, sf_dir))
+
+
+@query
+def quality_gate(spark, sf_dir):
+    return report.quality_gate(report_of(spark, sf_dir))
+
+
+@query
+def longest_cue(spark, sf_dir):
+    return report.longest_cue(d.cues(spark, sf_dir)).select("doc_id", "cue_no", "n_chars")
+
+
+# Retiming
+
+
+@query
+def shift_amount(spark, sf_dir):
+    """Seconds to whole milliseconds, as a control table gives them."""
+    seconds = (F.col("doc_id") % 4001 - 2000) / F.lit(16.0)
+    return d.doc_ids(spark, sf_dir).select("doc_id", retime.round_away(seconds * F.lit(1000.0)).alias("shift_ms"))
+
+
+@query
+def shift_ms(spark, sf_dir):
+    return retime.shift_ms(d.cues(spark, sf_dir), -1400).select("doc_id", "seq", "start_ms", "end_ms")
+
+
+@query
+def shift_report(spark, sf_dir):
+    return retime.shift_report(d.cues(spark, sf_dir), -1400)
+
+
+@query
+def shift_percent(spark, sf_dir):
+    return retime.shift_percent(d.cues(spark, sf_dir), -10.0).select("doc_id", "seq", "start_ms", "end_ms")
+
+
+@query
+def normalize_snap(spark, sf_dir):
+    return retime.snapped(d.cues(spark, sf_dir), NTSC).select("doc_id", "seq", "start_ms", "end_ms", "snapped")
+
+
+@query
+def normalize_sort(spark, sf_dir):
+    return retime.by_start(d.cues(spark, sf_dir)).select("doc_id", "seq", "cue_no", "moved")
+
+
+@query
+def normalize_renumber(spark, sf_dir):
+    odd = d.cues(spark, sf_dir).withColumn("cue_no", F.col("cue_no") + F.col("doc_id") % 2)
+    return retime.renumbered(odd).select("doc_id", "seq", "cue_no", "numbered")
+
+
+@query
+def normalize_min_frame(spark, sf_dir):
+    return retime.at_least_a_frame(d.cues(spark, sf_dir), PAL).select("doc_id", "seq", "start_ms", "end_ms")
+
+
+@query
+def normalize(spark, sf_dir):
+    return retime.normalize_report(retime.normalize(d.cues(spark, sf_dir), PAL))
+
+
+@query
+def overlap_pairs(spark, sf_dir):
+    return retime.overlap_pairs(d.cues_docs(spark, sf_dir))
+
+
+# Conversion
+
+
+def losses(target: str):
+    def run(spark, sf_dir):
+        return c.loss_report(d.documents(spark, sf_dir), d.cues(spark, sf_dir), d.styles(spark, sf_dir), target)
+
+    return run
+
+
+@query
+def loss_report(spark, sf_dir):
+    out = None
+    for target in ("srt", "vtt", "ass"):
+        own = losses(target)(spark, sf_dir).withColumn("target", F.lit(target))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query
+def convert(spark, sf_dir):
+    cues = c.convert_cues(d.cues(spark, sf_dir), "ass").groupBy("doc_id").agg(F.count("*").alias("n_cues"), F.count_if(F.col("style") == "Default").alias("n_default"))
+    own = c.convert_documents(d.documents(spark, sf_dir), "ass")
+    return own.join(cues, "doc_id").select("doc_id", "format", F.size("style_format").cast(LONG).alias("n_style_fields"), F.size("event_format").cast(LONG).alias("n_event_fields"), "n_cues", "n_default")
+
+
+@query
+def default_script_info(spark, sf_dir):
+    info = F.explode(c.script_info(F.col("format"))).alias("h")
+    return d.documents(spark, sf_dir).select("doc_id", info).select("doc_id", "h.*")
+
+
+@query
+def roundtrip(spark, sf_dir):
+    """SRT, ASS, VTT and SRT again: texts stay, times within 10 ms."""
+    docs = d.documents(spark, sf_dir)
+    first = srt.parse(render.render_srt(d.one_line(d.cues(spark, sf_dir))))[0]
+    second = ass.parse(render.render_ass(c.convert_cues(first, "ass"), docs))[0]
+    third = vtt.parse(render.render_vtt(second))[0]
+    return srt.parse(render.render_srt(third))[0].select(*CORE)
+
+
+# Sorts and set operations
+
+
+@query
+def sorted_cues(spark, sf_dir):
+    w = Window.partitionBy("doc_id").orderBy("start_ms", "seq")
+    return d.cues(spark, sf_dir).select("doc_id", F.row_number().over(w).cast(LONG).alias("place"), "seq", "start_ms")
+
+
+@query
+def check(spark, sf_dir):
+    return findings(spark, sf_dir).groupBy("doc_id", "rule", "severity").agg(F.count("*").alias("n"))
+
+
+@query
+def check_documents(spark, sf_dir):
+    """The rules over the lines of all documents."""
+    return rules.check(d.cues_docs(spark, sf_dir)).groupBy("doc_id", "rule", "severity").agg(F.count("*").alias("n"))
+
+
+@query
+def normalize_documents(spark, sf_dir):
+    return retime.normalize_report(retime.normalize(d.cues_docs(spark, sf_dir), PAL))
+
+
+@query
+def ordered_findings(spark, sf_dir):
+    return rules.ordered(findings(spark, sf_dir)).select("doc_id", "rank", "rule", "cue_no", "line")
+
+
+for _name in ("detect_format_", "bad_sequences_"):
+    QUERIES[_name.rstrip("_")] = QUERIES.pop(_name)
