@@ -26,8 +26,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         after = linked.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(linked.select(F.col("m").alias("a"), "b")).where("a < b").distinct()
         after = written(after, "links")
         # A forest of stars: no node is both a centre and a leaf, and no leaf has two centres.
-        leaf = after.groupBy("b").agg(F.count("*").alias("n"))
-        if after.select(F.col("a").alias("b")).distinct().join(leaf, "b", "left_semi").isEmpty() and leaf.where("n > 1").isEmpty():
+        ends = after.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.lit(0).alias("leaf")), F.struct(F.col("b").alias("n"), F.lit(1).alias("leaf")))).alias("e")).select("e.*")
+        if ends.groupBy("n").agg(F.min("leaf").alias("centre"), F.sum("leaf").alias("leaf")).where("leaf > 1 or (centre = 0 and leaf > 0)").isEmpty():
             return after.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(after.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
         now = after
     raise RuntimeError(f"components didn't settle in {most_rounds} rounds")

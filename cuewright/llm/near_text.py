@@ -6,7 +6,7 @@ BANDS bands of ROWS minima give bucket keys, and only the low BITS bits of each
 bits. Classes that share a bucket are candidates; bit counts of the planes estimate their similarity, corrected for
 chance collisions of BITS bits, and candidates far below the threshold go. The rest is confirmed on full sets.
 
-Groups of any size: only what joins components matters, so a bucket's pairs aren't all listed. Some rounds compare
+Groups of any size: a text of whose shingles too many occur in no other candidate can't link and is shed. Only what joins components matters, so a bucket's pairs aren't all listed. Some rounds compare
 each bucket's classes with one pivot, unless they are known to be connected. Then what is left, classes of a bucket
 outside its largest component, is compared with every class there of another component, so no link between components
 is lost: exact, and linear where a group is one component.
@@ -29,7 +29,7 @@ from cuewright.llm.common import own_name, table, written
 from cuewright.llm.components import components
 from cuewright.llm.words import shingle_sets, slices
 
-BANDS, ROWS, BITS, PIVOT_ROUNDS = 24, 4, 2, 3
+BANDS, ROWS, BITS, PIVOT_ROUNDS = 24, 4, 2, 2
 HASHES = BANDS * ROWS
 PLANES = BITS * (-(-HASHES // 64))
 MULTIPLY, ADD = (np.random.default_rng(7).integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) for _ in range(2))
@@ -137,44 +137,74 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def linkable(sets: DataFrame, percent: int) -> DataFrame:
+    """node, size, free of the sets that may link at all. free is the number of shingles that some other of these sets
+    has too: the others can't be shared, so a set with too few of them has no partner. Exact."""
+
+    def run(batches):
+        for batch in batches:
+            own = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), [len(x) for x in own])), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64))], names=["node", "x"])
+
+    one = sets.mapInArrow(run, "node long, x long").groupBy("x").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    alone = one.groupBy("node").agg(F.count("*").alias("alone"))
+    out = sets.select("node", (F.length("shingles") / 8).cast("int").alias("size")).join(alone, "node", "left")
+    out = out.select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).cast("int").alias("free"))
+    return out.where(100 * F.col("free") >= percent * F.col("size"))
+
+
+def shared_only(rows: DataFrame) -> DataFrame:
+    """rows (bucket, node) of buckets with two nodes or more."""
+    shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
+    return rows.join(shared, "bucket", "left_semi")
+
+
+def hopeful(rows: DataFrame, percent: int) -> DataFrame:
+    """rows (bucket, node, size, free) without those that can't link with any set of their bucket: the partner has at
+    least the bucket's smallest size, and shares at most what is free. Sheds the members of groups of texts that are alike
+    but not enough, in one pass over the bucket."""
+    least = rows.groupBy("bucket").agg(F.min("size").alias("least"))
+    bound = F.col("size") + F.greatest("least", "free") - F.col("free")
+    return rows.join(least, "bucket").where(100 * F.col("free") >= percent * bound).drop("least")
+
+
+def may_link(a: str, b: str, percent: int) -> Column:
+    """Whether two sets' sizes and free shingles allow the similarity."""
+    both = F.least(f"{a}free", f"{b}free")
+    return 100 * both >= percent * (F.col(f"{a}size") + F.col(f"{b}size") - both)
+
+
+def candidates(rows: DataFrame, roots: DataFrame | None, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and may link. Up to PIVOT_ROUNDS only pairs with a bucket's
+    k-th pivot; after that, all pairs of which one is outside the bucket's largest component."""
+    at = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if k < PIVOT_ROUNDS:
+        pivot = F.min_by(F.struct("node", "root", "size", "free"), F.xxhash64("node", F.lit(k)) if k else F.struct(-F.col("free") / F.col("size"), "node")).alias("pivot")
+        still = at.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), pivot).where("low < high")
+        pairs = at.join(still.select("bucket", F.col("pivot.node").alias("x"), F.col("pivot.root").alias("x_root"), F.col("pivot.size").alias("x_size"), F.col("pivot.free").alias("x_free")), "bucket")
+    else:
+        largest = at.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+        outside = at.join(largest, "bucket").where("root <> main").select("bucket", F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("size").alias("x_size"), F.col("free").alias("x_free"))
+        pairs = outside.join(at, "bucket")
+    return pairs.where((F.col("root") != F.col("x_root")) & may_link("", "x_", percent)).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+
+
 def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
     signed = written(signatures(docs), "signatures")
     one = F.min_by(F.struct("doc_id", "text_hash", "buckets", "planes"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
     classes = signed.where("key is not null").groupBy("key").agg(one.alias("one")).select("key", "one.*")
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    rows = classes.select("node", F.explode("buckets").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
-    rows = written(rows.join(shared, "bucket"), "buckets")
-    nodes = rows.select("node").distinct()
-    planes = classes.select("node", "planes")
-    # Candidates of the first round: each class with the first of its bucket.
-    roots, tried, links, sets = None, None, None, None
+    rows = written(shared_only(classes.select("node", F.explode("buckets").alias("bucket"))), "buckets")
+    sets = written(full_sets(docs, classes.join(rows.select("node").distinct(), "node", "left_semi")), "sets")
+    rows = written(shared_only(hopeful(rows.join(linkable(sets, percent), "node"), percent)), "buckets")
+    planes, roots = classes.select("node", "planes"), None
     for k in range(PIVOT_ROUNDS + 1):
-        at = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_buckets = at.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(k)) if k else F.col("node")).alias("pivot")).where("low < high")
-        if k < PIVOT_ROUNDS:
-            with_pivot = at.join(open_buckets.select("bucket", F.col("pivot.node").alias("p"), F.col("pivot.root").alias("p_root")), "bucket")
-            pairs = with_pivot.where("root <> p_root").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
-        else:
-            still = written(at.join(open_buckets.select("bucket"), "bucket", "left_semi"), "open")
-            largest = still.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-            outside = still.join(largest, "bucket").where("root <> main").select("bucket", F.col("node").alias("x"), F.col("root").alias("x_root"))
-            pairs = outside.join(still, "bucket").where("root <> x_root").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = candidates(rows, roots, k, percent)
         pairs = pairs.join(planes.select(F.col("node").alias("a"), F.col("planes").alias("x")), "a").join(planes.select(F.col("node").alias("b"), F.col("planes").alias("y")), "b")
-        pairs = written(pairs.select("a", "b", (estimate("x", "y") >= slack(percent / 100)).alias("near")), "pairs")
-        if sets is None:
-            sets = written(full_sets(docs, classes.join(nodes, "node", "left_semi")), "sets")
-        new = confirmed(pairs.where("near").select("a", "b"), sets, percent)
-        done = pairs.select("a", "b")
-        tried = done if tried is None else tried.unionByName(done)
-        if links is not None:
-            new = new.unionByName(links)
-        roots = written(components(new), "roots")
-        links = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+        new = confirmed(pairs.where(estimate("x", "y") >= slack(percent / 100)).select("a", "b"), sets, percent)
+        new = new if roots is None else new.unionByName(roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))
+        roots = components(new)
     named = classes.select("key", "node", F.col("doc_id").alias("own")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("own").alias("component_id"))
     named = named.join(names, "root").select(F.col("key").alias("_key"), "component_id", F.col("node").alias("_node"))
@@ -185,13 +215,12 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs without the rows that are near copies of a kept one: a component keeps the text of its smallest doc_id."""
-    one = near_components(docs, percent).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    text_hash = own_name(docs, "text_hash")
+    text_hash, own_id, own_hash = (own_name(docs, c) for c in ("near_hash", "near_kept_id", "near_kept_hash"))
+    one = near_components(docs, percent).where("kept").select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).distinct()
     rows = docs.withColumn(text_hash, F.xxhash64("text"))
-    same = (F.col(text_hash) == F.col("_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    found = rows.join(one, same, "left_semi")
+    same = (F.col(text_hash) == F.col(own_hash)) & F.col("doc_id").cast("long").eqNullSafe(F.col(own_id))
     # Rows that repeat both id and text: one stays.
-    return found.dropDuplicates(["doc_id", text_hash]).select(*docs.columns)
+    return rows.join(one, same, "left_semi").dropDuplicates(["doc_id", text_hash]).select(*docs.columns)
 
 
 def op7_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
