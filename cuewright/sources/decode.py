@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 REPORT = "struct<encoding:string,has_bom:boolean,bad_seq:bigint,fffd:bigint,mixed:boolean,single_byte_lines:bigint,notes:array<string>>"
 
@@ -19,7 +20,7 @@ SINGLE_BYTE = {
 UTF8, UTF8_BOM, LE, BE, SINGLE, MIXED = "utf-8", "utf-8-bom", "utf-16-le", "utf-16-be", "windows-1254", "karisik"
 
 
-@F.pandas_udf("text string, bad bigint")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("bad", T.LongType())]))
 def _utf16(body: pd.Series, big: pd.Series) -> pd.DataFrame:
     """UTF-16 with lone surrogates as U+FFFD, and how many units were bad; Spark's own decoder raises on those."""
     out = []
