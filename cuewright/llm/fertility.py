@@ -105,16 +105,16 @@ def bands(measured: DataFrame, s: str, lang: str, least: int = 20) -> DataFrame:
 def judged(measured: DataFrame, s: str, lang: str, verdict: str) -> DataFrame:
     """measured with a boolean column verdict: inside the band of its language and past the base rule."""
     limits = bands(measured, s, lang)
-    ends = [c for c in limits.columns if c not in ("every", "lang")]
-    own = limits.where(~F.col("every")).select(F.col("lang").alias("_band_lang"), F.struct(*ends).alias("_band_own"))
-    every = limits.where("every").select(F.struct(*ends).alias("_band_all"))
-    # One row and one row a language: Spark checks their size before it chooses to broadcast.
-    out = measured.join(own, F.col(lang).eqNullSafe(F.col("_band_lang")), "left").join(every, F.lit(True), "left")
-    band = F.coalesce("_band_own", "_band_all")
+    ends, own_lang, own_band = [c for c in limits.columns if c not in ("every", "lang")], own_name(measured, "band_lang"), own_name(measured, "band")
+    # The band of all documents is one row of numbers; those of languages are joined, and Spark checks their size.
+    every = limits.where("every").first()
+    own = limits.where(~F.col("every")).select(F.col("lang").alias(own_lang), F.struct(*ends).alias(own_band))
+    out = measured.join(own, F.col(lang).eqNullSafe(F.col(own_lang)), "left")
+    band = {c: F.coalesce(F.col(f"{own_band}.{c}"), F.lit(every[c] if every else None).cast("double")) for c in ends}
     inside = F.lit(True)
     for m in MEASURES:
         inside &= F.col(f"{s}.{m}").between(band[f"{m}_low"], band[f"{m}_high"])
-    return out.withColumn(verdict, ~base_failed(s) & F.coalesce(inside, F.lit(True))).drop("_band_own", "_band_all", "_band_lang")
+    return out.withColumn(verdict, ~base_failed(s) & F.coalesce(inside, F.lit(True))).drop(own_lang, own_band)
 
 
 def keep_good(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
