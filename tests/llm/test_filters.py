@@ -180,15 +180,20 @@ def test_kneser_ney_oddities(clash, labels, odd):
 
 
 def test_kneser_ney_by_hand():
-    """One word's ratio from the formula, on a model of known counts."""
+    """A known and an unknown word's ratios from the formula, on a model of known counts."""
     size = kneser_ney.SLOTS
-    zeros = lambda: np.zeros(size, np.float32)
-    tox, plain, after, before = zeros(), zeros(), [zeros(), zeros()], zeros()
-    tox[5], plain[5], plain[7], before[5], before[7] = 3, 1, 4, 2, 1
-    m = kneser_ney.Model([tox, plain], after, before, [zeros(), zeros()])
-    shared = 3 / (3 + size)
-    want = np.log((2.25 + 0.75 * shared) / 3) - np.log((0.25 + 0.75 * 2 * shared) / 5)
-    assert m.ratios(np.array([5]), np.array([0, 1]))[0] == pytest.approx(want, rel=1e-4)
+    count = lambda *x: np.array(x, float)
+    words = {"id": np.array([5, 7 + size]), "toxic": count(3, 0), "ordinary": count(1, 4), "after": count(0, 2), "before": count(2, 1)}
+    pairs = {"key": np.array([(7 + size + 1 << 31) + 5]), "toxic": count(2), "ordinary": count(0)}
+    m = kneser_ney.Model(words, pairs, {"pairs": 3, "toxic": 3, "ordinary": 5, "toxic_kinds": 1, "ordinary_kinds": 2})
+    shared = lambda n: (n + 1) / (3 + size)
+    tox, plain = (2.25 + 0.75 * shared(2)) / 3, (0.25 + 0.75 * 2 * shared(2)) / 5
+    assert m.ratios(np.array([5]), np.array([0, 1]))[0] == pytest.approx(np.log(tox / plain), rel=1e-4)
+    back = 0.75 * 2 / 4
+    want = np.log((1.25 / (0 + kneser_ney.STEADY) + back * tox) / (back * plain))
+    assert m.ratios(np.array([7 + size, 5]), np.array([0, 2]))[1] == pytest.approx(want, rel=1e-4)
+    rare = np.log((0.75 / 3) / (0.75 * 2 / 5))
+    assert m.ratios(np.array([9]), np.array([0, 1]))[0] == pytest.approx(rare, rel=1e-4)
 
 
 def test_mixing(spark, make):
