@@ -52,7 +52,7 @@ class Memo(dict):
 
     def learn(self, words: set, compute) -> None:
         """compute maps a list of words to their results."""
-        new = list(words.difference(self))
+        new = [w for w in words if w not in self]
         if new:
             self.update(zip(new, compute(new), strict=True))
             self.apart += [w for w in new if len(w) > self.longest]
@@ -65,7 +65,7 @@ class Memo(dict):
         self.apart.clear()
 
 
-def chunks(texts: list, most_chars: int = 4_000_000):
+def chunks(texts: list, most_chars: int = 250_000):
     """(from, to) ranges of texts with about most_chars characters each; a longer text stands alone."""
     at = size = 0
     for i, t in enumerate(texts):

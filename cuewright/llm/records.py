@@ -18,6 +18,7 @@ import posixpath
 import struct
 import uuid
 import zlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -63,8 +64,10 @@ def filesystem(uri: str):
 
 
 class WordCoder:
-    """Encodes with a `tokenizers` vocabulary whose white space only separates: each run of other characters is
-    encoded once by the library and remembered."""
+    """Encodes with a `tokenizers` vocabulary that lower-cases and whose white space only separates: each run of other
+    characters is encoded once by the library and remembered. A run of letters with one full stop or comma after it is
+    two pre-tokens, so its letters are looked up apart. Where neither added tokens nor combining marks can be meant,
+    A-Z are lower-cased before the look-up, as the vocabulary would."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -74,17 +77,51 @@ class WordCoder:
         self.own.no_truncation()
         self.own.no_padding()
         top = self.own.get_vocab_size(with_added_tokens=True)
-        self.dtype = np.dtype("<u2" if top <= 1 << 16 else "<u4")
-        self.memo = Memo()
+        self.dtype, self.code = (np.dtype("<u2"), "H") if top <= 1 << 16 else (np.dtype("<u4"), "I")
+        self.memo = Memo(800_000)
+        self.last = np.zeros(top, bool)
+        self.last[[i for t, i in self.own.get_vocab().items() if t.endswith("</w>")]] = True
+        self.ends = dict(zip((b".", b","), self.library([b".", b","]), strict=True))
 
-    def compute(self, words: list[bytes]) -> list[bytes]:
+    def library(self, words: list[bytes]) -> list[bytes]:
         found = self.own.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
+        return [array(self.code, x.ids).tobytes() for x in found]
+
+    def letters(self, words: list[bytes]) -> list[bytes]:
+        """Words of Latin letters alone are one pre-token each, which ends with the one token that ends a word: many are
+        encoded as one text and told apart by these."""
+        ids = np.array(self.own.encode(b" ".join(words).decode(), add_special_tokens=False).ids, self.dtype)
+        at = np.concatenate([[0], np.flatnonzero(self.last[ids]) + 1]) * self.dtype.itemsize
+        if len(at) != len(words) + 1:
+            return self.library(words)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def compute(self, words: list[bytes]) -> list[bytes]:
+        cores = [w[:-1] if w[-1:] in self.ends and w[-2:-1].isalpha() else w for w in words]
+        new = list({c for c in cores if c not in self.memo})
+        plain = [c for c in new if self.latin(c)]
+        rest = list(set(new).difference(plain))
+        known = dict(zip(rest, self.library(rest), strict=True)) if rest else {}
+        for i in range(0, len(plain), 2000):
+            known.update(zip(plain[i : i + 2000], self.letters(plain[i : i + 2000]), strict=True))
+        get = lambda c: known.get(c) or self.memo.get(c) or b""
+        return [get(c) if c is w else get(c) + self.ends[w[-1:]] for c, w in zip(cores, words, strict=True)]
+
+    @staticmethod
+    def latin(word: bytes) -> bool:
+        """All letters, up to U+024F; without U+0130, whose lower case has a mark."""
+        w = word.decode()
+        return w.isalpha() and max(w) < "\u0250" and "\u0130" not in w
+
+    def words(self, text: str) -> list[bytes]:
+        raw = text.encode()
+        return (raw if b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw else raw.lower()).split()
 
     def encode(self, texts: list[str]):
         """For each text the bytes of its ids."""
-        for a, b in chunks(texts):
-            split = [t.encode().split() for t in texts[a:b]]
+        for a, b in chunks(texts, 100_000):
+            split = [self.words(t) for t in texts[a:b]]
             self.memo.learn(set(chain.from_iterable(split)), self.compute)
             for words in split:
                 yield b"".join(map(self.memo.__getitem__, words))

@@ -162,7 +162,7 @@ class TrieCoder:
     def encode(self, texts: list[str]):
         """For each text its ids (packed), its ids as decimals joined by commas, and the bytes they decode to."""
         memo = self.memo
-        for a, b in chunks(texts):
+        for a, b in chunks(texts, 4_000_000):
             split = []
             for t in texts[a:b]:
                 if any(s in t for s in self.added):
