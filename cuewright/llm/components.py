@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import written
+from cuewright.llm.common import forget, written
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -25,6 +25,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         linked = small.join(least, "b")
         after = linked.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(linked.select(F.col("m").alias("a"), "b")).where("a < b").distinct()
         after = written(after, "links")
+        forget(now)
         # A forest of stars: no node is both a centre and a leaf, and no leaf has two centres.
         ends = after.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.lit(0).alias("leaf")), F.struct(F.col("b").alias("n"), F.lit(1).alias("leaf")))).alias("e")).select("e.*")
         if ends.groupBy("n").agg(F.min("leaf").alias("centre"), F.sum("leaf").alias("leaf")).where("leaf > 1 or (centre = 0 and leaf > 0)").isEmpty():

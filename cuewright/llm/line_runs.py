@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import own_name, table, written
+from cuewright.llm.common import forget, own_name, table, written
 
 MIN_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,25 +51,26 @@ def line_table(rows: DataFrame, row: str, least: int) -> DataFrame:
     return out.select("row", "doc_id", "at", "x.line", "x.forward", "x.backward")
 
 
-def named(lines: DataFrame, least: int) -> DataFrame:
+def named(lines: DataFrame, least: int) -> tuple[DataFrame, list[DataFrame]]:
     """level, row, at, name of every place whose 2**level lines are repeated somewhere, for all levels that windows of
-    `least` lines need."""
+    `least` lines need, and the tables that it reads."""
     repeated = lambda x: x.join(x.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "name", "left_semi")
     now = written(repeated(lines.select("row", "at", F.col("line").alias("name"))), "names")
-    out, level = now.withColumn("level", F.lit(0)), 0
+    out, level, held = now.withColumn("level", F.lit(0)), 0, [now]
     while 2 << level <= least:
         after = now.select("row", (F.col("at") - (1 << level)).alias("at"), F.col("name").alias("then"))
         pairs = now.join(after, ["row", "at"]).select("row", "at", F.xxhash64("name", "then", F.lit(level)).alias("name"))
         now = written(repeated(pairs), "names")
         level += 1
+        held.append(now)
         out = out.unionByName(now.withColumn("level", F.lit(level)))
-    return out
+    return out, held
 
 
 def doomed(rows: DataFrame, row: str, least: int = MIN_WORDS) -> DataFrame:
     """row, at of each line (counted among those with words) that lies in a later copy of a repeated run."""
     lines = written(line_table(rows, row, least), "lines")
-    names = named(lines, least)
+    names, held = named(lines, least)
     forward = lines.where("forward > 0").select("row", "doc_id", "at", F.col("forward").alias("size"))
     backward = lines.where("backward > 0").select("row", "doc_id", (F.col("at") - F.col("backward") + 1).alias("at"), F.col("backward").alias("size"))
     windows = forward.unionByName(backward).distinct()
@@ -79,6 +80,7 @@ def doomed(rows: DataFrame, row: str, least: int = MIN_WORDS) -> DataFrame:
     last = names.select("level", "row", F.col("at").alias("last_at"), F.col("name").alias("last"))
     covered = windows.join(first, ["level", "row", "at"]).withColumn("last_at", F.col("at") + F.col("size") - F.call_function("shiftleft", F.lit(1), F.col("level"))).join(last, ["level", "row", "last_at"])
     covered = written(covered.select("row", "doc_id", "at", "size", F.xxhash64("size", "first", "last").alias("interval")), "windows")
+    forget(lines, *held)
     place = F.struct("doc_id", "row", "at")
     starts = covered.groupBy("interval").agg(F.min(place).alias("start"), F.count("*").alias("n")).where("n > 1").select("interval", "start")
     later = covered.join(starts, "interval").where(place > F.col("start"))

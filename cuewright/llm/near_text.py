@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import own_name, table, written
+from cuewright.llm.common import forget, own_name, table, written
 from cuewright.llm.components import components
 from cuewright.llm.words import shingle_sets, slices
 
@@ -197,7 +197,8 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     rows = written(shared_only(classes.select("node", F.explode("buckets").alias("bucket"))), "buckets")
     sets = written(full_sets(docs, classes.join(rows.select("node").distinct(), "node", "left_semi")), "sets")
-    rows = written(shared_only(hopeful(rows.join(linkable(sets, percent), "node"), percent)), "buckets")
+    all_rows, rows = rows, written(shared_only(hopeful(rows.join(linkable(sets, percent), "node"), percent)), "buckets")
+    forget(all_rows)
     planes, roots = classes.select("node", "planes"), None
     for k in range(PIVOT_ROUNDS + 1):
         pairs = candidates(rows, roots, k, percent)
@@ -205,6 +206,8 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
         new = confirmed(pairs.where(estimate("x", "y") >= slack(percent / 100)).select("a", "b"), sets, percent)
         new = new if roots is None else new.unionByName(roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))
         roots = components(new)
+    roots = written(roots, "roots")
+    forget(rows, sets)
     named = classes.select("key", "node", F.col("doc_id").alias("own")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("own").alias("component_id"))
     named = named.join(names, "root").select(F.col("key").alias("_key"), "component_id", F.col("node").alias("_node"))
@@ -216,11 +219,13 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs without the rows that are near copies of a kept one: a component keeps the text of its smallest doc_id."""
     text_hash, own_id, own_hash = (own_name(docs, c) for c in ("near_hash", "near_kept_id", "near_kept_hash"))
-    one = near_components(docs, percent).where("kept").select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).distinct()
+    one = written(near_components(docs, percent).where("kept").select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)), "kept")
+    repeated = not one.groupBy(own_id, own_hash).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     rows = docs.withColumn(text_hash, F.xxhash64("text"))
     same = (F.col(text_hash) == F.col(own_hash)) & F.col("doc_id").cast("long").eqNullSafe(F.col(own_id))
-    # Rows that repeat both id and text: one stays.
-    return rows.join(one, same, "left_semi").dropDuplicates(["doc_id", text_hash]).select(*docs.columns)
+    found = rows.join(one, same, "left_semi")
+    # Only rows that repeat both id and text need another exchange: one of them stays.
+    return (found.dropDuplicates(["doc_id", text_hash]) if repeated else found).select(*docs.columns)
 
 
 def op7_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ projected gradient steps lower the weighted squares of what is missing,
 a step of length one in the metric of G, so it never overshoots. A step sums as many numbers as there are domains over
 all documents; the documents' rates follow from the steps' few numbers, so no state is kept or sent.
 
-Rates within CALM of one become one: such a document is neither dropped nor doubled for a small correction. A rate r
+Rates within CALM of one become one: only documents that are more likely of a domain that is cut (or raised) than not
+are dropped (or doubled), not those of whom the classifier is unsure. A rate r
 takes a document floor(r) times, and once more with probability r - floor(r), by a hash of its id and text. Rows without
 words have no tokens; they stay once. Repeated rows share probability, rate and number of copies. A domain without any
 mass is left out of the targets.
@@ -31,7 +32,7 @@ from cuewright.llm.words import PUNCT, SPACE, slices, word_hashes
 DOMAINS = ("good", "poor", "toxic")
 #: Target tokens of each domain as shares of those it has.
 TARGETS = {"good": 1.0, "poor": 0.4, "toxic": 0.1}
-SLOTS, SHAPES, SAMPLE, EPOCHS, CALM, ROUNDS = 1 << 16, 7, 6000, 60, 0.15, 40
+SLOTS, SHAPES, SAMPLE, EPOCHS, CALM, ROUNDS = 1 << 16, 7, 6000, 60, 0.5, 40
 
 
 def shapes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
