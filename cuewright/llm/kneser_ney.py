@@ -7,10 +7,12 @@ is shared too (the different words after the first, of both classes), so that a
 by it. An expression too rare for its class is judged by both. A word's log ratio is held within CLIP.
 
 Words are runs of letters and digits (A-Z lower-cased), known by 31 bits of a hash, and pairs by two of these. Spark sums
-their counts over all rows, in tables that grow with the input. What is broadcast is bounded: hash tables of SLOTS words
-(seen in WORD_CUTOFF texts or more) and PAIRS pairs (CUTOFF), each slot with the weightiest of those that fall on it, toxic texts
-weighing more; others count as unseen and back off. STEADY texts
-are added to a pair's context, so that pairs of rare words don't outweigh the words. A text's score compares length-normalised log-likelihoods: of the whole text, and of its most toxic
+their counts over all rows, in tables that grow with the input; none is cut off or dropped, and none is broadcast. To
+score, texts are dealt into chunks of about CHUNK bytes by a hash. A chunk's different words and pairs (so a frequent one
+is asked for once by a chunk) are joined with the counts, and what is found meets the chunk's texts: a task holds one
+chunk and its counts, however large the input is. STEADY texts
+are added to a pair's context, so that pairs of rare words don't outweigh the words. A word's ratio counts by n / (n + RARE)
+in the measures, with n texts that hold the word: a rare word says less, but all that it says. A text's score compares length-normalised log-likelihoods: of the whole text, and of its most toxic
 windows of a few words, as an expression may be a few words in a long text. A logistic function of these, fitted on
 about CALIBRATE labelled rows (by a hash of the text) that weren't counted, gives the score. Texts without words (null too) have ratios 0.
 
@@ -27,11 +29,13 @@ from pyspark.sql import functions as F
 from cuewright.llm.common import table, written
 from cuewright.llm.words import PUNCT, slices, word_hashes
 
-#: PAIRS is prime, so that the remainder spreads identities.
-SLOTS, PAIRS, CUTOFF, WORD_CUTOFF, DISCOUNT, CLIP, WEIGHT, STEADY = 1 << 21, 2_097_143, 2, 6, 0.75, 7.0, 8, 1000.0
+#: SLOTS is how many words the shared share is spread over besides the pairs' kinds.
+SLOTS, CHUNK, DISCOUNT, CLIP, STEADY, RARE = 1 << 21, 8 << 20, 0.75, 7.0, 1000.0, 6
 WINDOWS = (1, 3, 8)
 CALIBRATE = 40_000
 COUNTS = ("toxic", "ordinary", "toxic_part", "ordinary_part")
+#: Different words that follow a word, and that it follows: in all rows, and in those of folds 0 and 1.
+SIDES = ("after", "before", "after_part", "before_part")
 #: Labelled rows (id and label) are broadcast up to this number, about 50 MB; beyond it the join shuffles.
 BROADCAST_LABELS = 1_000_000
 
@@ -82,9 +86,12 @@ def counted(rows: DataFrame) -> DataFrame:
         held, size = [], 0
 
         def flush():
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            toxic, part = keys & 1 > 0, keys & 2 == 0
-            return pa.RecordBatch.from_arrays([pa.array(keys >> 2), *(pa.array(np.where(x, n, 0)) for x in (toxic, ~toxic, toxic & part, ~toxic & part))], names=["key", *COUNTS])
+            # A pair's key has 62 bits, so the label stands beside it.
+            keys, label = (np.concatenate(x) for x in zip(*held, strict=True))
+            for k in range(4):
+                own, n = np.unique(keys[label == k], return_counts=True)
+                kinds = k & 1 > 0, k & 1 == 0, k == 1, k == 0
+                yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(n if x else np.zeros_like(n)) for x in kinds)], names=["key", *COUNTS])
 
         for batch in batches:
             label = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64) + 2 * (batch.column("fold").to_numpy(zero_copy_only=False) == 3)
@@ -93,67 +100,80 @@ def counted(rows: DataFrame) -> DataFrame:
                 row, pair = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds)), neighbours(bounds, len(w))
                 keys = np.concatenate([w, pairs_of(w)[pair]])
                 keys, row = once(keys, np.concatenate([row, row[pair]]))
-                held.append(keys * 4 + label[at + row])
+                held.append((keys, label[at + row]))
                 size += len(keys)
                 if size > 6_000_000:
-                    yield flush()
+                    yield from flush()
                     held, size = [], 0
         if size:
-            yield flush()
+            yield from flush()
 
     kinds = "key long, " + ", ".join(f"{c} long" for c in COUNTS)
     return rows.select("text", "toxic", "fold").mapInArrow(run, kinds).groupBy("key").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
-def pair_slot(key: np.ndarray) -> np.ndarray:
-    return key % PAIRS
+def sided(counts: DataFrame) -> DataFrame:
+    """key, COUNTS and SIDES of words, in one shuffle of partial sums."""
+    part = (F.col("toxic_part") + F.col("ordinary_part") > 0).cast("long")
+    row = lambda key, own, sides: F.struct(key.alias("key"), *(x.cast("long").alias(c) for c, x in zip((*COUNTS, *SIDES), (*own, *sides), strict=True)))
+    none, one = F.lit(0), F.lit(1)
+    word = F.array(row(F.col("key"), [F.col(c) for c in COUNTS], [none] * 4))
+    ends = F.array(row(F.shiftright("key", 31) - 1, [none] * 4, [one, none, part, none]), row(F.col("key").bitwiseAND(F.lit((1 << 31) - 1)), [none] * 4, [none, one, none, part]))
+    rows = counts.select(F.explode(F.when(F.col("key") < 1 << 31, word).otherwise(ends)).alias("x")).select("x.*")
+    return rows.groupBy("key").agg(*(F.sum(c).alias(c) for c in (*COUNTS, *SIDES)))
+
+
+def place(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of keys stands in known (sorted), and whether it does."""
+    if not len(known):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return at, known[at] == keys
 
 
 class Model:
-    """Hash tables of words and pairs, and the logistic function of the measures. words: id, toxic, ordinary, after (words
-    that follow), before (words that it follows); pairs: key, toxic, ordinary; sums: pair kinds, and for each class texts'
-    words and word kinds."""
+    """Counts of the words and pairs that some texts hold, and what follows from them. words: id, toxic, ordinary, after
+    (words that follow), before (words that it follows); pairs: key, toxic, ordinary; sums, of all texts: pair kinds, and
+    for each class texts' words and word kinds."""
 
     def __init__(self, words: dict[str, np.ndarray], pairs: dict[str, np.ndarray], sums: dict[str, float]):
-        at = words["id"] & SLOTS - 1
-        self.id = np.full(SLOTS, -1, np.int32)
-        self.id[at] = words["id"]
+        order = np.argsort(words["id"], kind="stable")
+        words = {c: x[order] for c, x in words.items()}
+        self.id = words["id"]
         shared = (words["before"] + 1) / (sums["pairs"] + SLOTS)
-        self.share, self.rare, self.count = [], [], np.zeros(SLOTS, np.float32)
+        self.share, self.rare = [], []
         for k in ("toxic", "ordinary"):
             total, kinds = max(sums[k], 1.0), max(sums[f"{k}_kinds"], 1.0)
-            share = np.zeros(SLOTS, np.float32)
-            share[at] = (np.maximum(words[k] - DISCOUNT, 0) + DISCOUNT * kinds * shared) / total
-            self.share.append(share)
+            self.share.append(np.append((np.maximum(words[k] - DISCOUNT, 0) + DISCOUNT * kinds * shared) / total, 0.0))
             self.rare.append(DISCOUNT * kinds / (sums["pairs"] + SLOTS) / total)
         both = words["toxic"] + words["ordinary"]
-        self.back = np.ones(SLOTS, np.float32)
-        self.back[at] = np.minimum(DISCOUNT * np.maximum(words["after"], 1) / np.maximum(both, 1), 1)
-        self.contexts = [np.zeros(SLOTS, np.float32) for _ in range(2)]
-        self.key, self.pairs = np.full(PAIRS, -1, np.int64), [np.zeros(PAIRS, np.float32) for _ in range(2)]
-        place = pair_slot(pairs["key"])
-        self.key[place] = pairs["key"]
-        for i, k in enumerate(("toxic", "ordinary")):
-            self.contexts[i][at] = words[k]
-            self.pairs[i][place] = pairs[k]
-        self.weights = np.zeros(len(WINDOWS) + 2)
+        self.trust = np.append(both / (both + RARE), 0.0)
+        self.back = np.append(np.minimum(DISCOUNT * np.maximum(words["after"], 1) / np.maximum(both, 1), 1), 1.0)
+        self.contexts = [np.append(words[k], 0.0) for k in ("toxic", "ordinary")]
+        order = np.argsort(pairs["key"], kind="stable")
+        self.key, self.pairs = pairs["key"][order], [np.append(pairs[k][order], 0.0) for k in ("toxic", "ordinary")]
 
     def ratios(self, w: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Log of toxic over ordinary probability of each word."""
-        pair, key, at = neighbours(bounds, len(w)), pairs_of(w), w & SLOTS - 1
-        known, first, place = self.id[at] == w, np.roll(at, 1), pair_slot(key)
-        context, seen = pair & np.roll(known, 1), pair & (self.key[place] == key)
+        pair = neighbours(bounds, len(w))
+        (at, known), (spot, held) = place(self.id, w), place(self.key, pairs_of(w))
+        first, context, seen = np.roll(at, 1), pair & np.roll(known, 1), pair & held
         logs = []
         for k in (0, 1):
             p = np.where(known, self.share[k][at], self.rare[k])
-            share = np.where(seen & context, np.maximum(self.pairs[k][place] - DISCOUNT, 0) / (self.contexts[k][first] + STEADY), 0)
+            share = np.where(seen & context, np.maximum(self.pairs[k][spot] - DISCOUNT, 0) / (self.contexts[k][first] + STEADY), 0)
             logs.append(np.log(np.where(context, np.minimum(share, 1) + self.back[first] * p, p)))
         return np.clip(logs[0] - logs[1], -CLIP, CLIP)
 
+    def trusted(self, w: np.ndarray) -> np.ndarray:
+        """How much the ratio of each word counts: 0 if it's unknown, near to 1 if many texts hold it."""
+        at, known = place(self.id, w)
+        return np.where(known, self.trust[at], 0)
+
     def measures(self, w: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """For each row: mean ratio of its words, and the highest mean over a window of 1, 3, 8 words (shorter texts:
         of the whole)."""
-        r, n = self.ratios(w, bounds) if len(w) else np.zeros(0), np.diff(bounds)
+        r, n = self.ratios(w, bounds) * self.trusted(w) if len(w) else np.zeros(0), np.diff(bounds)
         out, full = np.zeros((len(n), len(WINDOWS) + 1)), np.flatnonzero(n)
         if not len(full):
             return out
@@ -166,10 +186,6 @@ class Model:
             out[full, j + 1] = np.maximum.reduceat((sums[ends] - sums[starts]) / (ends - starts), at)
         return out
 
-    def score(self, measures: np.ndarray) -> np.ndarray:
-        z = np.column_stack([np.ones(len(measures)), measures]) @ self.weights
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Ridge logistic regression by Newton steps on standardised measures; the intercept isn't shrunk."""
@@ -187,55 +203,85 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
     return np.concatenate([[w[0] - (w[1:] * mid / wide).sum()], w[1:] / wide])
 
 
-def measured(rows: DataFrame, model) -> DataFrame:
-    """rows (one column beside text) with their measures as an array column."""
-    other = next(c for c in rows.columns if c != "text")
+class Trained:
+    """counts: key, toxic, ordinary, after, before of every word and pair; sums as Model has them; weights of the measures."""
+
+    def __init__(self, counts: DataFrame, words: DataFrame, part: bool):
+        names = {c: c + "_part" * part for c in ("toxic", "ordinary", "after", "before")}
+        pairs = counts.where(F.col("key") >= 1 << 31).select("key", *COUNTS, *(F.lit(0).cast("long").alias(c) for c in SIDES))
+        pick = lambda rows: rows.select("key", *(F.col(c).alias(k) for k, c in names.items())).where("toxic + ordinary > 0")
+        self.counts, self.weights = pick(words.unionByName(pairs)), np.zeros(len(WINDOWS) + 2)
+        sums = pick(words).agg(F.sum("before").alias("pairs"), *(F.sum(c).alias(c) for c in ("toxic", "ordinary")), *(F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in ("toxic", "ordinary"))).first()
+        self.sums = {k: float(v or 0) for k, v in sums.asDict().items()}
+
+
+def asked(placed: DataFrame) -> DataFrame:
+    """chunk and key of the words and pairs of each chunk, each about once."""
 
     def run(batches):
+        held, size = {}, 0
+
+        def flush():
+            for chunk, keys in held.items():
+                keys = np.unique(np.concatenate(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), chunk, np.int32)), pa.array(keys)], names=["chunk", "key"])
+
         for batch in batches:
+            chunk = batch.column("chunk").to_numpy(zero_copy_only=False)
             for at, data, offsets in slices(batch.column("text")):
-                m = model.value.measures(*slots(data, offsets))
-                yield pa.RecordBatch.from_arrays([batch.column(other).slice(at, len(m)), pa.array(list(m), pa.list_(pa.float64())), pa.array(model.value.score(m))], names=[other, "measures", "score"])
-
-    return rows.select(other, "text").mapInArrow(run, f"{other} {dict(rows.dtypes)[other]}, measures array<double>, score double")
-
-
-def fitted(counts: DataFrame, names: tuple[str, str]) -> Model:
-    """The model of two of the COUNTS, gathered by slot: its size doesn't depend on the input."""
-    own = counts.select("key", *(F.col(c).alias(k) for c, k in zip(names, ("toxic", "ordinary"), strict=True))).where("toxic + ordinary > 0")
-    words, pairs = own.where(F.col("key") < 1 << 31), own.where(F.col("key") >= 1 << 31)
-    after = pairs.groupBy((F.shiftright("key", 31) - 1).alias("key")).agg(F.count("*").alias("after"))
-    before = pairs.groupBy(F.col("key").bitwiseAND(F.lit((1 << 31) - 1)).alias("key")).agg(F.count("*").alias("before"))
-    words = words.join(after, "key", "left").join(before, "key", "left").na.fill(0)
-    sums = words.agg(F.sum("before").alias("pairs"), *(F.sum(c).alias(c) for c in ("toxic", "ordinary")), *(F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in ("toxic", "ordinary"))).first()
-    weight = F.col("toxic") * WEIGHT + F.col("ordinary")
-    top = lambda rows, slot, *c: rows.groupBy(slot.alias("slot")).agg(F.max_by(F.struct("key", *c), F.struct(weight, "key")).alias("x")).select("x.*").toArrow()
-    best = top(words.where(F.col("toxic") + F.col("ordinary") >= WORD_CUTOFF), F.col("key").bitwiseAND(F.lit(SLOTS - 1)), "toxic", "ordinary", "after", "before")
-    kept = pairs.where(F.col("toxic") + F.col("ordinary") >= CUTOFF)
-    rows = top(kept, F.col("key") % PAIRS, "toxic", "ordinary")
-    table_ = lambda x, first: {first: x.column("key").to_numpy(), **{c: x.column(c).to_numpy().astype(np.float64) for c in x.column_names[1:]}}
-    return Model(table_(best, "id"), table_(rows, "key"), {k: float(v or 0) for k, v in sums.asDict().items()})
-
-
-def train(docs: DataFrame, labels: DataFrame) -> Model:
+                w, bounds = slots(data, offsets)
+                row, pair = np.repeat(chunk[at : at + len(offsets) - 1], np.diff(bounds)), neighbours(bounds, len(w))
+                keys, row = np.concatenate([w, pairs_of(w)[pair]]), np.concatenate([row, row[pair]])
+                for c in np.unique(row):
+                    held.setdefault(int(c), []).append(np.unique(keys[row == c]))
+                    size += len(held[int(c)][-1])
+                if size > 6_000_000:
+                    yield from flush()
+                    held, size = {}, 0
+        yield from flush()
+
+    return placed.select("chunk", "text").mapInArrow(run, "chunk int, key long")
+
+
+def measured(rows: DataFrame, trained: Trained) -> DataFrame:
+    """rows (one column beside text) with their measures as an array column."""
+    other, sums = next(c for c in rows.columns if c != "text"), trained.sums
+    n = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK + 1
+    placed = rows.select(other, "text", F.pmod(F.xxhash64(other, "text"), F.lit(n)).cast("int").alias("chunk")).repartition(n, "chunk")
+    found = asked(placed).join(trained.counts, "key").repartition(n, "chunk")
+
+    def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        own = {c: counts.column(c).to_numpy() for c in ("key", "toxic", "ordinary", "after", "before")}
+        word = own["key"] < 1 << 31
+        take = lambda key, which, *names: {key: own["key"][which], **{c: own[c][which].astype(float) for c in ("toxic", "ordinary", *names)}}
+        model = Model(take("id", word, "after", "before"), take("key", ~word), sums)
+        parts = [model.measures(*slots(data, offsets)) for _, data, offsets in slices(texts.column("text"))]
+        return pa.table({other: texts.column(other), "measures": pa.array(list(np.concatenate(parts)) if parts else [], pa.list_(pa.float64()))})
+
+    kind = f"{other} {dict(rows.dtypes)[other]}, measures array<double>"
+    return placed.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(run, kind)
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Trained:
     """Counts of folds 0 and 1 are calibrated on fold 3; the model has that calibration and the counts of all three."""
-    spark, rows = docs.sparkSession, labelled(docs, labels)
+    rows = labelled(docs, labels)
     counts = written(counted(rows), "counts")
-    trial = spark.sparkContext.broadcast(fitted(counts, COUNTS[2:]))
+    words = written(sided(counts), "words")
     apart = rows.where("fold = 3")
     share = min(1.0, CALIBRATE / max(1, apart.count()))
     chosen = apart.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else apart
-    sample = measured(chosen.select("toxic", "text"), trial).toArrow()
-    trial.unpersist()
-    model = fitted(counts, COUNTS[:2])
+    sample = measured(chosen.select("toxic", "text"), Trained(counts, words, True)).toArrow()
+    model = Trained(counts, words, False)
     x = np.array(sample.column("measures").to_pylist()).reshape(-1, len(WINDOWS) + 1)
     model.weights = fit_logistic(x, sample.column("toxic").to_numpy().astype(float))
     return model
 
 
-def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+def scored(docs: DataFrame, model: Trained, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs."""
-    found = measured(docs.select("doc_id", "text"), docs.sparkSession.sparkContext.broadcast(model))
+    found = measured(docs.select("doc_id", "text"), model)
+    z = sum((float(w) * F.element_at("measures", i + 1) for i, w in enumerate(model.weights[1:])), F.lit(float(model.weights[0])))
+    found = found.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), z)))))
     return found.select("doc_id", F.coalesce(fold("doc_id") == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

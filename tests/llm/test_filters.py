@@ -195,6 +195,42 @@ def test_kneser_ney_by_hand():
     assert m.ratios(np.array([9]), np.array([0, 1]))[0] == pytest.approx(rare, rel=1e-4)
 
 
+def test_kneser_ney_whole_counts(spark, make, monkeypatch):
+    """Measures follow from the counts of all words and pairs, once-seen ones too, however texts fall into chunks."""
+    monkeypatch.setattr(kneser_ney, "CHUNK", 2000)
+    texts = [prose(30, k % 45) + f" rare{k % 50}" for k in range(120)] + [None, ""]
+    docs = make(texts)
+    lab = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(100)], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r.measures for r in kneser_ney.measured(docs.select("doc_id", "text"), kneser_ney.train(docs, lab)).collect()}
+    import zlib
+
+    count, after, before = [Counter(), Counter()], {}, {}
+    for k in range(100):
+        if zlib.crc32(str(k).encode()) % 4 != 2:
+            w = texts[k].split()
+            count[k % 3 > 0].update({*w, *zip(w, w[1:], strict=False)})
+    both = count[0] + count[1]
+    for key in both:
+        if isinstance(key, tuple):
+            after.setdefault(key[0], set()).add(key[1])
+            before.setdefault(key[1], set()).add(key[0])
+    n = sum(map(len, before.values())) + kneser_ney.SLOTS
+    total = [sum(v for w, v in c.items() if isinstance(w, str)) for c in count]
+    kinds = [sum(isinstance(w, str) for w in c) for c in count]
+
+    def chance(k, a, b):
+        p = (max(count[k][b] - 0.75, 0) + 0.75 * kinds[k] * (len(before.get(b, ())) + 1) / n) / total[k]
+        if a not in both:
+            return p
+        return max(count[k][a, b] - 0.75, 0) / (count[k][a] + kneser_ney.STEADY) + min(0.75 * max(len(after.get(a, ())), 1) / both[a], 1) * p
+
+    assert len(got) == 122 and got[120] == got[121] == [0] * 4
+    for k in range(120):
+        w = texts[k].split()
+        ratio = [both[b] / (both[b] + kneser_ney.RARE) * np.clip(np.log(chance(0, a, b) / chance(1, a, b)), -7, 7) for a, b in zip([None, *w], w, strict=False)]
+        assert got[k][:2] == pytest.approx([np.mean(ratio), max(ratio)], rel=1e-6)
+
+
 def test_mixing(spark, make):
     good, bad = [prose(60, k) for k in range(60)], [" ".join(["@@ $$ %%"] * 30 + prose(20, k).split()) for k in range(30)]
     docs = make([*good, *bad, None, ""])
