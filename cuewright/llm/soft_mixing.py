@@ -3,13 +3,14 @@
 A classifier learned from the labels table gives each document the probability of each domain: good, poor (quality 0)
 and toxic text. Documents get rates, how often each is to be taken, so that the expected tokens of each domain, the sum
 of rate * tokens * probability, meet the targets. Rates start at one and stay as near to that as the targets let them:
-projected gradient steps lower the weighted squares of what is missing,
-    rate <- max(0, rate - p . inverse(G) (reached - target)),   G = sum of tokens * p p',
-a step of length one in the metric of G, so it never overshoots. A step sums as many numbers as there are domains over
-all documents; the documents' rates follow from the steps' few numbers, so no state is kept or sent.
-
-Rates within CALM of one become one: only documents that are more likely of a domain that is cut (or raised) than not
-are dropped (or doubled), not those of whom the classifier is unsure. A rate r
+they minimise the tokens' squares of (rate - 1), and what is missing of the targets at a high price (1 / PRICE), so
+    rate = max(0, 1 - p . multipliers)
+with a multiplier for each domain. Newton steps find these: G = sum of tokens * p p' over the documents whose rate isn't
+zero is the curvature, and a step that doesn't lower the (convex) dual is halved. A step sums as many numbers as there are
+pairs of domains over all documents; the documents' rates follow from the multipliers, so no state is kept or sent.
+
+The fitted rates are the final ones, so what they reach is what the fit has measured; targets that no rates reach (all
+documents alike, or too few rounds) are reported by a warning. A rate r
 takes a document floor(r) times, and once more with probability r - floor(r), by a hash of its id and text. Rows without
 words have no tokens; they stay once. Repeated rows share probability, rate and number of copies. A domain without any
 mass is left out of the targets.
@@ -17,6 +18,7 @@ mass is left out of the targets.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -32,7 +34,7 @@ from cuewright.llm.words import PUNCT, SPACE, slices, word_hashes
 DOMAINS = ("good", "poor", "toxic")
 #: Target tokens of each domain as shares of those it has.
 TARGETS = {"good": 1.0, "poor": 0.4, "toxic": 0.1}
-SLOTS, SHAPES, SAMPLE, EPOCHS, CALM, ROUNDS = 1 << 16, 7, 6000, 60, 0.5, 40
+SLOTS, SHAPES, SAMPLE, EPOCHS, ROUNDS, PRICE = 1 << 16, 7, 6000, 60, 40, 1e-6
 
 
 def shapes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,32 +138,44 @@ def memberships(text: Column, model) -> Column:
     return run(text)
 
 
-def rate_of(steps: list[np.ndarray], p: list[Column]) -> Column:
-    """The rate after these steps."""
-    r = F.lit(1.0)
-    for s in steps:
-        r = F.greatest(F.lit(0.0), r - sum((float(x) * c for x, c in zip(s[1:], p[1:], strict=True)), float(s[0]) * p[0]))
-    return r
+def rate_of(multipliers: np.ndarray, p: list[Column]) -> Column:
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((float(x) * c for x, c in zip(multipliers[1:], p[1:], strict=True)), float(multipliers[0]) * p[0]))
+
+
+def fit_rates(members: DataFrame, s: str, targets: dict[str, float], rounds: int = ROUNDS, close: float = 1e-4) -> np.ndarray:
+    """Multipliers that bring the expected tokens of each domain to the targets (shares of what it has); a warning if they
+    don't, by more than close of all tokens."""
+    n, p, k = F.col(f"{s}.n_tokens"), [F.col(f"{s}.p_{d}") for d in DOMAINS], len(DOMAINS)
 
+    def sums(x):
+        """Tokens reached, the curvature, and the tokens' squares of the rates."""
+        r = rate_of(x, p)
+        live = F.when(r > 0, n).otherwise(0)
+        row = np.array([v or 0.0 for v in members.agg(*(F.sum(r * n * c) for c in p), *(F.sum(live * a * b) for a in p for b in p), F.sum(r * r * n)).first()], float)
+        return row[:k], row[k:-1].reshape(k, k), row[-1]
 
-def fit_rates(members: DataFrame, s: str, targets: dict[str, float], rounds: int = ROUNDS, close: float = 1e-4) -> list[np.ndarray]:
-    """Steps that bring the expected tokens of each domain to the targets (shares of what it has)."""
-    n, p = F.col(f"{s}.n_tokens"), [F.col(f"{s}.p_{d}") for d in DOMAINS]
-    k = len(DOMAINS)
-    gram = members.agg(*(F.sum(n * p[i] * p[j]) for i in range(k) for j in range(k))).first()
-    g = np.array([x or 0.0 for x in gram], float).reshape(k, k)
-    has = g.sum(1)
-    if not has.sum():
-        return []
+    best, (now, g, square) = np.zeros(k), sums(np.zeros(k))
+    has, total = now, now.sum()
+    if not total:
+        return best
     goal = has * np.array([targets[d] for d in DOMAINS])
-    inverse, steps = np.linalg.pinv(g + 1e-9 * np.trace(g) * np.eye(k)), []
+    dual = lambda x, square: square / 2 + x @ goal + PRICE * total * (x @ x) / 2
+    lowest, step = dual(best, square), None
     for _ in range(rounds):
-        r = rate_of(steps, p)
-        now = np.array([x or 0.0 for x in members.agg(*(F.sum(r * n * c) for c in p)).first()], float)
-        if np.abs(now - goal).max() <= close * has.sum():
-            break
-        steps.append(inverse @ (now - goal))
-    return steps
+        if step is None:
+            slope = now - goal - PRICE * total * best
+            if np.abs(slope).max() <= 1e-7 * total:
+                break
+            step = np.linalg.solve(g + PRICE * total * np.eye(k), slope)
+        tried = sums(best + step)
+        if (new := dual(best + step, tried[2])) > lowest + 1e-12 * total:
+            step = step / 2
+            continue
+        best, (now, g, square), lowest, step = best + step, tried, new, None
+    if np.abs(now - goal).max() > close * total:
+        shares = {d: (round(float(x / h), 4), targets[d]) for d, x, h in zip(DOMAINS, now, has, strict=True) if h}
+        warnings.warn(f"mixing misses its targets; (reached, target) of each domain: {shares}", stacklevel=2)
+    return best
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> tuple[DataFrame, str, str, str]:
@@ -169,9 +183,9 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     s, rate, copies = (own_name(docs, c) for c in ("mix_membership", "mix_rate", "mix_copies"))
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
     members = written(docs.withColumn(s, memberships(F.col("text"), model)), "members")
-    steps = fit_rates(members.where(F.col(f"{s}.n_tokens") > 0).select(s), s, TARGETS | (targets or {}))
-    r = F.round(rate_of(steps, [F.col(f"{s}.p_{d}") for d in DOMAINS]), 6)
-    r = F.when((F.col(f"{s}.n_tokens") == 0) | (F.abs(r - 1) <= CALM), F.lit(1.0)).otherwise(r)
+    multipliers = fit_rates(members.where(F.col(f"{s}.n_tokens") > 0).select(s), s, TARGETS | (targets or {}))
+    r = F.round(rate_of(multipliers, [F.col(f"{s}.p_{d}") for d in DOMAINS]), 6)
+    r = F.when(F.col(f"{s}.n_tokens") == 0, F.lit(1.0)).otherwise(r)
     chance = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     out = members.withColumn(rate, r).withColumn(copies, F.floor(F.col(rate) + chance).cast("long"))
     return out, s, rate, copies

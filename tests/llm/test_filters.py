@@ -247,6 +247,25 @@ def test_mixing(spark, make):
     assert np.mean([r["count"] for r in more]) == pytest.approx(2, abs=0.3)
 
 
+def test_mixing_soft(make, monkeypatch):
+    """The final rates meet the targets for unsure memberships, and small changes of a target have effect."""
+    rng = np.random.default_rng(3)
+    n, p = rng.integers(1, 100, 200).astype(float), rng.dirichlet([0.3, 0.3, 0.3], 200)
+    part = lambda t, i: F.element_at(F.split(t, " "), i + 1)
+    monkeypatch.setattr(soft_mixing, "learn", lambda docs, labels: None)
+    monkeypatch.setattr(soft_mixing, "memberships", lambda t, model: F.struct(part(t, 0).cast("double").cast("long").alias("n_tokens"), *(part(t, i + 1).cast("double").alias(f"p_{d}") for i, d in enumerate(soft_mixing.DOMAINS))))
+    docs = make([" ".join(map(str, [a, *b])) for a, b in zip(n.tolist(), p.tolist(), strict=True)])
+    for goal in ((1.0, 0.6, 0.6), (1.0, 0.4, 0.1), (1.4, 1.0, 1.0)):
+        out, _, rate, _ = soft_mixing.mixed(docs, None, dict(zip(soft_mixing.DOMAINS, goal, strict=True)))
+        r = np.array([x[rate] for x in out.orderBy("doc_id").collect()])
+        assert r @ (n[:, None] * p) / (n @ p) == pytest.approx(goal, rel=1e-3)
+
+
+def test_mixing_reports_misses(make, labels):
+    with pytest.warns(UserWarning, match="misses its targets"):
+        soft_mixing.mixed(make([prose(30, k) for k in range(5)]), labels.limit(0))
+
+
 def test_mixing_oddities(clash, labels, odd):
     for lab in (labels, labels.limit(0)):
         out = soft_mixing.take_mixed(clash, lab)
