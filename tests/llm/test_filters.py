@@ -1,4 +1,5 @@
 import re
+import textwrap
 from collections import Counter
 
 import duckdb
@@ -59,6 +60,15 @@ def test_licences(make):
     assert rows[-1].scan[0].paragraph == 1 and rows[-3].scan is None
 
 
+def test_wrapped_licences(make):
+    """Notices wrapped at any width are found as one; notices of neighbouring lines stay apart."""
+    gpl, bsd = licences.TEMPLATES["gpl"][1], licences.TEMPLATES["bsd"][0]
+    texts = [textwrap.fill(t, w) for t in (gpl, bsd) for w in (72, 40, 16)]
+    texts += [f"{prose(9, 1)}\n{textwrap.fill(gpl, 60)}\n{prose(300, 2)}\n\n{prose(5, 3)}", "Released under the MIT License.\nLicensed under CC BY 4.0.", "All\nrights\nreserved. Copyright."]
+    rows = licences.scanned(make(texts), "scan").orderBy("doc_id").collect()
+    assert [[x.family for x in r.scan] for r in rows] == [["gpl"]] * 3 + [["bsd"]] * 3 + [["gpl"], ["mit", "cc-by"], ["reserved"]]
+
+
 def test_licence_scores_by_hand(make):
     weights, bias, _ = licences.trained()
     text = "Released under the MIT License. Some other words of no note"
