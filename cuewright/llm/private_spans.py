@@ -1,7 +1,7 @@
 """Personal data: base rules, and candidate spans judged by boosted trees.
 
 Base spans (email, ip, card, phone) follow fixed rules and always stay. Generators propose more spans with high recall,
-and these may overlap: loose e-mail, number, dotted and assignment shapes, long keys, account and identity numbers. Each
+and these may overlap: loose e-mail, number, dotted and assignment shapes, long keys, mixed-case tokens, account and identity numbers, of any length. Each
 candidate gets format features (length, character shares, entropy, check digits, grouping) and context features (cue
 words before it, its neighbours); gradient-boosted trees, trained here on generated examples, give a probability, and
 each generator's threshold is calibrated on held-out examples to PRECISION. Accepted spans that don't overlap a base span
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
 from math import log2
@@ -35,13 +36,16 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile("[^0-9]+")
 
+TOKEN = "[A-Za-z0-9_+/.-]"
+#: None has an upper bound of length: runs are taken whole and tried once, so they stay linear; length is a feature.
 GENERATORS = {
-    "email": re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}(?:@|\s?\[at\]\s?|\(at\))[\w.-]{2,}"),
-    "number": re.compile(r"[+(]?[0-9](?:[\x20().-]?[0-9]){6,18}"),
-    "secret": re.compile(r"(?<![A-Za-z_])[A-Za-z_]{2,20}\x20?[=:]\x20?[\"']?[^\s\"']{8,200}"),
-    "key": re.compile(r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])[A-Z0-9]{14,64}(?![A-Za-z0-9])|(?<![0-9A-Za-z])[0-9a-f]{24,128}(?![0-9A-Za-z])"),
+    "email": re.compile(r"(?<![\w.%+-])[\w.%+-]++(?:@|\s?\[at\]\s?|\(at\))[\w.-]{2,}"),
+    "number": re.compile(r"[+(]?[0-9](?:[\x20().-]?[0-9]){6,}+"),
+    "secret": re.compile(r"(?<![A-Za-z_])[A-Za-z_]{2,}+\x20?[=:]\x20?[\"']?[^\s\"']{8,}+"),
+    "key": re.compile(r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])[A-Z0-9]{14,}+(?![A-Za-z0-9])|(?<![0-9A-Za-z])[0-9a-f]{24,}+(?![0-9A-Za-z])"),
     "identity": re.compile(r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])"),
     "account": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    "token": re.compile(rf"(?<!{TOKEN})(?={TOKEN}*[0-9])(?={TOKEN}*[A-Z])(?={TOKEN}*[a-z]){TOKEN}{{20,}}+={{0,2}}"),
 }
 #: What a text must hold for a generator to find anything in it.
 NEEDS = {"email": re.compile(r"@|[\[(]at"), "secret": re.compile("[=:]")}
@@ -96,7 +100,7 @@ def features(text: str, start: int, end: int, kind: int) -> list[float]:
     n = len(s)
     digits = NOT_DIGIT.sub("", s)
     value = re.split(r"[=:]\x20?[\"']?", s, maxsplit=1)[-1]
-    counts = [value.count(c) / max(1, len(value)) for c in set(value)]
+    counts = [c / len(value) for c in Counter(value).values()]
     near = before[-25:] + s[: n - len(value)].lower()
     return [
         kind, n, len(digits) / n, sum(map(str.isupper, s)) / n, sum(map(str.islower, s)) / n, -sum(p * log2(p) for p in counts), len(digits), float(luhn(digits)) if digits else 0.0,
@@ -113,6 +117,8 @@ def examples(n: int = EXAMPLES, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     letters = lambda k, of="abcdefghijklmnopqrstuvwxyz": "".join(of[i] for i in rng.integers(0, len(of), k))
     word = lambda: letters(int(rng.integers(2, 9)))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    mixed, size = upper + "abcdefghijklmnopqrstuvwxyz", lambda a, b: int(np.exp(rng.uniform(np.log(a), np.log(b))))
+    long_name = lambda: "_".join(pick("AZURE", "STORAGE", "CONNECTION", "CLIENT", "SERVICE", "ACCOUNT", "access") for _ in range(rng.integers(2, 5))) + pick("_SECRET", "_KEY", "_TOKEN", "_PASSWORD", "_STRING", "_key")
     yes = [
         lambda: (pick("", "mail ", "contact "), word() + pick("", ".", "_") + word() + pick("@", " [at] ", "(at)") + word() + "." + pick("com", "org", "net", "de")),
         lambda: (pick("call ", "phone: ", "tel ", ""), pick("+", "") + pick("1 ", "49 ", "33-") + "(" + digits(3) + ") " + digits(3) + "-" + digits(4)),
@@ -123,6 +129,10 @@ def examples(n: int = EXAMPLES, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
         lambda: (pick("token ", "auth ", ""), letters(int(rng.integers(32, 64)), "0123456789abcdef")),
         lambda: (pick("ssn ", "social ", ""), digits(3) + "-" + digits(2) + "-" + digits(4)),
         lambda: (pick("iban ", "account ", ""), pick("DE", "FR", "GB") + digits(2) + "".join(" " + digits(4) for _ in range(rng.integers(4, 6)))),
+        lambda: ("", pick("token", "secret", "api_key", long_name()) + pick("=", ": ", ' = "') + pick("", "eyJ") + letters(size(20, 900), mixed + pick("", "-_", "+/", "."))),
+        lambda: (pick("token ", "auth ", "key ", ""), pick("eyJ", "sk9", "Gh0") + letters(size(20, 900), mixed + pick("", "-_", "+/"))),
+        lambda: (pick("key ", "token ", ""), pick(letters(size(64, 600), "0123456789abcdef"), "A7" + letters(size(40, 400), upper))),
+        lambda: (pick("account ", "card ", "tax "), digits(size(14, 60))),
     ]
     no = [
         lambda: (pick("order ", "item ", "ref "), digits(int(rng.integers(7, 14)))),
@@ -134,6 +144,9 @@ def examples(n: int = EXAMPLES, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
         lambda: (pick("in ", "of "), digits(4) + " " + digits(4)),
         lambda: ("", letters(int(rng.integers(14, 24)), upper[:26])),
         lambda: (pick("on ", ""), "20" + digits(2) + "-" + digits(2) + "-" + digits(2) + " " + digits(2)),
+        lambda: (pick("see ", "in ", "https://", ""), pick("Docs", "Src", "www.Site") + "".join("/" + word() for _ in range(rng.integers(3, 9))) + "/" + pick("Page", "Part", "v") + digits(1)),
+        lambda: (pick("order ", "item ", "ref "), digits(size(14, 60))),
+        lambda: ("", pick("see", "note", "title") + pick(": ", "=") + "".join(word() + pick("-", "/", "") for _ in range(rng.integers(5, 40)))),
     ]
     x, y = [], []
     while len(y) < n:

@@ -161,6 +161,21 @@ def test_private_spans(make, clash, odd):
     assert ((trees.chance(x) > 0.5) == y).mean() > 0.97
 
 
+def test_long_private_spans():
+    """Values and names of any length are taken whole."""
+    rng = np.random.default_rng(7)
+    run = lambda of, n: "".join(of[i] for i in rng.integers(0, len(of), n))
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    spans = [f"token=eyJ{run(mixed, 700)}", f"AZURE_STORAGE_CONNECTION_STRING={run(mixed, 80)}", run("0123456789abcdef", 300), "A7" + run(mixed[:26] + mixed[52:], 120), "Gh0" + run(mixed, 300)]
+    trees, limits = private_spans.trained()
+    for s, (base, added) in zip(spans, private_spans.found([f"the token {s} here" for s in spans], trees, limits), strict=True):
+        assert not base and (10, 10 + len(s)) in [(a, b) for a, _, b in added]
+    number = "4" + run("0123456789", 39)
+    assert (5, 45, list(private_spans.GENERATORS).index("number")) in private_spans.candidates(f"card {number} x")
+    for t in ("y" * 300_000, "aA1" * 100_000, "7" * 300_000 + "g", "a=" * 100_000, "A_" * 150_000):
+        private_spans.found([t], trees, limits)
+
+
 def test_kneser_ney(spark, make):
     rng, docs, marks = np.random.default_rng(2), [], []
     for i in range(400):
