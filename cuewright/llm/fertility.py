@@ -4,7 +4,8 @@ The vocabulary (a sentencepiece model with byte fallback) measures for each text
 byte-fallback tokens and the entropy of its tokens (bits). Each language has a band for these: its median over all
 documents of enough words, plus and minus some median absolute deviations, but never narrower than a share of the
 median. A text outside its language's band is rejected. Texts without words fail the base rule; a null or unknown
-language has a band of its own, and a language with fewer than `least` measured documents uses the band of all.
+language has a band of its own. A language's quartiles are drawn towards those of all by n / (n + `least`) for n measured
+documents, so a band goes from that of all to its own without a step.
 """
 
 from __future__ import annotations
@@ -93,13 +94,14 @@ def bands(measured: DataFrame, s: str, lang: str, least: int = 20) -> DataFrame:
     good = measured.where(~base_failed(s)).select(F.col(lang).alias("lang"), *(F.col(f"{s}.{m}").alias(m) for m in MEASURES))
     kinds = good.withColumn("every", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("lang", F.when(~F.col("every"), F.col("lang")))
     mid = kinds.groupBy("every", "lang").agg(F.count("*").alias("n"), *(F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in MEASURES))
-    ends = []
+    every = mid.where("every").select(*(F.col(m).alias(f"all_{m}") for m in MEASURES))
+    mid, own, ends = mid.crossJoin(F.broadcast(every)), F.when(F.col("every"), F.lit(1.0)).otherwise(F.col("n") / (F.col("n") + least)), []
     for m in MEASURES:
-        q = F.col(m)
+        q = [own * F.col(m)[i] + (1 - own) * F.col(f"all_{m}")[i] for i in range(3)]
         # Half the distance between the quartiles is the median absolute deviation of a symmetric spread.
         wide = lambda times: F.greatest(times * (q[2] - q[0]) / 2, LEAST_SHARE * q[1], F.lit(LEAST[m]))  # noqa: B023, E731
         ends += [(q[1] - wide(LOW)).alias(f"{m}_low"), (q[1] + wide(HIGH)).alias(f"{m}_high")]
-    return mid.where(F.col("every") | (F.col("n") >= least)).select("every", "lang", *ends)
+    return mid.select("every", "lang", *ends)
 
 
 def judged(measured: DataFrame, s: str, lang: str, verdict: str) -> DataFrame:

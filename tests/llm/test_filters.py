@@ -51,6 +51,17 @@ def test_keep_good(make, clash):
     assert fertility.keep_good(docs.drop("lang")).count() == 40
 
 
+def test_bands_have_no_step(spark):
+    """A language's band moves from that of all to its own bit by bit."""
+    got = []
+    for n in (1, 19, 20, 2000):
+        rows = [("a", (60, 0, 4.0, 0.0, 7.0))] * 4000 + [("b", (60, 0, 2.0, 0.8, 5.0))] * n
+        measured = spark.createDataFrame(rows, "lang string, s struct<n_words:long,n_repeat_words:long,chars_per_token:double,byte_share:double,token_entropy:double>")
+        r = fertility.bands(measured, "s", "lang").where("lang = 'b'").first()
+        got.append((r.byte_share_low + r.byte_share_high) / 2)
+    assert got == pytest.approx([0.8 / 21, 0.8 * 19 / 39, 0.4, 0.8 * 2000 / 2020])
+
+
 def test_licences(make):
     texts = [t for own in licences.TEMPLATES.values() for t in own] + licences.OTHERS + [None, "", "foo\n\nLicensed under the Apache License, Version 2.0. bar"]
     names = [c for c, own in licences.TEMPLATES.items() for _ in own] + ["unknown"] * len(licences.OTHERS) + [None, None, "apache-2.0"]
