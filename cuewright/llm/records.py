@@ -7,7 +7,7 @@ all little-endian. The payload is the serialised sequence: its ids as u16, or u3
 checksums aren't degenerate. `shard-NNNNN.idx` has 25 bytes a record: doc_id (i64), 1 if there is one (u8), place of
 the record in the shard (u64), number of ids (u64).
 
-Shards and records ascend by doc_id (null first; equal ids by text). A task writes to a name of its own and renames it
+Shards and records ascend by doc_id (null first; equal ids by the text's hash, then by text). A task writes to a name of its own and renames it
 at the end, so a task that runs again or twice leaves one whole file. Empty input writes no shard.
 """
 
@@ -19,15 +19,16 @@ import struct
 import uuid
 import zlib
 from array import array
-from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import TOKENIZERS, Memo, chunks, own_name, per_worker, shared_folder, table
+from cuewright.llm.common import TOKENIZERS, own_name, per_worker, shared_folder, table
+from cuewright.llm.trie_bpe import byte_letters
+from cuewright.llm.words import LOWER, Lexicon, gathered, slices, span_hashes, word_spans
 
 MASK = 0xA282EAD8
 ENTRY = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("at", "<u8"), ("n", "<u8")])
@@ -64,10 +65,10 @@ def filesystem(uri: str):
 
 
 class WordCoder:
-    """Encodes with a `tokenizers` vocabulary that lower-cases and whose white space only separates: each run of other
-    characters is encoded once by the library and remembered. A run of letters with one full stop or comma after it is
-    two pre-tokens, so its letters are looked up apart. Where neither added tokens nor combining marks can be meant,
-    A-Z are lower-cased before the look-up, as the vocabulary would."""
+    """Encodes with a `tokenizers` vocabulary that lower-cases and whose white space only separates: each different run of
+    other characters is encoded once by the library and remembered by its hash; a text's ids are gathered from these. A run
+    of letters with one full stop or comma after it is two pre-tokens, so its letters are encoded apart. Where neither added
+    tokens nor combining marks can be meant, A-Z are lower-cased before the look-up, as the vocabulary would."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,54 +79,51 @@ class WordCoder:
         self.own.no_padding()
         top = self.own.get_vocab_size(with_added_tokens=True)
         self.dtype, self.code = (np.dtype("<u2"), "H") if top <= 1 << 16 else (np.dtype("<u4"), "I")
-        self.memo = Memo(800_000)
-        self.last = np.zeros(top, bool)
-        self.last[[i for t, i in self.own.get_vocab().items() if t.endswith("</w>")]] = True
+        self.known = Lexicon(self.dtype)
+        self.shown = {b: c for c, b in byte_letters().items()}
         self.ends = dict(zip((b".", b","), self.library([b".", b","]), strict=True))
 
     def library(self, words: list[bytes]) -> list[bytes]:
         found = self.own.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return [array(self.code, x.ids).tobytes() for x in found]
 
-    def letters(self, words: list[bytes]) -> list[bytes]:
-        """Words of Latin letters alone are one pre-token each, which ends with the one token that ends a word: many are
-        encoded as one text and told apart by these."""
-        ids = np.array(self.own.encode(b" ".join(words).decode(), add_special_tokens=False).ids, self.dtype)
-        at = np.concatenate([[0], np.flatnonzero(self.last[ids]) + 1]) * self.dtype.itemsize
-        if len(at) != len(words) + 1:
-            return self.library(words)
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    def letters(self, words: list[str]) -> list[bytes]:
+        """Words of Latin letters alone are one pre-token each, in composed form: the library's merges run on its bytes."""
+        tokenize, code, shown = self.own.model.tokenize, self.code, self.shown
+        return [array(code, [t.id for t in tokenize(w.lower() if w.isascii() else w.lower().encode().decode("latin-1").translate(shown))]).tobytes() for w in words]
 
     def compute(self, words: list[bytes]) -> list[bytes]:
         cores = [w[:-1] if w[-1:] in self.ends and w[-2:-1].isalpha() else w for w in words]
-        new = list({c for c in cores if c not in self.memo})
-        plain = [c for c in new if self.latin(c)]
-        rest = list(set(new).difference(plain))
-        known = dict(zip(rest, self.library(rest), strict=True)) if rest else {}
-        for i in range(0, len(plain), 2000):
-            known.update(zip(plain[i : i + 2000], self.letters(plain[i : i + 2000]), strict=True))
-        get = lambda c: known.get(c) or self.memo.get(c) or b""
-        return [get(c) if c is w else get(c) + self.ends[w[-1:]] for c, w in zip(cores, words, strict=True)]
+        new = list(set(cores))
+        shown = {c: w for c in new if self.latin(w := c.decode())}
+        rest = [c for c in new if c not in shown]
+        known = dict(zip(rest, self.library(rest), strict=True)) | dict(zip(shown, self.letters(list(shown.values())), strict=True))
+        return [known[c] if c is w else known[c] + self.ends[w[-1:]] for c, w in zip(cores, words, strict=True)]
 
     @staticmethod
-    def latin(word: bytes) -> bool:
+    def latin(w: str) -> bool:
         """All letters, up to U+024F; without U+0130, whose lower case has a mark."""
-        w = word.decode()
-        return w.isalpha() and max(w) < "\u0250" and "\u0130" not in w
-
-    def words(self, text: str) -> list[bytes]:
-        raw = text.encode()
-        return (raw if b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw else raw.lower()).split()
-
-    def encode(self, texts: list[str]):
-        """For each text the bytes of its ids."""
-        for a, b in chunks(texts, 100_000):
-            split = [self.words(t) for t in texts[a:b]]
-            self.memo.learn(set(chain.from_iterable(split)), self.compute)
-            for words in split:
-                yield b"".join(map(self.memo.__getitem__, words))
-            self.memo.settle()
+        return w.isalpha() and (w.isascii() or max(w) < "\u0250" and "\u0130" not in w)
+
+    def lowered(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """data with A-Z lower-cased, but for rows that may hold added tokens or combining marks."""
+        low = LOWER[data]
+        odd = (data == 0xCC) | (data == 0xCD)
+        odd[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+        for i in np.unique(np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1):
+            low[offsets[i] : offsets[i + 1]] = data[offsets[i] : offsets[i + 1]]
+        return low
+
+    def encode(self, column: pa.Array):
+        """For each text (null: empty) the bytes of its ids."""
+        for _, data, offsets in slices(column):
+            low = self.lowered(data, offsets)
+            starts, ends, bounds = word_spans(low, offsets)
+            at, n = self.known.runs(span_hashes(low, starts, ends), low, starts, ends, self.compute)
+            raw = gathered(self.known.pool, at, n).tobytes()
+            spots = (np.concatenate([[0], np.cumsum(n)])[bounds] * self.dtype.itemsize).tolist()
+            for a, b in zip(spots, spots[1:], strict=False):
+                yield raw[a:b]
 
 
 def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2) -> list[dict]:
@@ -133,7 +131,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2
     Returns the manifest, a row for each shard: name, docs, ids, the ids of all shards before it."""
     tie = own_name(docs.select("doc_id", "text"), "tie")
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias(tie))
-    rows = rows.repartitionByRange("doc_id", tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = rows.repartitionByRange("doc_id", tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie, "text")
 
     def write(batches):
         store, path = filesystem(folder)
@@ -144,10 +142,10 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2
         store.create_dir(path)
         part, index, at, ids = posixpath.join(path, f"{own}.part"), [], 0, 0
         with store.open_output_stream(part) as out:
-            for x in batches:
-                for doc_id, has, got in zip(x["doc_id"].fillna(0).astype("int64"), x["doc_id"].notna(), coder.encode(x["text"].fillna("").tolist()), strict=True):
+            for batch in batches:
+                for doc_id, got in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text")), strict=True):
                     record = frame(got + end)
-                    index.append((doc_id, has, at, (len(got) + len(end)) // coder.dtype.itemsize))
+                    index.append((doc_id or 0, doc_id is not None, at, (len(got) + len(end)) // coder.dtype.itemsize))
                     out.write(record)
                     at += len(record)
                     ids += index[-1][3]
@@ -158,10 +156,10 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2
             out.write(np.array(index, ENTRY).tobytes())
         store.move(f"{part}.idx", posixpath.join(path, f"{name}.idx"))
         store.move(part, posixpath.join(path, f"{name}.bin"))
-        yield pd.DataFrame({"shard": [shard], "name": [name], "docs": [len(index)], "ids": [ids], "item": [coder.dtype.itemsize]})
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "name": [name], "docs": [len(index)], "ids": [ids], "item": pa.array([coder.dtype.itemsize], pa.int32())})
 
     kinds = "shard int, name string, docs long, ids long, item int"
-    manifest = [r.asDict() for r in rows.select(F.col("doc_id").cast("long"), "text").mapInPandas(write, kinds).collect()]
+    manifest = [r.asDict() for r in rows.select(F.col("doc_id").cast("long"), "text").mapInArrow(write, kinds).collect()]
     before = 0
     for m in sorted(manifest, key=lambda m: m["shard"]):
         m["before"], before = before, before + m["ids"]
@@ -178,8 +176,8 @@ def read_records(spark: SparkSession, folder: str, manifest: list[dict], shuffle
 
     def read(batches):
         store, path = filesystem(folder)
-        for x in batches:
-            for name, before, item in zip(x["name"], x["before"], x["item"], strict=True):
+        for batch in batches:
+            for name, before, item in zip(*(batch.column(c).to_pylist() for c in ("name", "before", "item")), strict=True):
                 with store.open_input_file(posixpath.join(path, f"{name}.idx")) as f:
                     index = np.frombuffer(f.read(), ENTRY)
                 start = before + np.concatenate([[0], np.cumsum(index["n"][:-1].astype("int64"))])
@@ -187,10 +185,10 @@ def read_records(spark: SparkSession, folder: str, manifest: list[dict], shuffle
                 with store.open_input_file(posixpath.join(path, f"{name}.bin")) as f:
                     for part in np.array_split(order, max(1, len(order) // 1000)):
                         ids = [np.frombuffer(unframe(lambda at, n: (f.seek(at), f.read(n))[1], int(index["at"][i])), f"<u{item}").astype("<u4").tobytes() for i in part]
-                        doc_id = pd.Series(index["doc_id"][part]).astype("Int64").mask(index["has_id"][part] == 0)
-                        yield pd.DataFrame({"doc_id": doc_id, "start": start[part], "n_tokens": index["n"][part].astype("int64"), "ids": ids})
+                        doc_id = pa.array(index["doc_id"][part], mask=index["has_id"][part] == 0)
+                        yield pa.RecordBatch.from_arrays([doc_id, pa.array(start[part], pa.int64()), pa.array(index["n"][part].astype("int64")), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return shards.repartitionByRange(len(manifest), "name").mapInPandas(read, kinds)
+    return shards.repartitionByRange(len(manifest), "name").mapInArrow(read, kinds)
 
 
 def op5_length_delimited_records(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/word_bpe_49k.json") -> DataFrame:

@@ -38,8 +38,8 @@ def slices(column: pa.Array, most_bytes: int = 2_000_000):
         at = to
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE):
-    """(hash of each lower-cased (A-Z) word, first word of each row, with the end as the last entry)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE):
+    """Starts and ends of the words, and the first word of each row, with the end as the last entry."""
     inside = ~separators[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -50,12 +50,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray =
     first[cut] |= inside[cut]
     last[cut - 1] |= inside[cut - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def span_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span."""
     length = ends - starts
     h = length.astype(np.uint64) * STEP
     live = np.flatnonzero(length <= LONG)
     size, at, own = length[live], starts[live], np.zeros(len(live), np.uint64)
     k, rows = 0, np.arange(len(live))
-    low = LOWER[data]
     while len(rows):
         own[rows] = own[rows] * np.uint64(0x100000001B3) + low[at[rows] + k] + np.uint64(1)
         k += 1
@@ -64,7 +68,56 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray =
     h = splitmix(h)
     for i in np.flatnonzero(length > LONG):
         h[i] = int.from_bytes(blake2b(low[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
-    return h, np.searchsorted(starts, offsets)
+    return h
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE):
+    """(hash of each lower-cased (A-Z) word, first word of each row, with the end as the last entry)."""
+    starts, ends, bounds = word_spans(data, offsets, separators)
+    return span_hashes(LOWER[data], starts, ends), bounds
+
+
+def gathered(pool: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The runs pool[at : at + n], one after the other."""
+    total = np.cumsum(n)
+    return pool[np.repeat(at - total + n, n) + np.arange(total[-1] if len(total) else 0)]
+
+
+class Lexicon:
+    """Runs of numbers by word, where words are known by a 64-bit hash: what a vocabulary makes of each word. Holds `most`
+    words and 8 times as many numbers at most; one batch's words are always held whole."""
+
+    def __init__(self, dtype, most: int = 600_000):
+        self.dtype, self.most = np.dtype(dtype), most
+        self.clear()
+
+    def clear(self) -> None:
+        self.key, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
+
+    def runs(self, h: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, compute) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the pool and length of the run of each word. compute maps a list of words (bytes) to their runs, as
+        bytes of the numbers."""
+        if len(self.key) > self.most or self.used > 8 * self.most:
+            self.clear()
+        own, first, back = np.unique(h, return_index=True, return_inverse=True)
+        where = np.searchsorted(self.key, own)
+        known = self.key[np.minimum(where, len(self.key) - 1)] == own if len(self.key) else np.zeros(len(own), bool)
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw, a, b = low.tobytes(), starts[first[new]].tolist(), ends[first[new]].tolist()
+            made = compute([raw[i:j] for i, j in zip(a, b, strict=True)])
+            n = np.fromiter(map(len, made), np.int64, len(made)) // self.dtype.itemsize
+            found = np.frombuffer(b"".join(made), self.dtype)
+            if self.used + len(found) > len(self.pool):
+                self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + 2 * len(found), self.dtype)])
+            self.pool[self.used : self.used + len(found)] = found
+            at = self.used + np.cumsum(n) - n
+            self.used += len(found)
+            spot = where[new]
+            self.key, self.at, self.n = np.insert(self.key, spot, own[new]), np.insert(self.at, spot, at), np.insert(self.n, spot, n)
+            where = np.searchsorted(self.key, own)
+        return self.at[where][back], self.n[where][back]
 
 
 def windows(h: np.ndarray, bounds: np.ndarray, n: int):
