@@ -1,22 +1,30 @@
-"""Toxicity by class-conditional Kneser-Ney models.
-
-Two bigram models, toxic and ordinary, are counted over all labelled texts but those held out, each text counting a
-word or pair once. A word's probability is its discounted bigram share, backed off to its discounted share in the class,
-backed off to counts that both classes share: the number of different words it follows. The weight of the first back-off
-is shared too (the different words after the first, of both classes), so that a class with fewer texts isn't favoured
-by it. An expression too rare for its class is judged by both. A word's log ratio is held within CLIP.
-
-Words are runs of letters and digits (A-Z lower-cased), known by 31 bits of a hash, and pairs by two of these. Spark sums
-their counts over all rows, in tables that grow with the input; none is cut off or dropped, and none is broadcast. To
-score, texts are dealt into chunks of about CHUNK bytes by a hash. A chunk's different words and pairs (so a frequent one
-is asked for once by a chunk) are joined with the counts, and what is found meets the chunk's texts: a task holds one
-chunk and its counts, however large the input is. STEADY texts
-are added to a pair's context, so that pairs of rare words don't outweigh the words. A word's ratio counts by n / (n + RARE)
-in the measures, with n texts that hold the word: a rare word says less, but all that it says. A text's score compares length-normalised log-likelihoods: of the whole text, and of its most toxic
-windows of a few words, as an expression may be a few words in a long text. A logistic function of these, fitted on
-about CALIBRATE labelled rows (by a hash of the text) that weren't counted, gives the score. Texts without words (null too) have ratios 0.
-
-Labels are learned only from rows whose crc32(doc_id) mod 4 is 0, 1 (counts) or 3 (calibration); 2 is held out.
+"""Toxicity by class-conditional Kneser-Ney models of words' spelling.
+
+Two interpolated Kneser-Ney models, toxic and ordinary, give each symbol of a word (a byte, or the word's end) a probability
+after the ORDER - 1 symbols before it in the word (with marks where the word starts). Their counts come from all labelled
+texts but those held out, each text counting a word once. In a class c,
+
+    p_c(s | h) = (max(count_c(h s) - DISCOUNT, 0) + DISCOUNT * kinds_c(h) * p(s | h')) / count_c(h),   or p(s | h') if c has no h,
+
+where h' is h without its first symbol, and the back-off p is shared by both classes: it's interpolated in the same way over
+continuation counts (how many symbols stand before s and its context), down to one symbol and an even share. So a class that
+knows too little of an expression is smoothed by what both hold, and spellings that no word of the training rows has are
+judged by their parts. For any context the probabilities of all symbols sum to one.
+
+A word's ratio is the sum of log p_toxic / p_ordinary over its symbols, held within CLIP. Where neither class has the symbol
+after its context, the shared part cancels and the ratio is that of the back-off weights; so a model is a table of ratios by
+gram and by context. Spark sums counts over all rows and makes that table with joins and groupings; it grows with the input.
+To score, a table of up to BROADCAST_GRAMS rows (24 MB) is broadcast; a larger one is joined: texts are dealt into chunks of
+about CHUNK bytes by a hash, a chunk's different grams are joined with the table, and what is found meets the chunk's texts.
+Both ways give the same scores.
+
+A text's score compares length-normalised log-likelihoods: of the whole text, of its most toxic windows of a few words, as an
+expression may be a few words in a long text, and of the words beyond doubt. A logistic function of these, fitted on about
+CALIBRATE labelled rows (by a hash of the text) that weren't counted, gives the score. Texts without words (null too) have
+measures 0. Repeated rows get equal scores; a repeated doc_id is judged by each row's text; other columns don't matter.
+
+Words are runs of letters and digits (A-Z lower-cased). Labels are learned only from rows whose crc32(doc_id) mod 4 is 0, 1
+(counts) or 3 (calibration, and counts of the final model); 2 is held out.
 """
 
 from __future__ import annotations
@@ -26,22 +34,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import table, written
-from cuewright.llm.words import PUNCT, slices, word_hashes
+from cuewright.llm.common import forget, table, written
+from cuewright.llm.words import LOWER, PUNCT, Lexicon, gathered, slices, span_hashes, word_spans
 
-#: SLOTS is how many words the shared share is spread over besides the pairs' kinds.
-SLOTS, CHUNK, DISCOUNT, CLIP, STEADY, RARE = 1 << 21, 8 << 20, 0.75, 7.0, 1000.0, 6
+ORDER, BITS, END, START, SYMBOLS = 6, 9, 257, 258, 257
+CHUNK, DISCOUNT, CLIP, SURE = 8 << 20, 0.75, 7.0, 2.0
 WINDOWS = (1, 3, 8)
+MEASURES = len(WINDOWS) + 2
 CALIBRATE = 40_000
 COUNTS = ("toxic", "ordinary", "toxic_part", "ordinary_part")
-#: Different words that follow a word, and that it follows: in all rows, and in those of folds 0 and 1.
-SIDES = ("after", "before", "after_part", "before_part")
 #: Labelled rows (id and label) are broadcast up to this number, about 50 MB; beyond it the join shuffles.
 BROADCAST_LABELS = 1_000_000
+#: Ratios are broadcast up to this number; beyond it they are joined.
+BROADCAST_GRAMS = 2_000_000
 
 
 def fold(doc_id: Column | str) -> Column:
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 if isinstance(doc_id, str) else F.crc32(doc_id.cast("string").cast("binary")) % 4
+    return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary")) % 4
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -52,57 +61,51 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("_id")).select("text", "toxic", "fold")
 
 
-def slots(data: np.ndarray, offsets: np.ndarray):
-    """Identities (31 bits) of words, and the first word of each row."""
-    h, bounds = word_hashes(data, offsets, PUNCT)
-    return (h >> np.uint64(33)).astype(np.int64), bounds
-
+def grams(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """Keys of the grams of each word, its length and one of them: each symbol with the order - 1 before it, BITS bits each,
+    the last symbol lowest."""
+    n = ends - starts + 1
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start, last = np.repeat(starts, n), np.repeat(n - 1, n)
+    key = np.where(at == last, END, low[np.minimum(start + at, len(low) - 1)].astype(np.int64) + 1)
+    for j in range(1, order):
+        key |= np.where(at >= j, low[np.maximum(start + at - j, 0)].astype(np.int64) + 1, START) << BITS * j
+    return key
 
-def pairs_of(w: np.ndarray) -> np.ndarray:
-    """The identity of each word with the one before it; over 31 bits, so no word has it."""
-    return (np.roll(w, 1) + 1 << 31) + w
 
-
-def neighbours(bounds: np.ndarray, n: int) -> np.ndarray:
-    """Whether word i has a predecessor in its row."""
-    has = np.ones(n, bool)
-    has[bounds[:-1][bounds[:-1] < n]] = False
-    return has
-
-
-def once(keys: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each key of each row once."""
-    order = np.lexsort((keys, row))
-    keys, row = keys[order], row[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
-    return keys[new], row[new]
-
-
-def counted(rows: DataFrame) -> DataFrame:
-    """key and COUNTS: counts in all rows, and in those of folds 0 and 1, of words (key < 2**31) and of word pairs (key = (first + 1) * 2**31 + second)."""
+def counted(rows: DataFrame, order: int = ORDER) -> DataFrame:
+    """key (of a gram) and COUNTS: texts' words that have it, in all rows and in those of folds 0 and 1."""
 
     def run(batches):
         held, size = [], 0
 
         def flush():
-            # A pair's key has 62 bits, so the label stands beside it.
-            keys, label = (np.concatenate(x) for x in zip(*held, strict=True))
             for k in range(4):
-                own, n = np.unique(keys[label == k], return_counts=True)
+                keys, n = (np.concatenate([x[i] for kind, *x in held if kind == k] or [np.zeros(0, np.int64)]) for i in (0, 1))
+                own, back = np.unique(keys, return_inverse=True)
+                n = np.bincount(back, n, len(own)).astype(np.int64)
                 kinds = k & 1 > 0, k & 1 == 0, k == 1, k == 0
                 yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(n if x else np.zeros_like(n)) for x in kinds)], names=["key", *COUNTS])
 
         for batch in batches:
             label = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64) + 2 * (batch.column("fold").to_numpy(zero_copy_only=False) == 3)
-            for at, data, offsets in slices(batch.column("text")):
-                w, bounds = slots(data, offsets)
-                row, pair = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds)), neighbours(bounds, len(w))
-                keys = np.concatenate([w, pairs_of(w)[pair]])
-                keys, row = once(keys, np.concatenate([row, row[pair]]))
-                held.append((keys, label[at + row]))
-                size += len(keys)
-                if size > 6_000_000:
+            for first, data, offsets in slices(batch.column("text")):
+                low = LOWER[data]
+                starts, ends, bounds = word_spans(low, offsets, PUNCT)
+                h, row = span_hashes(low, starts, ends), np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
+                order_of = np.lexsort((h, row))
+                new = np.ones(len(h), bool)
+                new[1:] = (h[order_of][1:] != h[order_of][:-1]) | (row[order_of][1:] != row[order_of][:-1])
+                once = order_of[new]
+                kind = label[first + row[once]]
+                for k in range(4):
+                    own = once[kind == k]
+                    _, at, n = np.unique(h[own], return_index=True, return_counts=True)
+                    at = own[at]
+                    keys, back = np.unique(grams(low, starts[at], ends[at], order), return_inverse=True)
+                    held.append((k, keys, np.bincount(back, np.repeat(n, ends[at] - starts[at] + 1), len(keys)).astype(np.int64)))
+                    size += len(keys)
+                if size > 3_000_000:
                     yield from flush()
                     held, size = [], 0
         if size:
@@ -112,78 +115,100 @@ def counted(rows: DataFrame) -> DataFrame:
     return rows.select("text", "toxic", "fold").mapInArrow(run, kinds).groupBy("key").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
-def sided(counts: DataFrame) -> DataFrame:
-    """key, COUNTS and SIDES of words, in one shuffle of partial sums."""
-    part = (F.col("toxic_part") + F.col("ordinary_part") > 0).cast("long")
-    row = lambda key, own, sides: F.struct(key.alias("key"), *(x.cast("long").alias(c) for c, x in zip((*COUNTS, *SIDES), (*own, *sides), strict=True)))
-    none, one = F.lit(0), F.lit(1)
-    word = F.array(row(F.col("key"), [F.col(c) for c in COUNTS], [none] * 4))
-    ends = F.array(row(F.shiftright("key", 31) - 1, [none] * 4, [one, none, part, none]), row(F.col("key").bitwiseAND(F.lit((1 << 31) - 1)), [none] * 4, [none, one, none, part]))
-    rows = counts.select(F.explode(F.when(F.col("key") < 1 << 31, word).otherwise(ends)).alias("x")).select("x.*")
-    return rows.groupBy("key").agg(*(F.sum(c).alias(c) for c in (*COUNTS, *SIDES)))
-
-
-def place(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each of keys stands in known (sorted), and whether it does."""
-    if not len(known):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return at, known[at] == keys
-
-
-class Model:
-    """Counts of the words and pairs that some texts hold, and what follows from them. words: id, toxic, ordinary, after
-    (words that follow), before (words that it follows); pairs: key, toxic, ordinary; sums, of all texts: pair kinds, and
-    for each class texts' words and word kinds."""
-
-    def __init__(self, words: dict[str, np.ndarray], pairs: dict[str, np.ndarray], sums: dict[str, float]):
-        order = np.argsort(words["id"], kind="stable")
-        words = {c: x[order] for c, x in words.items()}
-        self.id = words["id"]
-        shared = (words["before"] + 1) / (sums["pairs"] + SLOTS)
-        self.share, self.rare = [], []
-        for k in ("toxic", "ordinary"):
-            total, kinds = max(sums[k], 1.0), max(sums[f"{k}_kinds"], 1.0)
-            self.share.append(np.append((np.maximum(words[k] - DISCOUNT, 0) + DISCOUNT * kinds * shared) / total, 0.0))
-            self.rare.append(DISCOUNT * kinds / (sums["pairs"] + SLOTS) / total)
-        both = words["toxic"] + words["ordinary"]
-        self.trust = np.append(both / (both + RARE), 0.0)
-        self.back = np.append(np.minimum(DISCOUNT * np.maximum(words["after"], 1) / np.maximum(both, 1), 1), 1.0)
-        self.contexts = [np.append(words[k], 0.0) for k in ("toxic", "ordinary")]
-        order = np.argsort(pairs["key"], kind="stable")
-        self.key, self.pairs = pairs["key"][order], [np.append(pairs[k][order], 0.0) for k in ("toxic", "ordinary")]
-
-    def ratios(self, w: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Log of toxic over ordinary probability of each word."""
-        pair = neighbours(bounds, len(w))
-        (at, known), (spot, held) = place(self.id, w), place(self.key, pairs_of(w))
-        first, context, seen = np.roll(at, 1), pair & np.roll(known, 1), pair & held
-        logs = []
-        for k in (0, 1):
-            p = np.where(known, self.share[k][at], self.rare[k])
-            share = np.where(seen & context, np.maximum(self.pairs[k][spot] - DISCOUNT, 0) / (self.contexts[k][first] + STEADY), 0)
-            logs.append(np.log(np.where(context, np.minimum(share, 1) + self.back[first] * p, p)))
-        return np.clip(logs[0] - logs[1], -CLIP, CLIP)
-
-    def trusted(self, w: np.ndarray) -> np.ndarray:
-        """How much the ratio of each word counts: 0 if it's unknown, near to 1 if many texts hold it."""
-        at, known = place(self.id, w)
-        return np.where(known, self.trust[at], 0)
-
-    def measures(self, w: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """For each row: mean ratio of its words, and the highest mean over a window of 1, 3, 8 words (shorter texts:
-        of the whole)."""
-        r, n = self.ratios(w, bounds) * self.trusted(w) if len(w) else np.zeros(0), np.diff(bounds)
-        out, full = np.zeros((len(n), len(WINDOWS) + 1)), np.flatnonzero(n)
+def context(key: str = "key") -> Column:
+    return F.shiftright(key, BITS)
+
+
+def suffix(length: int) -> Column:
+    return F.col("key").bitwiseAND(F.lit((1 << BITS * length) - 1))
+
+
+def shared(keys: DataFrame, order: int = ORDER) -> DataFrame:
+    """key (of order - 1 symbols) and p, the back-off probability of its last symbol after the others. keys: the different
+    grams of both classes."""
+    levels, now = [], keys
+    for length in range(order - 1, 0, -1):
+        now = now.groupBy(suffix(length).alias("key")).agg(F.count("*").alias("n"))
+        levels.append(now)
+    lower = None
+    for length, own in zip(range(1, order), levels[::-1], strict=True):
+        sums = own.groupBy(context().alias("h")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        rows = own.join(sums, context() == F.col("h"))
+        if lower is None:
+            base = F.lit(1.0 / SYMBOLS)
+        else:
+            rows, base = rows.join(lower.select(F.col("key").alias("low"), F.col("p").alias("base")), suffix(length - 1) == F.col("low")), F.col("base")
+        lower = rows.select("key", ((F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * base) / F.col("total")).alias("p"))
+    return lower
+
+
+def probabilities(counts: DataFrame, part: bool, order: int = ORDER) -> DataFrame:
+    """key, p_toxic, p_ordinary of each gram, and for the context of each (order - 1 symbols) its back-off weights there."""
+    names = {c: c + "_part" * part for c in ("toxic", "ordinary")}
+    own = counts.select("key", *(F.col(c).alias(k) for k, c in names.items())).where("toxic + ordinary > 0")
+    sums = [x for k in names for x in (F.sum(k).alias(f"{k}_total"), F.count_if(F.col(k) > 0).alias(f"{k}_kinds"))]
+    contexts = own.groupBy(context().alias("h")).agg(*sums)
+    low = shared(own.select("key"), order).select(F.col("key").alias("low"), "p")
+    rows = own.join(contexts, context() == F.col("h")).join(low, suffix(order - 1) == F.col("low"))
+    back = lambda k: F.when(F.col(f"{k}_total") > 0, DISCOUNT * F.col(f"{k}_kinds") / F.col(f"{k}_total")).otherwise(1.0)
+    seen = lambda k: F.when(F.col(f"{k}_total") > 0, F.greatest(F.col(k) - DISCOUNT, F.lit(0.0)) / F.col(f"{k}_total")).otherwise(0.0)
+    found = rows.select("key", *((seen(k) + back(k) * F.col("p")).alias(f"p_{k}") for k in names))
+    return found.unionByName(contexts.select(F.col("h").alias("key"), *(back(k).alias(f"p_{k}") for k in names)))
+
+
+class Trained:
+    """ratios: key, ratio of each gram, and of each context for grams that aren't there; weights of the measures."""
+
+    def __init__(self, counts: DataFrame, part: bool, order: int = ORDER):
+        rows = probabilities(counts, part, order).select("key", F.log(F.col("p_toxic") / F.col("p_ordinary")).alias("ratio"))
+        self.ratios, self.weights, self.order = written(rows, "ratios"), np.zeros(MEASURES + 1), order
+        self.size = self.ratios.count()
+
+
+class Scorer:
+    """Ratios of words from a table of ratios (keys, ratios)."""
+
+    def __init__(self, key: np.ndarray, ratio: np.ndarray, order: int = ORDER):
+        at = np.argsort(key, kind="stable")
+        self.key, self.ratio, self.order = key[at], ratio[at], order
+        self.words = Lexicon(np.float32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ratio of each key (0 if it isn't there), and whether it is."""
+        if not len(self.key):
+            return np.zeros(len(keys)), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        there = self.key[at] == keys
+        return np.where(there, self.ratio[at], 0.0), there
+
+    def compute(self, words: list[bytes]) -> list[bytes]:
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(n)
+        keys, back = np.unique(grams(np.frombuffer(b"".join(words), np.uint8), ends - n, ends, self.order), return_inverse=True)
+        ratio, there = self.find(keys)
+        ratio[~there] = self.find(keys[~there] >> BITS)[0]
+        sums = np.add.reduceat(ratio[back], np.cumsum(n + 1) - n - 1)
+        return [x.tobytes() for x in np.clip(sums, -CLIP, CLIP).astype(np.float32)]
+
+    def measures(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """For each row: mean ratio of its words, the highest mean over a window of 1, 3, 8 words (shorter texts: of the
+        whole), and what exceeds SURE, summed and divided by the root of the number of words."""
+        low = LOWER[data]
+        starts, ends, bounds = word_spans(low, offsets, PUNCT)
+        n = np.diff(bounds)
+        out, full = np.zeros((len(n), MEASURES)), np.flatnonzero(n)
         if not len(full):
             return out
+        own = self.words.runs(span_hashes(low, starts, ends), low, starts, ends, self.compute)
+        r = gathered(self.words.pool, *own).astype(float)
         sums, at = np.concatenate([[0.0], np.cumsum(r)]), bounds[:-1][full]
         out[full, 0] = (sums[bounds[1:][full]] - sums[at]) / n[full]
         for j, size in enumerate(WINDOWS):
             # The mean over the window that starts at each word; those that would leave the row stand back.
-            ends = np.minimum(np.arange(len(r)) + size, np.repeat(bounds[1:], n))
-            starts = np.maximum(ends - size, np.repeat(bounds[:-1], n))
-            out[full, j + 1] = np.maximum.reduceat((sums[ends] - sums[starts]) / (ends - starts), at)
+            last = np.minimum(np.arange(len(r)) + size, np.repeat(bounds[1:], n))
+            first = np.maximum(last - size, np.repeat(bounds[:-1], n))
+            out[full, j + 1] = np.maximum.reduceat((sums[last] - sums[first]) / (last - first), at)
+        out[full, -1] = np.add.reduceat(np.maximum(r - SURE, 0), at) / np.sqrt(n[full])
         return out
 
 
@@ -203,20 +228,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
     return np.concatenate([[w[0] - (w[1:] * mid / wide).sum()], w[1:] / wide])
 
 
-class Trained:
-    """counts: key, toxic, ordinary, after, before of every word and pair; sums as Model has them; weights of the measures."""
-
-    def __init__(self, counts: DataFrame, words: DataFrame, part: bool):
-        names = {c: c + "_part" * part for c in ("toxic", "ordinary", "after", "before")}
-        pairs = counts.where(F.col("key") >= 1 << 31).select("key", *COUNTS, *(F.lit(0).cast("long").alias(c) for c in SIDES))
-        pick = lambda rows: rows.select("key", *(F.col(c).alias(k) for k, c in names.items())).where("toxic + ordinary > 0")
-        self.counts, self.weights = pick(words.unionByName(pairs)), np.zeros(len(WINDOWS) + 2)
-        sums = pick(words).agg(F.sum("before").alias("pairs"), *(F.sum(c).alias(c) for c in ("toxic", "ordinary")), *(F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in ("toxic", "ordinary"))).first()
-        self.sums = {k: float(v or 0) for k, v in sums.asDict().items()}
-
-
-def asked(placed: DataFrame) -> DataFrame:
-    """chunk and key of the words and pairs of each chunk, each about once."""
+def asked(placed: DataFrame, order: int) -> DataFrame:
+    """chunk and key of the grams of each chunk, each about once, and of their contexts."""
 
     def run(batches):
         held, size = {}, 0
@@ -229,13 +242,16 @@ def asked(placed: DataFrame) -> DataFrame:
         for batch in batches:
             chunk = batch.column("chunk").to_numpy(zero_copy_only=False)
             for at, data, offsets in slices(batch.column("text")):
-                w, bounds = slots(data, offsets)
-                row, pair = np.repeat(chunk[at : at + len(offsets) - 1], np.diff(bounds)), neighbours(bounds, len(w))
-                keys, row = np.concatenate([w, pairs_of(w)[pair]]), np.concatenate([row, row[pair]])
+                low = LOWER[data]
+                starts, ends, bounds = word_spans(low, offsets, PUNCT)
+                row, h = np.repeat(chunk[at : at + len(offsets) - 1], np.diff(bounds)), span_hashes(low, starts, ends)
                 for c in np.unique(row):
-                    held.setdefault(int(c), []).append(np.unique(keys[row == c]))
+                    mine = np.flatnonzero(row == c)
+                    mine = mine[np.unique(h[mine], return_index=True)[1]]
+                    keys = np.unique(grams(low, starts[mine], ends[mine], order))
+                    held.setdefault(int(c), []).append(np.concatenate([keys, np.unique(keys >> BITS)]))
                     size += len(held[int(c)][-1])
-                if size > 6_000_000:
+                if size > 3_000_000:
                     yield from flush()
                     held, size = {}, 0
         yield from flush()
@@ -243,43 +259,54 @@ def asked(placed: DataFrame) -> DataFrame:
     return placed.select("chunk", "text").mapInArrow(run, "chunk int, key long")
 
 
-def measured(rows: DataFrame, trained: Trained) -> DataFrame:
+def measured(rows: DataFrame, trained: Trained, most: int = BROADCAST_GRAMS) -> DataFrame:
     """rows (one column beside text) with their measures as an array column."""
-    other, sums = next(c for c in rows.columns if c != "text"), trained.sums
+    other, order = next(c for c in rows.columns if c != "text"), trained.order
+    kind = f"{other} {dict(rows.dtypes)[other]}, measures array<double>"
+    listed = lambda x: pa.array(list(x), pa.list_(pa.float64()))
+    if trained.size <= most:
+        own = trained.ratios.toArrow()
+        sent = rows.sparkSession.sparkContext.broadcast((own.column("key").to_numpy(), own.column("ratio").to_numpy()))
+
+        def score(batches):
+            scorer = Scorer(*sent.value, order)
+            for batch in batches:
+                for at, data, offsets in slices(batch.column("text")):
+                    yield pa.RecordBatch.from_arrays([batch.column(other).slice(at, len(offsets) - 1), listed(scorer.measures(data, offsets))], names=[other, "measures"])
+
+        return rows.select(other, "text").mapInArrow(score, kind)
     n = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK + 1
     placed = rows.select(other, "text", F.pmod(F.xxhash64(other, "text"), F.lit(n)).cast("int").alias("chunk")).repartition(n, "chunk")
-    found = asked(placed).join(trained.counts, "key").repartition(n, "chunk")
+    found = asked(placed, order).join(trained.ratios, "key").repartition(n, "chunk")
 
-    def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        own = {c: counts.column(c).to_numpy() for c in ("key", "toxic", "ordinary", "after", "before")}
-        word = own["key"] < 1 << 31
-        take = lambda key, which, *names: {key: own["key"][which], **{c: own[c][which].astype(float) for c in ("toxic", "ordinary", *names)}}
-        model = Model(take("id", word, "after", "before"), take("key", ~word), sums)
-        parts = [model.measures(*slots(data, offsets)) for _, data, offsets in slices(texts.column("text"))]
-        return pa.table({other: texts.column(other), "measures": pa.array(list(np.concatenate(parts)) if parts else [], pa.list_(pa.float64()))})
+    def run(texts: pa.Table, ratios: pa.Table) -> pa.Table:
+        key, at = np.unique(ratios.column("key").to_numpy(), return_index=True)
+        scorer = Scorer(key, ratios.column("ratio").to_numpy()[at], order)
+        parts = [scorer.measures(data, offsets) for _, data, offsets in slices(texts.column("text"))]
+        return pa.table({other: texts.column(other), "measures": listed(np.concatenate(parts) if parts else [])})
 
-    kind = f"{other} {dict(rows.dtypes)[other]}, measures array<double>"
     return placed.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(run, kind)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Trained:
+def train(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> Trained:
     """Counts of folds 0 and 1 are calibrated on fold 3; the model has that calibration and the counts of all three."""
     rows = labelled(docs, labels)
-    counts = written(counted(rows), "counts")
-    words = written(sided(counts), "words")
+    counts = written(counted(rows, order), "counts")
     apart = rows.where("fold = 3")
     share = min(1.0, CALIBRATE / max(1, apart.count()))
     chosen = apart.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else apart
-    sample = measured(chosen.select("toxic", "text"), Trained(counts, words, True)).toArrow()
-    model = Trained(counts, words, False)
-    x = np.array(sample.column("measures").to_pylist()).reshape(-1, len(WINDOWS) + 1)
+    part = Trained(counts, True, order)
+    sample = measured(chosen.select("toxic", "text"), part).toArrow()
+    model = Trained(counts, False, order)
+    forget(counts, part.ratios)
+    x = np.array(sample.column("measures").to_pylist()).reshape(-1, MEASURES)
     model.weights = fit_logistic(x, sample.column("toxic").to_numpy().astype(float))
     return model
 
 
-def scored(docs: DataFrame, model: Trained, threshold: float = 0.3) -> DataFrame:
+def scored(docs: DataFrame, model: Trained, threshold: float = 0.3, most: int = BROADCAST_GRAMS) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs."""
-    found = measured(docs.select("doc_id", "text"), model)
+    found = measured(docs.select("doc_id", "text"), model, most)
     z = sum((float(w) * F.element_at("measures", i + 1) for i, w in enumerate(model.weights[1:])), F.lit(float(model.weights[0])))
     found = found.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), z)))))
     return found.select("doc_id", F.coalesce(fold("doc_id") == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
