@@ -6,10 +6,11 @@ BANDS bands of ROWS minima give bucket keys, and only the low BITS bits of each
 bits. Classes that share a bucket are candidates; bit counts of the planes estimate their similarity, corrected for
 chance collisions of BITS bits, and candidates far below the threshold go. The rest is confirmed on full sets.
 
-Groups of any size: a text of whose shingles too many occur in no other candidate can't link and is shed. Only what joins components matters, so a bucket's pairs aren't all listed. Some rounds compare
-each bucket's classes with one pivot, unless they are known to be connected. Then what is left, classes of a bucket
-outside its largest component, is compared with every class there of another component, so no link between components
-is lost: exact, and linear where a group is one component.
+Groups of any size: a text of whose shingles too many occur in no other candidate can't link and is shed. Only what joins
+components matters, so a bucket's pairs aren't all listed. Some rounds compare each bucket's classes with one pivot, unless
+they are known to be connected. Then what is left must meet: in buckets of up to SMALL classes, those outside the largest
+component meet the classes of the others; in larger ones classes are told apart by how they differ from the pivot, and only
+those meet that share a rare difference (see differing()). No link between components is lost either way.
 
 Chance of missing a link of similarity s: (1 - s**ROWS)**BANDS; 2e-8 at 0.85, 6e-6 at 0.8.
 Null doc_id: such a document's links count, but it gives no component its name; alone it is kept, with a null
@@ -22,14 +23,14 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuewright.llm.common import forget, own_name, table, written
 from cuewright.llm.components import components
 from cuewright.llm.words import shingle_sets, slices
 
-BANDS, ROWS, BITS, PIVOT_ROUNDS = 24, 4, 2, 2
+BANDS, ROWS, BITS, PIVOT_ROUNDS, SMALL = 24, 4, 2, 2, 48
 HASHES = BANDS * ROWS
 PLANES = BITS * (-(-HASHES // 64))
 MULTIPLY, ADD = (np.random.default_rng(7).integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) for _ in range(2))
@@ -174,19 +175,87 @@ def may_link(a: str, b: str, percent: int) -> Column:
     return 100 * both >= percent * (F.col(f"{a}size") + F.col(f"{b}size") - both)
 
 
-def candidates(rows: DataFrame, roots: DataFrame | None, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and may link. Up to PIVOT_ROUNDS only pairs with a bucket's
-    k-th pivot; after that, all pairs of which one is outside the bucket's largest component."""
-    at = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    if k < PIVOT_ROUNDS:
-        pivot = F.min_by(F.struct("node", "root", "size", "free"), F.xxhash64("node", F.lit(k)) if k else F.struct(-F.col("free") / F.col("size"), "node")).alias("pivot")
-        still = at.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), pivot).where("low < high")
-        pairs = at.join(still.select("bucket", F.col("pivot.node").alias("x"), F.col("pivot.root").alias("x_root"), F.col("pivot.size").alias("x_size"), F.col("pivot.free").alias("x_free")), "bucket")
-    else:
-        largest = at.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-        outside = at.join(largest, "bucket").where("root <> main").select("bucket", F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("size").alias("x_size"), F.col("free").alias("x_free"))
-        pairs = outside.join(at, "bucket")
-    return pairs.where((F.col("root") != F.col("x_root")) & may_link("", "x_", percent)).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+def pivot_order() -> Column:
+    """Least for a bucket's pivot: the class with the largest share of shingles that others have too."""
+    return F.struct(-F.col("free") / F.col("size"), "node")
+
+
+def rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    return rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+
+
+def with_pivots(at: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components, of which one is the bucket's k-th pivot, that may link."""
+    pivot = F.min_by(F.struct("node", "root", "size", "free"), F.xxhash64("node", F.lit(k)) if k else pivot_order()).alias("pivot")
+    still = at.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), pivot).where("low < high")
+    pairs = at.join(still.select("bucket", F.col("pivot.node").alias("x"), F.col("pivot.root").alias("x_root"), F.col("pivot.size").alias("x_size"), F.col("pivot.free").alias("x_free")), "bucket")
+    return ordered(pairs.where((F.col("root") != F.col("x_root")) & may_link("", "x_", percent)))
+
+
+def outside_largest(at: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may link, of buckets of few classes: one is outside the largest component."""
+    largest = at.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    outside = at.join(largest, "bucket").where("root <> main").select("bucket", F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("size").alias("x_size"), F.col("free").alias("x_free"))
+    return ordered(outside.join(at, "bucket").where((F.col("root") != F.col("x_root")) & may_link("", "x_", percent)))
+
+
+def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """p, node, root, size, p_size, d (number of shingles that just one of node and pivot p has), element (each of them)."""
+
+    def run(batches):
+        for batch in batches:
+            parts = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                parts.append(np.setxor1d(np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64), assume_unique=True))
+            d = np.array([len(x) for x in parts], np.int64)
+            own = [pa.array(np.repeat(batch.column(c).to_numpy(), d)) for c in ("p", "node", "root", "size", "p_size")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.repeat(d, d)), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))], names=["p", "node", "root", "size", "p_size", "d", "element"])
+
+    own = members.join(sets.select("node", F.col("shingles").alias("x")), "node").join(sets.select(F.col("node").alias("p"), F.col("shingles").alias("y")), "p")
+    rows = own.select("p", "node", F.col("root").cast("long"), F.col("size").cast("long"), (F.length("y") / 8).cast("long").alias("p_size"), "x", "y")
+    return rows.mapInArrow(run, "p long, node long, root long, size long, p_size long, d long, element long")
+
+
+def differing(at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components of large buckets that may link.
+
+    D(a) is the symmetric difference of a's set and the pivot's p. a and b link if |D(a) ^ D(b)| <= c (|a| + |b|) with
+    c = (1 - t) / (1 + t), so they share at least o = (|D(a)| + |D(b)| - c (|a| + |b|)) / 2 differences. Classes that link
+    with p are in its component, so of a pair still to be found one, y, doesn't: |D(y)| > c (|y| + |p|). Then o > 0, more
+    than about half of the other's differences, and at least |D(y)| - |y| (1 - t) / t. Sorted by rarity, two sets that share
+    o elements share one of their first |D| - o + 1: only those are joined, and a difference that nobody shares takes a place
+    there for nothing. Texts with edits of their own so meet few others, however large the group is."""
+    pivots = at.groupBy("bucket").agg(F.min_by("node", pivot_order()).alias("p"))
+    members = at.join(pivots, "bucket").select("p", "node", "root", "size", "free").distinct()
+    rows = written(differences(members, sets), "differences")
+    often = rows.groupBy("p", "element").agg(F.count("*").alias("n")).where("n > 1")
+    own = Window.partitionBy("p", "node")
+    shared = rows.join(often, ["p", "element"]).withColumn("f", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("n", "element")) + F.col("d") - F.col("f"))
+    least = {
+        "short": F.ceil((F.col("d") * (100 + percent) + (100 - percent) * F.least(F.lit(0), F.col("p_size") - F.col("size"))) / (2 * (100 + percent)) - 1e-9),
+        "long": F.ceil(F.col("d") - F.col("size") * (100 - percent) / percent - 1e-9),
+    }
+    fits = {k: F.col("place") <= F.col("d") - F.greatest(F.lit(1), o) + 1 for k, o in least.items()}
+    apart = F.col("d") * (100 + percent) > (100 - percent) * (F.col("size") + F.col("p_size"))
+    shared = written(shared.select("p", "element", "node", "root", "size", "d", "f", fits["short"].alias("short"), (fits["long"] & apart).alias("long")).where("short or long"), "shared")
+    y = shared.where("long").select("p", "element", F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("size").alias("x_size"), F.col("d").alias("x_d"), F.col("f").alias("x_f"))
+    enough = 2 * F.least("f", "x_f") * (100 + percent) >= (F.col("d") + F.col("x_d")) * (100 + percent) - (100 - percent) * (F.col("size") + F.col("x_size"))
+    sizes = 100 * F.least("size", "x_size") >= percent * F.greatest("size", "x_size")
+    return ordered(shared.where("short").join(y, ["p", "element"]).where((F.col("root") != F.col("x_root")) & enough & sizes))
+
+
+def left_over(rows: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may link two components of any bucket."""
+    at = rooted(rows, roots)
+    kinds = at.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket", "n")
+    at = written(at.join(kinds, "bucket"), "left")
+    few, many = at.where(F.col("n") <= SMALL), at.where(F.col("n") > SMALL)
+    found = outside_largest(few.drop("n"), percent)
+    return found if many.isEmpty() else found.unionByName(differing(many, sets, percent)).distinct()
 
 
 def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -201,7 +270,7 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     forget(all_rows)
     planes, roots = classes.select("node", "planes"), None
     for k in range(PIVOT_ROUNDS + 1):
-        pairs = candidates(rows, roots, k, percent)
+        pairs = with_pivots(rooted(rows, roots), k, percent) if k < PIVOT_ROUNDS else left_over(rows, roots, sets, percent)
         pairs = pairs.join(planes.select(F.col("node").alias("a"), F.col("planes").alias("x")), "a").join(planes.select(F.col("node").alias("b"), F.col("planes").alias("y")), "b")
         new = confirmed(pairs.where(estimate("x", "y") >= slack(percent / 100)).select("a", "b"), sets, percent)
         new = new if roots is None else new.unionByName(roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))

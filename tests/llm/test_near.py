@@ -70,6 +70,25 @@ def test_near_text(make, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == {i: (len(s), want[i], want[i] == i) for i, s in enumerate(sets)}
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+@pytest.mark.parametrize("small", [3, 48])
+def test_large_group(make, monkeypatch, percent, small):
+    """Many texts with edits of one base: most are linked to few or none, and edits repeat."""
+    monkeypatch.setattr(near_text, "SMALL", small)
+    rng, base, texts = np.random.default_rng(8), prose(110, 5).split(), []
+    for _ in range(260):
+        w = list(base)
+        for _ in range(rng.integers(0, 7)):
+            i = int(rng.integers(0, 30)) * 3
+            w[i : i + 1] = [[], [w[i], w[i]], ["new"], [prose(1, int(rng.integers(0, 9999)))]][rng.integers(0, 4)]
+        texts.append(" ".join(w))
+    sets = [shingles(t) for t in texts]
+    want = roots(range(len(texts)), [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])])
+    assert 20 < len(set(want.values())) < 230
+    rows = near_text.near_components(make(texts), percent).collect()
+    assert {r.doc_id: r.component_id for r in rows} == want
+
+
 def test_estimate():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
