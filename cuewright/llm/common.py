@@ -87,13 +87,18 @@ def chunks(texts: list, most_chars: int = 250_000):
         yield at, len(texts)
 
 
-def per_worker(cache: dict, key, make):
-    """One object for each Python worker and key, e.g. a loaded tokenizer. Its many small entries hold no cycles, so
-    the cycle collector runs less often."""
-    if key not in cache:
+_held: dict = {}
+
+
+def per_worker(key, make):
+    """One object for each Python worker, e.g. a loaded tokenizer with its memo: workers live on from stage to stage, so
+    another key's object goes first. Its many small entries hold no cycles, so the cycle collector runs less often."""
+    if key not in _held:
         gc.set_threshold(50_000, 20, 100)
-        cache[key] = make()
-    return cache[key]
+        _held.clear()
+        gc.collect()
+        _held[key] = make()
+    return _held[key]
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:

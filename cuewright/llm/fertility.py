@@ -26,7 +26,6 @@ STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repe
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
 #: Deviations allowed below and above the median, and the least half-width of a band: a share of the median, or so much.
 LOW, HIGH, LEAST_SHARE, LEAST = 4.5, 10.0, 0.125, {"chars_per_token": 0.0, "byte_share": 0.15, "token_entropy": 0.8}
-_workers: dict = {}
 
 
 class PieceCoder:
@@ -68,7 +67,7 @@ def stats(text: Column, vocabulary: str) -> Column:
 
     @F.pandas_udf(STATS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coder = per_worker(_workers, vocabulary, lambda: PieceCoder(vocabulary))
+        coder = per_worker(("pieces", vocabulary), lambda: PieceCoder(vocabulary))
         for column in batches:
             texts, out = column.fillna("").tolist(), []
             for a, b in chunks(texts):

@@ -54,7 +54,6 @@ DIGIT = re.compile("[0-9]")
 CUES = {"mail": ("mail", "contact", "write"), "call": ("call", "phone", "tel", "mobile", "fax"), "secret": ("password", "passwd", "pwd", "secret", "token", "key", "auth", "credential"), "id": ("ssn", "social", "passport", "iban", "account", "tax"), "plain": ("order", "version", "isbn", "page", "item", "section", "year", "build", "hash", "commit", "id=", "ref")}
 FEATURES = 24
 PRECISION, EXAMPLES, TREES, DEPTH, RATE = 0.98, 6000, 60, 3, 0.2
-_workers: dict = {}
 
 
 def luhn(digits: str) -> bool:
@@ -250,7 +249,7 @@ def private_spans(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf(KINDS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        trees, limits = per_worker(_workers, "trees", lambda: model.value)
+        trees, limits = per_worker("trees", lambda: model.value)
         for column in batches:
             out = []
             for base, added in found(column.fillna("").tolist(), trees, limits):

@@ -32,7 +32,6 @@ from cuewright.llm.words import LOWER, Lexicon, gathered, slices, span_hashes, w
 
 MASK = 0xA282EAD8
 ENTRY = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("at", "<u8"), ("n", "<u8")])
-_workers: dict = {}
 
 
 def masked(data: bytes) -> int:
@@ -137,7 +136,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2
         store, path = filesystem(folder)
         shard = TaskContext.get().partitionId()
         name, own = f"shard-{shard:05d}", f"{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}"
-        coder = per_worker(_workers, vocabulary, lambda: WordCoder(vocabulary))
+        coder = per_worker(("records", vocabulary), lambda: WordCoder(vocabulary))
         end = np.array([end_id], coder.dtype).tobytes()
         store.create_dir(path)
         part, index, at, ids = posixpath.join(path, f"{own}.part"), [], 0, 0
