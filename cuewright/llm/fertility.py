@@ -10,18 +10,18 @@ documents, so a band goes from that of all to its own without a step.
 
 from __future__ import annotations
 
-from collections import Counter
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import TOKENIZERS, Memo, chunks, own_name, per_worker, table, written
+from cuewright.llm.common import TOKENIZERS, own_name, per_worker, table, written
+from cuewright.llm.words import SPACE, Lexicon, gathered, slices, span_hashes, windows, word_spans
 
-SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
+SPACES, SYMBOL = b" \t\n\x0b\x0c\r", np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, token_entropy double"
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
 #: Deviations allowed below and above the median, and the least half-width of a band: a share of the median, or so much.
@@ -35,50 +35,59 @@ class PieceCoder:
         self.own = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = self.own.get_piece_size()
         self.is_byte = np.array([self.own.is_byte(i) for i in range(self.size)])
-        self.memo = Memo()
+        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.known = Lexicon(self.dtype)
 
     def compute(self, words: list[bytes]) -> list[bytes]:
-        return [np.array(x, "<u2" if self.size <= 1 << 16 else "<u4").tobytes() for x in self.own.encode([w.decode() for w in words], num_threads=1)]
-
-    def measure(self, words: list[bytes], chars: int) -> tuple[int, float, float, float]:
-        ids = np.frombuffer(b"".join(map(self.memo.__getitem__, words)), "<u2" if self.size <= 1 << 16 else "<u4")
-        if not len(ids):
-            return 0, 0.0, 0.0, 0.0
-        counts = np.bincount(ids, minlength=self.size)
-        share = counts[counts > 0] / len(ids)
-        return len(ids), chars / len(ids), float(counts[self.is_byte].sum() / len(ids)), float(-(share * np.log2(share)).sum())
-
-
-def repeated(words: list[bytes]) -> int:
-    """Words that lie in a window of three words found twice or more."""
-    triples = list(zip(words, words[1:], words[2:], strict=False))
-    if len(set(triples)) == len(triples):
-        return 0
-    often = {t for t, n in Counter(triples).items() if n > 1}
-    hit = np.zeros(len(words) + 2, bool)
-    at = np.array([i for i, t in enumerate(triples) if t in often])
+        return [array(self.dtype.char, x).tobytes() for x in self.own.encode([w.decode() for w in words], num_threads=1)]
+
+    def stats(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """A column for each of STATS."""
+        starts, ends, bounds = word_spans(data, offsets)
+        n, rows = np.diff(bounds), len(offsets) - 1
+        sums = lambda x, at: np.diff(np.concatenate([[0], np.cumsum(x)])[at])
+        h, row = span_hashes(data, starts, ends), np.repeat(np.arange(rows), n)
+        chars = sums(~SPACE[data] & (data & 0xC0 != 0x80), offsets)
+        lines = [[x for x in t.split(b"\n") if x.strip(SPACES)] for t in (data[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False))]
+        at, size = self.known.runs(h, data, starts, ends, self.compute)
+        ids, tokens = gathered(self.known.pool, at, size).astype(np.int64), sums(size, bounds)
+        key, count = np.unique(np.repeat(np.arange(rows), tokens) * self.size + ids, return_counts=True)
+        owner = key // self.size
+        share = count / tokens[owner]
+        of = np.maximum(tokens, 1)
+        return [
+            n, chars, sums(SYMBOL[data], offsets), np.array([len(x) - len(set(x)) for x in lines], np.int64), sums(repeated(h, bounds, row), bounds), tokens,
+            chars / of, np.bincount(np.repeat(np.arange(rows), tokens), self.is_byte[ids], rows) / of, np.bincount(owner, -share * np.log2(share), rows),
+        ]
+
+
+def repeated(h: np.ndarray, bounds: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Whether each word lies in a window of three words found twice or more in its row."""
+    x, at = windows(h, bounds, 3)
+    own = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    order = np.lexsort((x, own))
+    same = np.zeros(len(x) + 1, bool)
+    same[1:-1] = (x[order][1:] == x[order][:-1]) & (own[order][1:] == own[order][:-1])
+    often = order[same[1:] | same[:-1]]
+    hit = np.zeros(len(h), bool)
+    first = bounds[:-1][own[often]] + often - at[:-1][own[often]]
     for k in range(3):
-        hit[at + k] = True
-    return int(hit.sum())
+        hit[first + k] = True
+    return hit
 
 
 def stats(text: Column, vocabulary: str) -> Column:
     """STATS of whole texts as a struct (null: no words)."""
+    names = [x.split()[0] for x in STATS.split(", ")]
 
-    @F.pandas_udf(STATS)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(STATS)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = per_worker(("pieces", vocabulary), lambda: PieceCoder(vocabulary))
         for column in batches:
-            texts, out = column.fillna("").tolist(), []
-            for a, b in chunks(texts):
-                split = [t.encode().split() for t in texts[a:b]]
-                coder.memo.learn(set(chain.from_iterable(split)), coder.compute)
-                for t, words in zip(texts[a:b], split, strict=True):
-                    lines = [x for x in t.split("\n") if x.strip(SPACES)]
-                    chars = len(t) - sum(map(t.count, SPACES))
-                    out.append((len(words), chars, sum(map(t.count, SYMBOLS)), len(lines) - len(set(lines)), repeated(words), *coder.measure(words, chars)))
-                coder.memo.settle()
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in STATS.split(", ")])
+            parts = [coder.stats(data, offsets) for _, data, offsets in slices(column)]
+            kinds = [pa.int64() if x.endswith("long") else pa.float64() for x in STATS.split(", ")]
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0)] * len(names)
+            yield pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
 
     return run(text)
 
