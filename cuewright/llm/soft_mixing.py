@@ -5,9 +5,11 @@ and toxic text. Documents get rates, how often each is to be taken, so that the
 of rate * tokens * probability, meet the targets. Rates start at one and stay as near to that as the targets let them:
 they minimise the tokens' squares of (rate - 1), and what is missing of the targets at a high price (1 / PRICE), so
     rate = max(0, 1 - p . multipliers)
-with a multiplier for each domain. Newton steps find these: G = sum of tokens * p p' over the documents whose rate isn't
-zero is the curvature, and a step that doesn't lower the (convex) dual is halved. A step sums as many numbers as there are
-pairs of domains over all documents; the documents' rates follow from the multipliers, so no state is kept or sent.
+with a multiplier for each domain: projected gradient with lazy projection. The gradient of the squared misses moves every
+rate by its memberships times the misses; the moves add up in the multipliers, and rates are their projection on what isn't
+negative. Each step is scaled by the curvature G = sum of tokens * p p' over the documents whose rate isn't zero, and halved
+if it doesn't lower the (convex) dual. A step sums as many numbers as there are pairs of domains over all documents; the
+rates follow from the multipliers, so no state is kept or sent.
 
 The fitted rates are the final ones, so what they reach is what the fit has measured; targets that no rates reach (all
 documents alike, or too few rounds) are reported by a warning. A rate r

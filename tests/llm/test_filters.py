@@ -210,61 +210,71 @@ def test_kneser_ney(spark, make):
 
 def test_kneser_ney_oddities(clash, labels, odd):
     for lab in (labels, labels.limit(0), labels.where("toxic = 1")):
-        rows = kneser_ney.scored(clash, kneser_ney.train(clash, lab)).collect()
+        model = kneser_ney.train(clash, lab)
+        rows = kneser_ney.scored(clash, model).collect()
         assert len(rows) == len(odd) and all(r.score is not None and 0 <= r.score <= 1 for r in rows)
+        assert len({r.score for r, t in zip(sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id)), odd, strict=True) if not (t or "").strip()}) == 1
+    assert kneser_ney.scored(clash.limit(0), model).count() == 0
+    assert kneser_ney.scored(clash, kneser_ney.train(clash.limit(0), labels)).count() == len(odd)
 
 
-def test_kneser_ney_by_hand():
-    """A known and an unknown word's ratios from the formula, on a model of known counts."""
-    size = kneser_ney.SLOTS
-    count = lambda *x: np.array(x, float)
-    words = {"id": np.array([5, 7 + size]), "toxic": count(3, 0), "ordinary": count(1, 4), "after": count(0, 2), "before": count(2, 1)}
-    pairs = {"key": np.array([(7 + size + 1 << 31) + 5]), "toxic": count(2), "ordinary": count(0)}
-    m = kneser_ney.Model(words, pairs, {"pairs": 3, "toxic": 3, "ordinary": 5, "toxic_kinds": 1, "ordinary_kinds": 2})
-    shared = lambda n: (n + 1) / (3 + size)
-    tox, plain = (2.25 + 0.75 * shared(2)) / 3, (0.25 + 0.75 * 2 * shared(2)) / 5
-    assert m.ratios(np.array([5]), np.array([0, 1]))[0] == pytest.approx(np.log(tox / plain), rel=1e-4)
-    back = 0.75 * 2 / 4
-    want = np.log((1.25 / (0 + kneser_ney.STEADY) + back * tox) / (back * plain))
-    assert m.ratios(np.array([7 + size, 5]), np.array([0, 2]))[1] == pytest.approx(want, rel=1e-4)
-    rare = np.log((0.75 / 3) / (0.75 * 2 / 5))
-    assert m.ratios(np.array([9]), np.array([0, 1]))[0] == pytest.approx(rare, rel=1e-4)
-
-
-def test_kneser_ney_whole_counts(spark, make, monkeypatch):
-    """Measures follow from the counts of all words and pairs, once-seen ones too, however texts fall into chunks."""
-    monkeypatch.setattr(kneser_ney, "CHUNK", 2000)
-    texts = [prose(30, k % 45) + f" rare{k % 50}" for k in range(120)] + [None, ""]
-    docs = make(texts)
-    lab = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(100)], "doc_id bigint, quality int, toxic int")
-    got = {r.doc_id: r.measures for r in kneser_ney.measured(docs.select("doc_id", "text"), kneser_ney.train(docs, lab)).collect()}
+def naive_model(texts, marks, order):
+    """Plain interpolated Kneser-Ney over tuples of symbols, from the definition: probabilities and ratios of words."""
+    top = [Counter(), Counter()]
+    for t, y in zip(texts, marks, strict=True):
+        for w in set(re.findall(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t.lower().encode())):
+            x = ["^"] * (order - 1) + list(w) + ["$"]
+            top[y].update(tuple(x[i - order + 1 : i + 1]) for i in range(order - 1, len(x)))
+    levels = {order - 1: Counter(g[1:] for g in top[0] | top[1])}
+    for n in range(order - 2, 0, -1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+
+    def discounted(count, h, x, lower):
+        own = {g: n for g, n in count.items() if g[:-1] == h}
+        total = sum(own.values())
+        return (max(own.get((*h, x), 0) - 0.75, 0) + 0.75 * len(own) * lower) / total if total else lower
+
+    def low(h, x):
+        return discounted(levels[len(h) + 1], h, x, low(h[1:], x) if h else 1 / 257)
+
+    chance = lambda y, h, x: discounted(top[y], h, x, low(h[1:], x))
+
+    def ratio(w):
+        x = ["^"] * (order - 1) + list(w.encode()) + ["$"]
+        return np.clip(sum(np.log(chance(1, h, z) / chance(0, h, z)) for i in range(order - 1, len(x)) for h, z in [(tuple(x[i - order + 1 : i]), x[i])]), -7, 7)
+
+    return top, chance, ratio
+
+
+@pytest.mark.parametrize("most", [0, kneser_ney.BROADCAST_GRAMS])
+def test_kneser_ney_by_definition(spark, make, monkeypatch, most):
+    """Counts, ratios and measures equal those of the definition, broadcast or joined, however texts fall into chunks; the
+    probabilities of all symbols after a context sum to one."""
     import zlib
 
-    count, after, before = [Counter(), Counter()], {}, {}
-    for k in range(100):
-        if zlib.crc32(str(k).encode()) % 4 != 2:
-            w = texts[k].split()
-            count[k % 3 > 0].update({*w, *zip(w, w[1:], strict=False)})
-    both = count[0] + count[1]
-    for key in both:
-        if isinstance(key, tuple):
-            after.setdefault(key[0], set()).add(key[1])
-            before.setdefault(key[1], set()).add(key[0])
-    n = sum(map(len, before.values())) + kneser_ney.SLOTS
-    total = [sum(v for w, v in c.items() if isinstance(w, str)) for c in count]
-    kinds = [sum(isinstance(w, str) for w in c) for c in count]
-
-    def chance(k, a, b):
-        p = (max(count[k][b] - 0.75, 0) + 0.75 * kinds[k] * (len(before.get(b, ())) + 1) / n) / total[k]
-        if a not in both:
-            return p
-        return max(count[k][a, b] - 0.75, 0) / (count[k][a] + kneser_ney.STEADY) + min(0.75 * max(len(after.get(a, ())), 1) / both[a], 1) * p
-
-    assert len(got) == 122 and got[120] == got[121] == [0] * 4
-    for k in range(120):
-        w = texts[k].split()
-        ratio = [both[b] / (both[b] + kneser_ney.RARE) * np.clip(np.log(chance(0, a, b) / chance(1, a, b)), -7, 7) for a, b in zip([None, *w], w, strict=False)]
-        assert got[k][:2] == pytest.approx([np.mean(ratio), max(ratio)], rel=1e-6)
+    monkeypatch.setattr(kneser_ney, "CHUNK", 500)
+    order, texts = 3, [" ".join(prose(5, k % 17).split()) + f" Foul{k % 5} \u00e9t\u00e9" * (k % 3 == 0) for k in range(40)]
+    docs = make([*texts, "unseen \u6f22 x", None, ""])
+    lab = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(40)], "doc_id bigint, quality int, toxic int")
+    used = [k for k in range(40) if zlib.crc32(str(k).encode()) % 4 != 2]
+    top, chance, ratio = naive_model([texts[k] for k in used], [int(k % 3 == 0) for k in used], order)
+    code = lambda x: {"^": kneser_ney.START, "$": kneser_ney.END}.get(x) or x + 1
+    key = lambda g: sum(code(x) << kneser_ney.BITS * i for i, x in enumerate(g[::-1]))
+    counts = kneser_ney.counted(kneser_ney.labelled(docs, lab), order)
+    assert {r.key: (r.toxic, r.ordinary) for r in counts.collect()} == {key(g): (top[1][g], top[0][g]) for g in top[0] | top[1]}
+    rows = {r.key: (r.p_ordinary, r.p_toxic) for r in kneser_ney.probabilities(counts, False, order).collect()}
+    for g in top[0] | top[1]:
+        assert rows[key(g)] == pytest.approx([chance(y, g[:-1], g[-1]) for y in (0, 1)])
+    for h in [("^", "^"), ("^", ord("f")), (ord("a"), ord("b")), (1, 2)]:
+        for y in (0, 1):
+            assert sum(chance(y, h, x) for x in [*range(256), "$"]) == pytest.approx(1)
+    got = {r.doc_id: r.measures for r in kneser_ney.measured(docs.select("doc_id", "text"), kneser_ney.train(docs, lab, order), most).collect()}
+    assert len(got) == 43 and got[41] == got[42] == [0] * kneser_ney.MEASURES
+    for k, t in enumerate([*texts, "unseen \u6f22 x"]):
+        r = np.array([ratio(w) for w in t.lower().split()])
+        threes = [r[i : i + 3].mean() for i in range(max(1, len(r) - 2))]
+        assert got[k][:3] == pytest.approx([r.mean(), r.max(), max(threes)], abs=1e-4)
+        assert got[k][-1] == pytest.approx(np.maximum(r - 2, 0).sum() / len(r) ** 0.5, abs=1e-4)
 
 
 def test_mixing(spark, make):
@@ -309,13 +319,16 @@ def test_mixing_oddities(clash, labels, odd):
     assert soft_mixing.take_mixed(clash.limit(0), labels).count() == 0
 
 
-def test_projected_gradient_by_hand():
-    """The steps lead to the targets where rates must be cut off at zero."""
+def test_rates_against_projected_gradient(spark):
+    """Rates equal those of many plain projected-gradient steps, where some are cut off at zero."""
     rng = np.random.default_rng(3)
     n, p = rng.integers(1, 100, 200).astype(float), rng.dirichlet([0.3, 0.3, 0.3], 200)
-    g = (p * n[:, None]).T @ p
-    goal = (n[:, None] * p).sum(0) * [1.0, 0.3, 0.05]
-    r = np.ones(200)
-    for _ in range(200):
-        r = np.maximum(0, r - p @ np.linalg.inv(g) @ ((r * n) @ p - goal))
-    assert (r * n) @ p == pytest.approx(goal, rel=0.05)
+    targets = dict(zip(soft_mixing.DOMAINS, (1.0, 0.3, 0.05), strict=True))
+    members = spark.createDataFrame([((int(a), *map(float, b)),) for a, b in zip(n, p, strict=True)], f"s struct<{soft_mixing.KINDS.replace(' long', ':long').replace(' double', ':double')}>")
+    x = soft_mixing.fit_rates(members, "s", targets)
+    goal, y = n @ p * list(targets.values()), np.zeros(3)
+    for _ in range(20_000):
+        r = np.maximum(0, 1 - p @ y)
+        y += 0.5 * ((n * r) @ p - goal) / n.sum()
+    assert np.maximum(0, 1 - p @ x) == pytest.approx(r, abs=1e-3)
+    assert (r == 0).any() and (n * r) @ p == pytest.approx(goal, rel=1e-3)
