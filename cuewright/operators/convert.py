@@ -14,9 +14,9 @@ def loss(feature: str, value: Column | str, reason: str) -> Column:
     return F.struct(F.lit(feature).alias("feature"), (F.lit(value) if isinstance(value, str) else value).alias("value"), F.lit(reason).alias("reason"))
 
 
-def loss_report(documents: DataFrame, cues: DataFrame, styles: DataFrame, target: str) -> DataFrame:
-    """doc_id, loss_pos, feature, value, reason for each feature that the target doesn't carry. documents: doc_id, headers
-    (array). Texts are fixed values."""
+def loss_report(documents: DataFrame, cues: DataFrame, styles: DataFrame, *targets: str) -> DataFrame:
+    """doc_id, target, loss_pos, feature, value, reason for each feature that a target doesn't carry, for all targets in one
+    pass. documents: doc_id, headers (array). Texts are fixed values."""
     own = cues.groupBy("doc_id").agg(
         F.min_by("style", F.when(F.col("style").isNotNull(), F.col("seq"))).alias("style"),
         F.count("style").alias("styled"),
@@ -41,8 +41,10 @@ def loss_report(documents: DataFrame, cues: DataFrame, styles: DataFrame, target
             F.when(~styled, loss("replik stili", "yok", "kaynak belgede replik stili yok; tumu `Default` stiline baglandi")).when(n_styles == 0, loss("replik stili", "stil adlari", "kaynak belgede stil tablosu yok; `Default` stili uretildi")),
             F.when(F.col("layers"), loss("replik katmani", "Layer", "SRT ve WebVTT katman bilgisi tasimaz")),
         ],
-    }[target]
-    return rows.select("doc_id", F.posexplode(F.array_compact(F.array(*lost))).alias("loss_pos", "l")).select("doc_id", F.col("loss_pos").cast("int").alias("loss_pos"), "l.*")
+    }
+    every = F.explode(F.array(*(F.struct(F.lit(t).alias("target"), F.array_compact(F.array(*lost[t])).alias("losses")) for t in targets)))
+    rows = rows.select("doc_id", every.alias("t")).select("doc_id", "t.target", F.posexplode("t.losses").alias("loss_pos", "l"))
+    return rows.select("doc_id", "target", F.col("loss_pos").cast("int").alias("loss_pos"), "l.*")
 
 
 def script_info(source: str | Column, title: str = "untitled") -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions import metrics as m
@@ -36,16 +36,24 @@ def round_away(x):
     return (F.signum(x) * F.floor(F.abs(x) + 0.5)).cast(LONG)
 
 
-def percent_delta(cues: DataFrame, percent: float) -> DataFrame:
-    """cues with delta_ms: that share of the document's last end; 0 where that isn't positive."""
+def percent_delta(cues: DataFrame, percent) -> DataFrame:
+    """cues with delta_ms: that share (a number, or a column with one value for each document) of the document's last end; 0
+    where that isn't positive or the share isn't a finite number."""
     total = F.max("end_ms").over(Window.partitionBy("doc_id"))
-    return cues.withColumn("delta_ms", F.when(total <= 0, F.lit(0).cast(LONG)).otherwise(round_away(total * F.lit(float(percent)) / F.lit(100.0))))
+    share = percent.cast("double") if isinstance(percent, Column) else F.lit(float(percent))
+    finite = share.isNotNull() & ~F.isnan(share) & (F.abs(share) != float("inf"))
+    return cues.withColumn("delta_ms", F.when((total > 0) & finite, round_away(total * share / F.lit(100.0))).otherwise(F.lit(0).cast(LONG)))
 
 
-def shift_percent(cues: DataFrame, percent: float) -> DataFrame:
+def shift_percent(cues: DataFrame, percent) -> DataFrame:
     return shift_ms(percent_delta(cues, percent), F.col("delta_ms")).drop("delta_ms")
 
 
+def shift_percent_report(cues: DataFrame, percent) -> DataFrame:
+    """shift_report of a percentage shift."""
+    return shift_report(percent_delta(cues, percent), F.col("delta_ms"))
+
+
 def shift_by_table(cues: DataFrame, control: DataFrame) -> DataFrame:
     """Each document moved by its own amount in control (doc_id, shift_ms); documents without one stay. Spark broadcasts
     control if it is small."""
@@ -64,10 +72,15 @@ def by_start(cues: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("start_ms", "seq")
     file = Window.partitionBy("doc_id").orderBy("seq")
     rows = cues.withColumns({"_new": F.row_number().over(w), "_old": F.row_number().over(file), "_own": full(cues)})
-    # The cue that stood at the new place: collected by document, as both orders are.
-    there = F.collect_list(F.struct("_old", "_own")).over(Window.partitionBy("doc_id"))
-    rows = rows.withColumn("_there", F.get(F.array_sort(there), F.col("_new") - 1)["_own"])
-    return rows.withColumns({"moved": ~F.col("_there").eqNullSafe(F.col("_own")), "seq": (F.col("_new") - 1).cast(LONG)}).drop("_new", "_old", "_own", "_there")
+    # Each cue stands twice, at its new and at its old place, so that a look at the next row finds the cue that stood at the
+    # new place: linear in a document's cues, and no further exchange.
+    rest = F.struct(*(c for c in cues.columns if c not in ("doc_id", "seq")))
+    new = F.struct(F.col("_new").alias("place"), F.lit(0).alias("kind"), F.col("_own").alias("own"), rest.alias("rest"))
+    old = F.struct(F.col("_old").alias("place"), F.lit(1).alias("kind"), F.col("_own").alias("own"), F.lit(None).alias("rest"))
+    both = rows.select("doc_id", F.explode(F.array(new, old)).alias("_x")).select("doc_id", "_x.*")
+    there = F.lead("own").over(Window.partitionBy("doc_id").orderBy("place", "kind"))
+    found = both.withColumn("moved", ~there.eqNullSafe(F.col("own"))).where("kind = 0").withColumn("seq", (F.col("place") - 1).cast(LONG))
+    return found.select("doc_id", "seq", "rest.*", "moved").select(*cues.columns, "moved")
 
 
 def renumbered(cues: DataFrame) -> DataFrame:

@@ -204,6 +204,7 @@ ORACLE_SQL: dict[str, str] = {
     "shift_ms": WITH.rstrip(", \n") + " SELECT doc_id, seq, greatest(start_ms - 1400, 0) AS start_ms, greatest(end_ms - 1400, 0) AS end_ms FROM cues",
     "shift_report": WITH.rstrip(", \n") + f" SELECT doc_id, -1400 AS requested_ms, -1400 AS applied_ms, count(*) FILTER (start_ms < 1400 OR end_ms < 1400) AS clipped, count(*) FILTER ({SHIFTED}) AS affected FROM cues GROUP BY doc_id",
     "shift_percent": WITH.rstrip(", \n") + f" SELECT doc_id, seq, greatest(start_ms + k, 0) AS start_ms, greatest(end_ms + k, 0) AS end_ms FROM (SELECT *, {PERCENT} AS k FROM cues)",
+    "shift_percent_report": WITH + "shares AS (SELECT *, CASE WHEN doc_id % 5 <> 0 THEN (doc_id % 41 - 20) / 4.0::DOUBLE END AS p, max(end_ms) OVER (PARTITION BY doc_id) AS total FROM cues), deltas AS (SELECT *, CASE WHEN total > 0 AND p IS NOT NULL THEN CAST(round(total * p / 100.0::DOUBLE) AS BIGINT) ELSE 0 END AS k FROM shares) SELECT doc_id, max(k) AS requested_ms, max(k) AS applied_ms, count(*) FILTER (start_ms + k < 0 OR end_ms + k < 0) AS clipped, count(*) FILTER (greatest(start_ms + k, 0) <> start_ms OR greatest(end_ms + k, 0) <> end_ms) AS affected FROM deltas GROUP BY doc_id",
     "normalize_snap": WITH.rstrip(", \n") + f" SELECT doc_id, seq, s AS start_ms, e AS end_ms, s <> start_ms OR e <> end_ms AS snapped FROM (SELECT doc_id, seq, start_ms, end_ms, {snap('start_ms', *NTSC)} AS s, {snap('end_ms', *NTSC)} AS e FROM cues)",
     "normalize_sort": WITH + "placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_ms, seq) AS new, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS old FROM cues) SELECT a.doc_id, a.new - 1 AS seq, a.cue_no, a.cue_no <> b.cue_no AS moved FROM placed a JOIN placed b ON a.doc_id = b.doc_id AND a.new = b.old",
     "normalize_renumber": WITH.rstrip(", \n") + " SELECT doc_id, seq, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS cue_no, row_number() OVER (PARTITION BY doc_id ORDER BY seq) <> cue_no + doc_id % 2 AS numbered FROM cues",

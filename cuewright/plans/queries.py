@@ -368,6 +368,13 @@ def shift_percent(spark, sf_dir):
     return retime.shift_percent(d.cues(spark, sf_dir), -10.0).select("doc_id", "seq", "start_ms", "end_ms")
 
 
+@query
+def shift_percent_report(spark, sf_dir):
+    """A share for each document, null for some."""
+    share = F.when(F.col("doc_id") % 5 != 0, (F.col("doc_id") % 41 - 20) / F.lit(4.0))
+    return retime.shift_percent_report(d.cues(spark, sf_dir), share)
+
+
 @query
 def normalize_snap(spark, sf_dir):
     return retime.snapped(d.cues(spark, sf_dir), NTSC).select("doc_id", "seq", "start_ms", "end_ms", "snapped")
@@ -402,20 +409,9 @@ def overlap_pairs(spark, sf_dir):
 # Conversion
 
 
-def losses(target: str):
-    def run(spark, sf_dir):
-        return c.loss_report(d.documents(spark, sf_dir), d.cues(spark, sf_dir), d.styles(spark, sf_dir), target)
-
-    return run
-
-
 @query
 def loss_report(spark, sf_dir):
-    out = None
-    for target in ("srt", "vtt", "ass"):
-        own = losses(target)(spark, sf_dir).withColumn("target", F.lit(target))
-        out = own if out is None else out.unionByName(own)
-    return out
+    return c.loss_report(d.documents(spark, sf_dir), d.cues(spark, sf_dir), d.styles(spark, sf_dir), "srt", "vtt", "ass")
 
 
 @query

@@ -7,13 +7,13 @@ document and line.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuewright.functions.metrics import event_kind, fold
 from cuewright.functions.timecode import parse_timestamp, strip
 from cuewright.operators.defaults import EVENT_FORMAT, STYLE_FORMAT
-from cuewright.sources.lines import by_line, clean, error, line_table, upto
+from cuewright.sources.lines import by_line, clean, line_table, upto, wrong
 
 
 def after_colon(x: str) -> Column:
@@ -47,57 +47,67 @@ def whole(x: Column, kind: str = "int") -> Column:
     return F.coalesce(F.when(x.rlike(r"^[+-]?[0-9]+$"), x.try_cast(kind)), F.lit(0).cast(kind))
 
 
-def events(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cues, errors) of scanned lines."""
-    lines = rows.where("section = 'events' and role = 'line'").where(F.col("l").contains(":"))
-    lines = lines.withColumn("parts", F.split(after_colon("l"), ",", -1)).withColumn("names", F.transform("event_format", fold))
-    at = lambda name: F.array_position("names", name).cast("int")
-    value = lambda name: F.coalesce(F.when(at(name) > 0, strip(F.get(F.col("parts"), at(name) - 1))), F.lit(""))
-    start, end = parse_timestamp(value("start")), parse_timestamp(value("end"))
-    text = F.when((at("text") > 0) & (at("text") <= F.size("parts")), clean(F.array_join(F.slice("parts", at("text"), F.size("parts")), ","))).otherwise("")
-    w = Window.partitionBy("doc_id").orderBy("ln")
+def split_line() -> Column:
+    """The fields of an event or style line."""
+    given = F.when(F.col("l").contains(":"), after_colon("l")).otherwise(F.col("l"))
+    return F.split(given, ",", -1)
+
+
+def event_field(name: str) -> Column:
+    at = F.array_position(F.transform("event_format", fold), name).cast("int")
+    return F.coalesce(F.when(at > 0, strip(F.get(F.col("parts"), at - 1))), F.lit(""))
+
+
+def events(rows: DataFrame) -> DataFrame:
+    """The cues of scanned lines."""
+    lines = rows.where("section = 'events' and role = 'line'").where(F.col("l").contains(":")).withColumn("parts", split_line())
+    at, value = F.array_position(F.transform("event_format", fold), "text").cast("int"), event_field
+    text = F.when((at > 0) & (at <= F.size("parts")), clean(F.array_join(F.slice("parts", at, F.size("parts")), ","))).otherwise("")
     some = lambda x: F.when(x != "", x)
-    number = F.row_number().over(w).cast("bigint")
-    cues = lines.select(
-        "doc_id", (number - 1).alias("seq"), number.alias("cue_no"), F.coalesce(start, F.lit(0).cast("bigint")).alias("start_ms"), F.coalesce(end, F.lit(0).cast("bigint")).alias("end_ms"), text.alias("text"),
+    number, zero = F.row_number().over(by_line()).cast("bigint"), F.lit(0).cast("bigint")
+    return lines.select(
+        "doc_id", (number - 1).alias("seq"), number.alias("cue_no"), F.coalesce(parse_timestamp(value("start")), zero).alias("start_ms"), F.coalesce(parse_timestamp(value("end")), zero).alias("end_ms"), text.alias("text"),
         some(value("style")).alias("style"), some(value("name")).alias("speaker"), whole(value("marginl")).alias("margin_l"), whole(value("marginr")).alias("margin_r"), whole(value("marginv")).alias("margin_v"),
         value("effect").alias("effect"), whole(value("layer")).alias("layer"), event_kind(F.substring_index("l", ":", 1)).alias("event_kind"),
     )
-    short = lines.where(F.size("parts") < F.size("event_format"))
-    errors = error(short, "ass", F.col("ln") + 1, F.format_string("olay satiri %d alan bekleniyordu, %d bulundu", F.size("event_format"), F.size("parts")))
-    bad = lines.where(start.isNull() | end.isNull())
-    return cues, errors.unionByName(error(bad, "ass", F.col("ln") + 1, F.concat(F.lit("zaman damgasi okunamadi: '"), F.col("l"), F.lit("'"))))
 
 
-def styles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(styles, errors): doc_id, style_pos, name, fields; fields that are missing are ''."""
-    lines = rows.where("section = 'styles' and role = 'line'")
-    given = F.when(F.col("l").contains(":"), after_colon("l")).otherwise(F.col("l"))
-    lines = lines.withColumn("parts", F.transform(F.split(given, ",", -1), strip))
+def styles(rows: DataFrame) -> DataFrame:
+    """doc_id, style_pos, name, fields; fields that are missing are ''."""
+    lines = rows.where("section = 'styles' and role = 'line'").withColumn("parts", F.transform(split_line(), strip))
     pairs = F.zip_with("style_format", F.slice(F.col("parts"), F.lit(1), F.size("style_format")), lambda k, v: F.struct(k.alias("name"), F.coalesce(v, F.lit("")).alias("value")))
-    pos = (F.row_number().over(Window.partitionBy("doc_id").orderBy("ln")) - 1).cast("int")
+    pos = (F.row_number().over(by_line()) - 1).cast("int")
     name = F.coalesce(F.get(F.filter("fields", lambda f: fold(f["name"]) == "name"), F.lit(0))["value"], F.lit(""))
-    out = lines.select("doc_id", pos.alias("style_pos"), pairs.alias("fields")).select("doc_id", "style_pos", name.alias("name"), "fields")
-    short = lines.where(F.size("parts") < F.size("style_format"))
-    message = F.format_string("stil satiri %d alan bekleniyordu, %d bulundu: '%s'", F.size("style_format"), F.size("parts"), F.col("l"))
-    return out, error(short, "ass", F.col("ln") + 1, message)
+    return lines.select("doc_id", pos.alias("style_pos"), pairs.alias("fields")).select("doc_id", "style_pos", name.alias("name"), "fields")
 
 
-def headers(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(headers, errors): doc_id, pos, name, value."""
+def headers(rows: DataFrame) -> DataFrame:
+    """doc_id, pos, name, value."""
     lines = rows.where("section = 'info' and role = 'line'")
-    pos = (F.row_number().over(Window.partitionBy("doc_id").orderBy("ln")) - 1).cast("int")
-    out = lines.where(F.col("l").contains(":")).select("doc_id", pos.alias("pos"), strip(F.substring_index("l", ":", 1)).alias("name"), strip(after_colon("l")).alias("value"))
-    bad = lines.where(~F.col("l").contains(":"))
-    return out, error(bad, "ass", F.col("ln") + 1, F.concat(F.lit("[Script Info] satirinda ':' ayraci yok: '"), F.col("l"), F.lit("'")))
+    pos = (F.row_number().over(by_line()) - 1).cast("int")
+    return lines.where(F.col("l").contains(":")).select("doc_id", pos.alias("pos"), strip(F.substring_index("l", ":", 1)).alias("name"), strip(after_colon("l")).alias("value"))
+
+
+def errors(rows: DataFrame) -> DataFrame:
+    """The syntax errors of scanned lines, each line looked at once."""
+    lines = rows.where("role = 'line'").withColumn("parts", split_line())
+    pair, n, line = F.col("l").contains(":"), F.size("parts"), F.col("ln") + 1
+    event, look = (F.col("section") == "events") & pair, F.col("section") == "styles"
+    unread = parse_timestamp(event_field("start")).isNull() | parse_timestamp(event_field("end")).isNull()
+    found = F.array(
+        wrong(event & (n < F.size("event_format")), line, F.format_string("olay satiri %d alan bekleniyordu, %d bulundu", F.size("event_format"), n)),
+        wrong(event & unread, line, F.concat(F.lit("zaman damgasi okunamadi: '"), F.col("l"), F.lit("'"))),
+        wrong(look & (n < F.size("style_format")), line, F.format_string("stil satiri %d alan bekleniyordu, %d bulundu: '%s'", F.size("style_format"), n, F.col("l"))),
+        wrong((F.col("section") == "info") & ~pair, line, F.concat(F.lit("[Script Info] satirinda ':' ayraci yok: '"), F.col("l"), F.lit("'"))),
+        wrong(F.col("section") == "none", line, F.concat(F.lit("bolum basligi olmayan satir: '"), F.col("l"), F.lit("'"))),
+    )
+    return lines.select("doc_id", F.explode(F.array_compact(found)).alias("e")).select("doc_id", F.lit("ass").alias("format"), "e.line", "e.message")
 
 
 def parse(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(cues, styles, headers, syntax errors) of raw (doc_id, text)."""
     rows = scanned(raw)
-    (cues, e), (looks, s), (info, h) = events(rows), styles(rows), headers(rows)
-    stray = error(rows.where("section = 'none' and role = 'line'"), "ass", F.col("ln") + 1, F.concat(F.lit("bolum basligi olmayan satir: '"), F.col("l"), F.lit("'")))
-    return cues, looks, info, e.unionByName(s).unionByName(h).unionByName(stray)
+    return events(rows), styles(rows), headers(rows), errors(rows)
 
 
 def script_type(fields) -> Column:

@@ -25,12 +25,15 @@ def _utf16(body: pd.Series, big: pd.Series) -> pd.DataFrame:
     """UTF-16 with lone surrogates as U+FFFD, and how many units were bad; Spark's own decoder raises on those."""
     out = []
     for b, be in zip(body, big, strict=True):
+        if b is None:
+            out.append((None, None))
+            continue
         even = b[: len(b) // 2 * 2]
         # Surrogates pass through as they are, so that each lone one can be counted.
         raw = even.decode("utf-16-be" if be else "utf-16-le", "surrogatepass")
         bad = sum("\ud800" <= c <= "\udfff" for c in raw) + len(b) % 2
         out.append(("".join("�" if "\ud800" <= c <= "\udfff" else c for c in raw), bad))
-    return pd.DataFrame(out, columns=["text", "bad"])
+    return pd.DataFrame(out, columns=["text", "bad"]).astype({"bad": "Int64"})
 
 
 def bom(content) -> tuple[Column, Column, Column]:
@@ -70,7 +73,8 @@ def line_kinds(x: Column) -> tuple[Column, Column]:
 
 
 def decoded(files: DataFrame, content: str = "content") -> DataFrame:
-    """files with text and encoding (the report) added. Only rows with a UTF-16 mark go through Python."""
+    """files with text and encoding (the report) added. Only bodies with a UTF-16 mark go through Python, in the
+    same pass."""
     mark, length, note = bom(content)
     rows = files.withColumn("_mark", mark).withColumn("_body", F.expr(f"substring({content}, 1 + CASE WHEN hex(substring({content}, 1, 3)) = 'EFBBBF' THEN 3 WHEN hex(substring({content}, 1, 2)) IN ('FFFE', 'FEFF') THEN 2 ELSE 0 END)")).withColumn("_note", note)
     wide = F.col("_mark").isin(LE, BE)
@@ -84,11 +88,10 @@ def decoded(files: DataFrame, content: str = "content") -> DataFrame:
     remark = F.when(mixed, F.format_string("dosya karisik kodlama: %d satir UTF-8, %d satir tek bayt", good, other)).when(~valid, F.format_string("dosya UTF-8 degil; windows-1254 (Turkce tek bayt) olarak cozuldu, %d bayt dizisi bozuk", bad)).when(lost > 0, "kaynak metinde U+FFFD degistirme isareti var; kodlama kaybi olmus")
     name = F.when(mixed, MIXED).when(~valid, SINGLE).otherwise(F.coalesce("_mark", F.lit(UTF8)))
     report = F.struct(name.alias("encoding"), F.col("_mark").isNotNull().alias("has_bom"), bad.alias("bad_seq"), lost.alias("fffd"), mixed.alias("mixed"), F.when(valid, zero).otherwise(other).alias("single_byte_lines"), F.array_compact(F.array("_note", remark)).alias("notes"))
-    narrow = rows.where(~F.coalesce(wide, F.lit(False))).withColumn("text", plain).withColumn("encoding", report.cast(REPORT))
-    both = rows.where(wide).withColumn("_u", _utf16("_body", F.col("_mark") == BE)).withColumn("text", F.col("_u.text"))
-    report = F.struct(F.col("_mark").alias("encoding"), F.lit(True).alias("has_bom"), F.col("_u.bad").alias("bad_seq"), times(F.col("text"), "�").alias("fffd"), F.lit(False).alias("mixed"), zero.alias("single_byte_lines"), F.array("_note").alias("notes"))
-    out = narrow.unionByName(both.withColumn("encoding", report.cast(REPORT)).drop("_u"))
-    return out.drop("_mark", "_body", "_note")
+    wide = F.coalesce(wide, F.lit(False))
+    rows = rows.withColumn("_u", _utf16(F.when(wide, body), F.coalesce(F.col("_mark") == BE, F.lit(False)))).withColumn("text", F.when(wide, F.col("_u.text")).otherwise(plain))
+    other = F.struct(F.col("_mark").alias("encoding"), F.lit(True).alias("has_bom"), F.col("_u.bad").alias("bad_seq"), times(F.col("text"), "�").alias("fffd"), F.lit(False).alias("mixed"), zero.alias("single_byte_lines"), F.array("_note").alias("notes"))
+    return rows.withColumn("encoding", F.when(wide, other.cast(REPORT)).otherwise(report.cast(REPORT))).drop("_mark", "_body", "_note", "_u")
 
 
 def healthy(e: str = "encoding") -> Column:

@@ -54,10 +54,27 @@ def time_line(line: str = "l") -> tuple[Column, Column, Column]:
     return F.when(good, start).otherwise(zero), F.when(good & end.isNotNull(), end).otherwise(zero), error
 
 
-def body(rows: DataFrame, first: Column, *keys: str) -> DataFrame:
-    """For each run the text of its lines after the line `first`, joined and cleaned."""
-    lines = F.array_sort(F.collect_list(F.when(~F.col("blank") & (F.col("ln") > first), F.struct("ln", "raw"))))
-    return rows.groupBy("doc_id", "run", *keys).agg(clean(F.array_join(F.transform(lines, lambda x: x["raw"]), "\n")).alias("text"))
+def runs(rows: DataFrame, time: Column, after: Column, wrongs: Column) -> DataFrame:
+    """One row for each run, in one aggregation: t (the struct `time` of the line that has one, or null), text (of the
+    lines where `after`, joined and cleaned) and wrongs (of all lines, each an array of wrong())."""
+    lines = F.array_sort(F.collect_list(F.when(after, F.struct("ln", "raw"))))
+    text = clean(F.array_join(F.transform(lines, lambda x: x["raw"]), "\n"))
+    return rows.groupBy("doc_id", "run").agg(F.max(time).alias("t"), text.alias("text"), F.flatten(F.collect_list(F.when(F.size(wrongs) > 0, wrongs))).alias("wrongs"))
+
+
+def time_struct() -> Column:
+    start, end, message = time_line()
+    return F.struct("ln", start.alias("start_ms"), end.alias("end_ms"), message.alias("wrong"))
+
+
+def wrong(when: Column, line: Column, message: Column) -> Column:
+    return F.when(when, F.struct(line.cast("int").alias("line"), message.alias("message")))
+
+
+def errors_of(found: DataFrame, kind: str) -> DataFrame:
+    """The syntax errors of runs: those of lines, of the time line and of an empty text."""
+    own = F.array_compact(F.array(wrong(F.col("t.wrong").isNotNull(), F.col("t.ln") + 1, F.col("t.wrong")), wrong(F.col("t").isNotNull() & (F.col("text") == ""), F.col("t.ln") + 2, F.lit("altyazi metni bos"))))
+    return found.select("doc_id", F.explode(F.concat("wrongs", own)).alias("e")).select("doc_id", F.lit(kind).alias("format"), "e.line", "e.message")
 
 
 def cue(rows: DataFrame) -> DataFrame:
@@ -68,6 +85,3 @@ def cue(rows: DataFrame) -> DataFrame:
         null.alias("style"), null.alias("speaker"), zero.alias("margin_l"), zero.alias("margin_r"), zero.alias("margin_v"), F.lit("").alias("effect"), zero.alias("layer"), F.lit("dialogue").alias("event_kind"),
     )
 
-
-def error(rows: DataFrame, kind: str, line: Column, message: Column) -> DataFrame:
-    return rows.select("doc_id", F.lit(kind).alias("format"), line.cast("int").alias("line"), message.alias("message"))

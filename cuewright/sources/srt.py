@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewright.sources.lines import ARROW, body, by_line, clean, cue, error, line_table, time_line, upto
+from cuewright.sources.lines import ARROW, by_line, cue, errors_of, line_table, runs, time_struct, upto, wrong
 
 
 def scanned(raw: DataFrame) -> DataFrame:
@@ -41,19 +41,16 @@ def parse(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("inc", inc).withColumn("lead", number - F.col("inc"))
     earlier = by_line().rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("auto", F.col("inc") + F.greatest(F.lit(0), F.coalesce(F.max("lead").over(earlier), F.lit(0))))
-    start, end, wrong = time_line()
-    times = rows.where(at).select("doc_id", "run", "ln", F.coalesce(number, "auto").alias("cue_no"), start.alias("start_ms"), end.alias("end_ms"), wrong.alias("wrong"))
-    cues = times.join(body(rows.where("arrow is not null"), F.col("arrow")), ["doc_id", "run"])
-    cues = cues.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("ln")) - 1)
     taken = F.col("start") | F.col("given").isNotNull()
     # A number before a blank line takes that line as its time line.
-    errors = [
-        error(rows.where(F.col("opens") & (F.col("ln") + 1 >= F.col("n"))), "srt", F.col("ln") + 1, F.lit("numara satiri var ama zaman cizgisi yok")),
-        error(rows.where("given = 0"), "srt", F.col("ln") + 1, F.lit("replik numarasi 0 olamaz")),
-        error(rows.where(taken & ~F.col("l").contains(ARROW)), "srt", F.col("ln") + 1, F.concat(F.lit("zaman cizgisinde '-->' ayraci yok: '"), F.col("l"), F.lit("'"))),
-        error(times.where("wrong is not null"), "srt", F.col("ln") + 1, F.col("wrong")),
-        error(cues.where(clean("text") == ""), "srt", F.col("ln") + 2, F.lit("altyazi metni bos")),
-    ]
-    for e in errors[1:]:
-        errors[0] = errors[0].unionByName(e)
-    return cue(cues), errors[0]
+    wrongs = F.array_compact(
+        F.array(
+            wrong(F.col("opens") & (F.col("ln") + 1 >= F.col("n")), F.col("ln") + 1, F.lit("numara satiri var ama zaman cizgisi yok")),
+            wrong(F.col("given") == 0, F.col("ln") + 1, F.lit("replik numarasi 0 olamaz")),
+            wrong(taken & ~F.col("l").contains(ARROW), F.col("ln") + 1, F.concat(F.lit("zaman cizgisinde '-->' ayraci yok: '"), F.col("l"), F.lit("'"))),
+        )
+    )
+    time = time_struct().withField("cue_no", F.coalesce(number, "auto"))
+    found = runs(rows, F.when(at, time), ~F.col("blank") & (F.col("ln") > F.col("arrow")), wrongs)
+    cues = found.where("t is not null").select("doc_id", "t.*", "text")
+    return cue(cues.withColumn("seq", F.row_number().over(by_line()) - 1)), errors_of(found, "srt")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions.timecode import strip
-from cuewright.sources.lines import ARROW, body, by_line, clean, cue, error, line_table, time_line, upto
+from cuewright.sources.lines import ARROW, by_line, cue, errors_of, line_table, runs, time_struct, upto, wrong
 
 
 def scanned(raw: DataFrame) -> DataFrame:
@@ -39,25 +39,21 @@ def parse(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = scanned(raw)
     at = F.col("first.ln") + (F.col("first.kind") == "name").cast("int")
     rows = rows.withColumn("arrow", F.when(F.col("first.kind").isin("arrow", "name"), at))
-    start, end, wrong = time_line()
-    times = rows.where("live and ln = arrow").select("doc_id", "run", "ln", start.alias("start_ms"), end.alias("end_ms"), wrong.alias("wrong"))
-    cues = times.join(body(rows.where("live and arrow is not null"), F.col("arrow")), ["doc_id", "run"])
-    cues = cues.withColumn("cue_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("ln"))).withColumn("seq", F.col("cue_no") - 1)
+    lost = F.col("live") & (F.col("first").isNull() | (F.col("ln") < F.col("first.ln")))
+    wrongs = F.array_compact(
+        F.array(
+            wrong((F.col("ln") == 0) & ~F.col("titled"), F.lit(1), F.concat(F.lit("ilk satir 'WEBVTT' ile baslamiyor: '"), F.col("l"), F.lit("'"))),
+            wrong(lost, F.col("ln") + 1, F.concat(F.lit("zaman cizgisi bulunamadi: '"), F.col("l"), F.lit("'"))),
+        )
+    )
+    found = runs(rows, F.when(F.col("live") & (F.col("ln") == F.col("arrow")), time_struct()), F.col("live") & (F.col("ln") > F.col("arrow")), wrongs)
+    cues = found.where("t is not null").select("doc_id", "t.*", "text")
+    cues = cues.withColumn("cue_no", F.row_number().over(by_line())).withColumn("seq", F.col("cue_no") - 1)
     value = strip(F.substring(F.col("l"), F.instr("l", ":") + 1, F.length("l")))
     key = strip(F.substring_index("l", ":", 1))
     own = rows.where("header and ln > 0 or header and not titled").select("doc_id", "ln", key.alias("name"), value.alias("value"))
     style = rows.where("live and first.kind = 'style' and ln > first.ln").where(F.col("l").contains(":")).select("doc_id", "ln", F.concat(F.lit("STYLE "), key).alias("name"), value.alias("value"))
     headers = own.unionByName(style)
     headers = headers.withColumn("pos", (F.row_number().over(Window.partitionBy("doc_id").orderBy("ln")) - 1).cast("int")).select("doc_id", "pos", "name", "value")
-    lost = F.col("live") & (F.col("first").isNull() | (F.col("ln") < F.col("first.ln")))
-    empty = raw.where("text = ''").withColumn("ln", F.lit(-1))
-    errors = [
-        error(empty, "vtt", F.col("ln") + 1, F.lit("dosya bos")),
-        error(rows.where("ln = 0 and not titled"), "vtt", F.lit(1), F.concat(F.lit("ilk satir 'WEBVTT' ile baslamiyor: '"), F.col("l"), F.lit("'"))),
-        error(rows.where(lost), "vtt", F.col("ln") + 1, F.concat(F.lit("zaman cizgisi bulunamadi: '"), F.col("l"), F.lit("'"))),
-        error(times.where("wrong is not null"), "vtt", F.col("ln") + 1, F.col("wrong")),
-        error(cues.where(clean("text") == ""), "vtt", F.col("ln") + 2, F.lit("altyazi metni bos")),
-    ]
-    for e in errors[1:]:
-        errors[0] = errors[0].unionByName(e)
-    return cue(cues), headers, errors[0]
+    empty = raw.where("text = ''").select("doc_id", F.lit("vtt").alias("format"), F.lit(0).alias("line"), F.lit("dosya bos").alias("message"))
+    return cue(cues), headers, errors_of(found, "vtt").unionByName(empty)
