@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuewright.operators import render
 from cuewright.operators.defaults import EVENT_FORMAT, STYLE, STYLE_FORMAT
+from cuewright.sources.parse import Parsed
 
 LONG = "bigint"
 
@@ -67,3 +69,17 @@ def convert_documents(documents: DataFrame, target: str, title: str = "untitled"
     style = F.array(*(F.struct(F.lit(k).alias("name"), F.lit(v).alias("value")) for k, v in STYLE)) if target == "ass" else empty
     headers = script_info(F.col("format"), title) if target == "ass" else empty
     return documents.select("doc_id", F.lit(target).alias("format"), headers.alias("headers"), names(STYLE_FORMAT).alias("style_format"), names(EVENT_FORMAT).alias("event_format"), style.alias("style_fields"))
+
+
+def convert_files(files: Parsed, target: str, title: str = "untitled") -> tuple[DataFrame, DataFrame]:
+    """Files of mixed formats as documents of the target format, and what that loses: (doc_id, source, text) with each file's
+    own line ends, and the loss report. Files of no known format are left out."""
+    documents = files.documents.where("format is not null")
+    ends = documents.select("doc_id", "crlf")
+    cues = convert_cues(files.cues, target).join(ends, "doc_id")
+    new = convert_documents(documents, target, title).join(ends, "doc_id").withColumn("styles", F.array("style_fields") if target == "ass" else F.array().cast("array<array<struct<name:string,value:string>>>"))
+    texts = {"srt": lambda: render.render_srt(cues, None), "vtt": lambda: render.render_vtt(cues, new, None), "ass": lambda: render.render_ass(cues, new, None)}[target]()
+    e = F.when(F.col("crlf"), "\r\n").otherwise("\n")
+    empty = {"srt": F.lit(""), "vtt": F.concat(F.lit("WEBVTT"), e, e), "ass": F.lit("")}[target]
+    out = documents.select("doc_id", F.col("format").alias("source"), "crlf").join(texts, "doc_id", "left")
+    return out.select("doc_id", "source", F.coalesce("text", empty).alias("text")), loss_report(documents, files.cues, files.styles, target)

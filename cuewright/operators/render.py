@@ -1,4 +1,5 @@
-"""Documents as text: cues are collected by document, in the order of seq."""
+"""Documents as text: cues are collected by document, in the order of seq. Line ends between the parts are eol, or those of
+each document where cues and documents have a boolean column crlf and eol is None; texts stay as they are."""
 
 from __future__ import annotations
 
@@ -15,9 +16,13 @@ def joined(cues: DataFrame, line: Column) -> DataFrame:
     return cues.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda x: x["line"]), "").alias("body"))
 
 
-def render_srt(cues: DataFrame, eol: str = "\n") -> DataFrame:
+def line_end(eol: str | None) -> Column:
+    return F.when(F.col("crlf"), "\r\n").otherwise("\n") if eol is None else F.lit(eol)
+
+
+def render_srt(cues: DataFrame, eol: str | None = "\n") -> DataFrame:
     """doc_id, text: number, times, text and a blank line for each cue."""
-    e = F.lit(eol)
+    e = line_end(eol)
     line = F.concat(F.col("cue_no").cast("string"), e, format_srt_time("start_ms"), F.lit(" --> "), format_srt_time("end_ms"), e, F.col("text"), e, e)
     return joined(cues, line).select("doc_id", F.col("body").alias("text"))
 
@@ -26,13 +31,13 @@ def header_lines(headers: Column, eol: Column) -> Column:
     return F.array_join(F.transform(headers, lambda h: F.concat(h["name"], F.lit(": "), h["value"], eol)), "")
 
 
-def render_vtt(cues: DataFrame, headers: DataFrame | None = None, eol: str = "\n") -> DataFrame:
-    """doc_id, text; headers: doc_id, headers (array of name and value)."""
-    e = F.lit(eol)
+def render_vtt(cues: DataFrame, headers: DataFrame | None = None, eol: str | None = "\n") -> DataFrame:
+    """doc_id, text; headers: doc_id, headers (array of name and value), of documents with cues; a null eol needs them."""
+    e = line_end(eol)
     line = F.concat(format_vtt_time("start_ms"), F.lit(" --> "), format_vtt_time("end_ms"), e, F.col("text"), e, e)
     out, head = joined(cues, line), F.lit("")
     if headers is not None:
-        out, head = out.join(headers.select("doc_id", "headers"), "doc_id", "left"), F.coalesce(header_lines(F.col("headers"), e), F.lit(""))
+        out, head = out.join(headers.select("doc_id", "headers", *(["crlf"] if eol is None else [])), "doc_id", "left"), F.coalesce(header_lines(F.col("headers"), e), F.lit(""))
     return out.select("doc_id", F.concat(F.lit("WEBVTT"), e, head, e, F.col("body")).alias("text"))
 
 
@@ -45,9 +50,9 @@ def event_value(name: Column) -> Column:
     return out
 
 
-def render_ass(cues: DataFrame, documents: DataFrame, eol: str = "\n") -> DataFrame:
+def render_ass(cues: DataFrame, documents: DataFrame, eol: str | None = "\n") -> DataFrame:
     """doc_id, text; documents: doc_id, headers, style_format, event_format, styles (array of arrays of fields)."""
-    e = F.lit(eol)
+    e = line_end(eol)
     rows = cues.join(documents.select("doc_id", "event_format"), "doc_id")
     line = F.concat(event_tag("event_kind"), F.lit(": "), F.array_join(F.transform("event_format", event_value), ","), e)
     looks = F.transform("styles", lambda fields: F.concat(F.lit("Style: "), F.array_join(F.transform("style_format", lambda k: style_value(fields, k)), ","), e))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuewright.sources.parse import Parsed, parse_files, recognised
+
 CUES = """
 SELECT conv_id AS doc_id, turn AS seq, CAST(turn + 1 AS BIGINT) AS cue_no, start_ms,
        CASE WHEN start_ms + dur_ms < 0 THEN 0 ELSE start_ms + dur_ms END AS end_ms,
@@ -99,6 +101,28 @@ def raw_ass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render_ass(one_line(cues(spark, sf_dir)), documents(spark, sf_dir))
 
 
+def damaged() -> Column:
+    """The text with a stray last line, for some documents."""
+    return F.concat(F.col("text"), F.when(F.col("doc_id") % 11 == 4, "stray\n").otherwise(""))
+
+
+def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, content: the conversations as SRT, ASS or VTT files by doc_id. Some have CR LF line ends (every second), some
+    are UTF-16 (7k + 3), some have a mark (7k + 5), and some are damaged (11k + 4): a last line that isn't one."""
+    own = None
+    for f, k in ((raw_srt, 0), (raw_ass, 1), (raw_vtt, 2)):
+        part = f(spark, sf_dir).where(F.col("doc_id") % 3 == k)
+        own = part if own is None else own.unionByName(part)
+    text = F.when(F.col("doc_id") % 2 == 0, F.replace(damaged(), F.lit("\n"), F.lit("\r\n"))).otherwise(damaged())
+    utf8, kind = F.encode(text, "UTF-8"), F.col("doc_id") % 7
+    wide = F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE"))
+    return own.select("doc_id", F.when(kind == 3, wide).when(kind == 5, F.concat(F.unhex(F.lit("EFBBBF")), utf8)).otherwise(utf8).alias("content"))
+
+
+def parsed_files(spark: SparkSession, sf_dir: str) -> Parsed:
+    return parse_files(recognised(mixed_files(spark, sf_dir)))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, content: texts in UTF-8, UTF-8 with a mark, single-byte and mixed encodings, by doc_id."""
     text = F.encode("text", "UTF-8")

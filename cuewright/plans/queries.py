@@ -33,7 +33,7 @@ def findings(spark, sf_dir, **more) -> DataFrame:
 
 def report_of(spark, sf_dir) -> DataFrame:
     cues, docs = d.cues(spark, sf_dir), d.documents(spark, sf_dir)
-    errors = spark.createDataFrame([], "doc_id bigint, format string, line int, message string")
+    errors = srt.parse(d.raw_srt(spark, sf_dir).withColumn("text", d.damaged()))[1]
     return report.check_report(docs, cues, d.styles(spark, sf_dir), rules.check(cues), errors)
 
 
@@ -421,6 +421,26 @@ def convert(spark, sf_dir):
     return own.join(cues, "doc_id").select("doc_id", "format", F.size("style_format").cast(LONG).alias("n_style_fields"), F.size("event_format").cast(LONG).alias("n_event_fields"), "n_cues", "n_default")
 
 
+@query
+def convert_files(spark, sf_dir):
+    """Files of mixed formats and encodings, some damaged, as SRT with their own line ends, and what that loses."""
+    texts, losses = c.convert_files(d.parsed_files(spark, sf_dir), "srt")
+    lost = F.transform(F.array_sort(F.collect_list(F.struct("loss_pos", "feature", "value"))), lambda x: F.concat_ws("=", x["feature"], x["value"]))
+    losses = losses.groupBy("doc_id").agg(F.array_join(lost, ";").alias("losses"))
+    return texts.join(losses, "doc_id", "left").select("doc_id", "source", F.length("text").cast(LONG).alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), F.coalesce("losses", F.lit("")).alias("losses"))
+
+
+@query
+def check_files(spark, sf_dir):
+    """All six rules and the syntax errors of files of mixed formats and encodings, some damaged."""
+    p = d.parsed_files(spark, sf_dir)
+    found = rules.check(p.cues, documents=p.documents).groupBy("doc_id").agg(F.count("*").alias("n_findings"), F.count_if(F.col("severity") == rules.CRITICAL).alias("n_critical"), F.count_if(F.col("rule") == rules.RULES[5]).alias("n_encoding"))
+    wrong = p.syntax_errors.groupBy("doc_id").agg(F.count("*").alias("n_syntax"))
+    out = p.documents.join(found, "doc_id", "left").join(wrong, "doc_id", "left")
+    n = {x: F.coalesce(x, F.lit(0).cast(LONG)) for x in ("n_findings", "n_critical", "n_encoding", "n_syntax")}
+    return out.select("doc_id", "format", "crlf", "encoding.encoding", *(v.alias(k) for k, v in n.items()), ((n["n_critical"] == 0) & (n["n_syntax"] == 0)).alias("passed"))
+
+
 @query
 def default_script_info(spark, sf_dir):
     info = F.explode(c.script_info(F.col("format"))).alias("h")

@@ -89,9 +89,12 @@ def decoded(files: DataFrame, content: str = "content") -> DataFrame:
     name = F.when(mixed, MIXED).when(~valid, SINGLE).otherwise(F.coalesce("_mark", F.lit(UTF8)))
     report = F.struct(name.alias("encoding"), F.col("_mark").isNotNull().alias("has_bom"), bad.alias("bad_seq"), lost.alias("fffd"), mixed.alias("mixed"), F.when(valid, zero).otherwise(other).alias("single_byte_lines"), F.array_compact(F.array("_note", remark)).alias("notes"))
     wide = F.coalesce(wide, F.lit(False))
-    rows = rows.withColumn("_u", _utf16(F.when(wide, body), F.coalesce(F.col("_mark") == BE, F.lit(False)))).withColumn("text", F.when(wide, F.col("_u.text")).otherwise(plain))
-    other = F.struct(F.col("_mark").alias("encoding"), F.lit(True).alias("has_bom"), F.col("_u.bad").alias("bad_seq"), times(F.col("text"), "�").alias("fffd"), F.lit(False).alias("mixed"), zero.alias("single_byte_lines"), F.array("_note").alias("notes"))
-    return rows.withColumn("encoding", F.when(wide, other.cast(REPORT)).otherwise(report.cast(REPORT))).drop("_mark", "_body", "_note", "_u")
+    rows = rows.withColumn("_u", _utf16(F.when(wide, body), F.coalesce(F.col("_mark") == BE, F.lit(False))))
+    text = F.when(wide, F.col("_u.text")).otherwise(plain)
+    other = F.struct(F.col("_mark").alias("encoding"), F.lit(True).alias("has_bom"), F.col("_u.bad").alias("bad_seq"), times(F.col("_u.text"), "�").alias("fffd"), F.lit(False).alias("mixed"), zero.alias("single_byte_lines"), F.array("_note").alias("notes"))
+    found = F.struct(text.alias("text"), F.when(wide, other.cast(REPORT)).otherwise(report.cast(REPORT)).alias("encoding"))
+    # Exploding one element keeps the optimizer from copying these long expressions to each place that reads the text.
+    return rows.select(*files.columns, F.explode(F.array(found)).alias("_f")).select(*files.columns, "_f.*")
 
 
 def healthy(e: str = "encoding") -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.operators.rules import KINDS, Thresholds
 from cuewright.sources.decode import decoded
 from cuewright.sources.detect import detect_format
+from cuewright.sources.parse import Parsed, parse_files
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -17,6 +20,13 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return decoded(files.select("path", "content")).drop("content").withColumn("format", detect_format())
 
 
+def read_parsed(spark: SparkSession, path: str, glob: str = "*") -> Parsed:
+    """The files below path, each parsed by its format; doc_id is the path's hash, and documents have the path."""
+    files = read_files(spark, path, glob).withColumn("doc_id", F.xxhash64("path"))
+    out = parse_files(files)
+    return replace(out, documents=out.documents.join(files.select("doc_id", "path"), "doc_id"))
+
+
 def stream_files(spark: SparkSession, path: str, each, checkpoint: str, glob: str = "*"):
     """Run each(DataFrame like read_files', batch id) on new files of a drop folder; every document stands alone, so the
     batch functions apply. Returns the started query."""
