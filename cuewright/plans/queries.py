@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,7 +39,11 @@ def report_of(spark, sf_dir) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    """spark.checkpoint.dir; where it is unset the warehouse, in local mode only."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return (found or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 # Sources and sinks

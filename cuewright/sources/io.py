@@ -27,18 +27,6 @@ def read_parsed(spark: SparkSession, path: str, glob: str = "*") -> Parsed:
     return replace(out, documents=out.documents.join(files.select("doc_id", "path"), "doc_id"))
 
 
-def stream_files(spark: SparkSession, path: str, each, checkpoint: str, glob: str = "*"):
-    """Run each(DataFrame like read_files', batch id) on new files of a drop folder; every document stands alone, so the
-    batch functions apply. Returns the started query."""
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).load(path)
-
-    def batch(df: DataFrame, number: int) -> None:
-        each(decoded(df.select("path", "content")).drop("content").withColumn("format", detect_format()), number)
-
-    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
-
-
 def write_documents(rendered: DataFrame, path: str, buckets: int = 16) -> None:
     """Rendered documents (doc_id, text) as Parquet, by a hash of doc_id; an existing path is an error."""
     rendered.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).write.mode("errorifexists").partitionBy("bucket").parquet(path)

@@ -149,7 +149,7 @@ def test_profile_files(spark, tmp_path):
 
 
 def test_drop_folder_stream(spark, tmp_path):
-    from cuewright.sources.io import stream_files
+    from cuewright.streaming.files import stream_files
 
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.srt").write_text("1\n00:00:01,000 --> 00:00:02,000\na\n")
