@@ -42,13 +42,14 @@ def shortest(words: str, backward: bool, least: int) -> Column:
 
 
 def line_table(rows: DataFrame, row: str, least: int) -> DataFrame:
-    """row, doc_id, at (place among the lines with words), line (identity), forward, backward (lines of the shortest
-    windows) for each line with words."""
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
-    arrays = rows.select(F.col(row).alias("row"), F.col("doc_id"), F.transform(lines, lambda x: F.xxhash64(x)).alias("line"), F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD))).alias("words"))
-    arrays = arrays.select("row", "doc_id", "line", shortest("words", False, least).alias("forward"), shortest("words", True, least).alias("backward"))
-    out = arrays.select("row", "doc_id", F.posexplode(F.arrays_zip("line", "forward", "backward")).alias("at", "x"))
-    return out.select("row", "doc_id", "at", "x.line", "x.forward", "x.backward")
+    """row, doc_id, at (place among the lines with words), p (place among all lines), line (identity), forward, backward
+    (lines of the shortest windows) for each line with words."""
+    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("p"), F.regexp_count(x, F.lit(WORD)).alias("words"), F.xxhash64(x).alias("line")))
+    arrays = rows.select(F.col(row).alias("row"), F.col("doc_id"), F.filter(numbered, lambda x: x["words"] > 0).alias("x"))
+    arrays = arrays.select("row", "doc_id", F.col("x.p").alias("p"), F.col("x.line").alias("line"), F.col("x.words").alias("words"))
+    arrays = arrays.select("row", "doc_id", "p", "line", shortest("words", False, least).alias("forward"), shortest("words", True, least).alias("backward"))
+    out = arrays.select("row", "doc_id", F.posexplode(F.arrays_zip("p", "line", "forward", "backward")).alias("at", "x"))
+    return out.select("row", "doc_id", "at", "x.p", "x.line", "x.forward", "x.backward")
 
 
 def named(lines: DataFrame, least: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -68,7 +69,7 @@ def named(lines: DataFrame, least: int) -> tuple[DataFrame, list[DataFrame]]:
 
 
 def doomed(rows: DataFrame, row: str, least: int = MIN_WORDS) -> DataFrame:
-    """row, at of each line (counted among those with words) that lies in a later copy of a repeated run."""
+    """row, p of each line (counted among all lines) that lies in a later copy of a repeated run."""
     lines = written(line_table(rows, row, least), "lines")
     names, held = named(lines, least)
     forward = lines.where("forward > 0").select("row", "doc_id", "at", F.col("forward").alias("size"))
@@ -80,27 +81,34 @@ def doomed(rows: DataFrame, row: str, least: int = MIN_WORDS) -> DataFrame:
     last = names.select("level", "row", F.col("at").alias("last_at"), F.col("name").alias("last"))
     covered = windows.join(first, ["level", "row", "at"]).withColumn("last_at", F.col("at") + F.col("size") - F.call_function("shiftleft", F.lit(1), F.col("level"))).join(last, ["level", "row", "last_at"])
     covered = written(covered.select("row", "doc_id", "at", "size", F.xxhash64("size", "first", "last").alias("interval")), "windows")
-    forget(lines, *held)
+    forget(*held)
     place = F.struct("doc_id", "row", "at")
     starts = covered.groupBy("interval").agg(F.min(place).alias("start"), F.count("*").alias("n")).where("n > 1").select("interval", "start")
     later = covered.join(starts, "interval").where(place > F.col("start"))
-    return later.select("row", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("at")).distinct()
+    later = later.select("row", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("at")).distinct()
+    out = written(later.join(lines.select("row", "at", "p"), ["row", "at"]).select("row", "p"), "doomed")
+    forget(lines, covered)
+    return out
+
+
+def marked(dead: DataFrame, row: str, name: str) -> DataFrame:
+    """row, name (the doomed lines as bits, 64 to a number: a look-up takes the same time in any text) and their number."""
+    words = dead.groupBy("row", F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("p") % 64)).alias("bits"), F.count("*").alias("n"))
+    own = words.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"), F.max("w").alias("top"), F.sum("n").cast("int").alias(f"{name}_n"))
+    return own.select(F.col("row").alias(row), F.transform(F.sequence(F.lit(0), "top"), lambda w: F.coalesce(F.element_at("m", w), F.lit(0).cast("bigint"))).alias(name), f"{name}_n")
 
 
 def without_copies(docs: DataFrame, least: int = MIN_WORDS) -> tuple[DataFrame, str, str]:
     """docs with the text changed, and the names of two columns more: lines with words, and how many were deleted."""
     row, lost, n, gone = (own_name(docs, c) for c in ("line_row", "line_lost", "n_lines", "n_deleted"))
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    dead = doomed(rows, row, least).groupBy(F.col("row").alias(row)).agg(F.collect_set("at").alias(lost))
-    both = rows.join(dead, row, "left").withColumn(lost, F.coalesce(lost, F.array().cast("array<int>")))
+    both = rows.join(marked(doomed(rows, row, least), row, lost), row, "left")
     lines = F.split("text", "\n")
-    # The place of a line among those with words is the number of such lines before it.
-    marked = F.transform(lines, lambda x: x.rlike(WORD).cast("int"))
-    places = F.aggregate(marked, F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at")), lambda acc, m: F.struct((acc["n"] + m).alias("n"), F.concat(acc["at"], F.array(F.when(m == 1, acc["n"]).otherwise(-1))).alias("at")), lambda acc: acc["at"])
-    kept = F.transform(F.filter(F.arrays_zip(lines.alias("line"), places.alias("at")), lambda x: ~F.array_contains(F.col(lost), x["at"])), lambda x: x["line"])
-    text = F.when(F.size(lost) == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
+    bits = lambda i: F.coalesce(F.get(F.col(lost), F.shiftright(i, 6)), F.lit(0).cast("bigint"))
+    kept = F.filter(lines, lambda x, i: F.getbit(bits(i), i % 64) == 0)
+    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     words = F.size(F.filter(lines, lambda x: x.rlike(WORD)))
-    out = both.withColumn(n, F.coalesce(F.when(F.col("text").isNotNull(), words), F.lit(0))).withColumn(gone, F.size(lost)).withColumn("text", text)
+    out = both.withColumn(n, F.coalesce(F.when(F.col("text").isNotNull(), words), F.lit(0))).withColumn(gone, F.coalesce(f"{lost}_n", F.lit(0))).withColumn("text", text)
     return out.select(*docs.columns, n, gone), n, gone
 
 
