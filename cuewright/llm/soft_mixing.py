@@ -31,12 +31,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.llm.common import own_name, table, written
-from cuewright.llm.words import PUNCT, SPACE, slices, word_hashes
+from cuewright.llm.words import LOWER, PUNCT, SPACE, STEP, slices, span_hashes, word_hashes, word_spans
 
 DOMAINS = ("good", "poor", "toxic")
 #: Target tokens of each domain as shares of those it has.
 TARGETS = {"good": 1.0, "poor": 0.4, "toxic": 0.1}
-SLOTS, SHAPES, SAMPLE, EPOCHS, ROUNDS, PRICE = 1 << 16, 7, 6000, 60, 40, 1e-6
+SLOTS, SHAPES, SAMPLE, EPOCHS, ROUNDS, PRICE, STEMS = 1 << 16, 7, 6000, 60, 40, 1e-6, (4, 5)
 
 
 def shapes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,31 +56,45 @@ def shapes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.column_stack(out), n
 
 
-def word_slots(data: np.ndarray, offsets: np.ndarray):
-    h, bounds = word_hashes(data, offsets, PUNCT)
-    return (h >> np.uint64(48)).astype(np.int64), bounds
+def word_slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the beginnings (STEMS bytes) of each lower-cased word, so that rare endings don't hide a known stem, and the
+    first slot of each row."""
+    low = LOWER[data]
+    starts, ends, bounds = word_spans(low, offsets, PUNCT)
+    h = [span_hashes(low, starts, np.minimum(ends, starts + k)) * STEP for k in STEMS]
+    return (np.stack(h, 1).ravel() >> np.uint64(48)).astype(np.int64), bounds * len(STEMS)
 
 
 class Classifier:
-    """Multinomial logistic regression on hashed words (each occurrence weighs 1 / sqrt(words)) and shapes."""
+    """Multinomial logistic regression on hashed stems (each occurrence weighs 1 / sqrt(stems)) and shapes."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, rate: float = 0.5, ridge: float = 2e-6):
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, rate: float = 2.0, ridge: float = 2e-6):
         k, count = len(DOMAINS), [len(w) for w, _ in rows]
         self.words, self.dense, self.base = np.zeros((SLOTS, k), np.float32), np.zeros((SHAPES, k)), np.zeros(k)
         if not rows:
             return
-        at, row = np.concatenate([w for w, _ in rows]), np.repeat(np.arange(len(rows)), count)
-        value = np.repeat(1 / np.sqrt(np.maximum(count, 1)), count)
+        # Each row's different slots with their weights, and the same in the order of slots: sums over either are runs.
+        pairs = [np.unique(w, return_counts=True) for w, _ in rows]
+        size = np.array([len(w) for w, _ in pairs])
+        at, row = np.concatenate([w for w, _ in pairs]), np.repeat(np.arange(len(rows)), size)
+        value = (np.concatenate([n for _, n in pairs]) / np.sqrt(np.maximum(np.repeat(count, size), 1))).astype(np.float32)
+        full, firsts = np.flatnonzero(size), (np.cumsum(size) - size)[size > 0]
+        order = np.argsort(at, kind="stable")
+        by_slot, slot_value = row[order], value[order][:, None]
+        slots, slot_firsts = np.unique(at[order], return_index=True)
         x, hot = np.array([s for _, s in rows]), np.eye(k)[label]
         self.mid, self.wide = x.mean(0), x.std(0) + 1e-3
         x = (x - self.mid) / self.wide
         seen = [np.zeros_like(self.words), np.zeros_like(self.dense), np.zeros_like(self.base)]
         for _ in range(EPOCHS):
             z = self.base + x @ self.dense
-            for j in range(k):
-                z[:, j] += np.bincount(row, value * self.words[at, j], len(rows))
+            if len(at):
+                z[full] += np.add.reduceat(self.words[at] * value[:, None], firsts, axis=0)
             off = (softmax(z) - hot) / len(rows)
-            steps = [np.column_stack([np.bincount(at, value * off[row, j], SLOTS) for j in range(k)]) + ridge * self.words, x.T @ off + ridge * self.dense, off.sum(0)]
+            own = ridge * self.words
+            if len(at):
+                own[slots] += np.add.reduceat(off.astype(np.float32)[by_slot] * slot_value, slot_firsts, axis=0)
+            steps = [own, x.T @ off + ridge * self.dense, off.sum(0)]
             for w, g, s in zip((self.words, self.dense, self.base), steps, seen, strict=True):
                 s += g * g
                 w -= (rate * g / (np.sqrt(s) + 1e-8)).astype(w.dtype)
