@@ -7,7 +7,7 @@ words before it, its neighbours); gradient-boosted trees, trained here on genera
 each generator's threshold is calibrated on held-out examples to PRECISION. Accepted spans that don't overlap a base span
 are added, the likeliest first where they overlap each other.
 
-Null and empty texts have no spans. Offsets are code points, ends exclusive. Rows are independent: no shuffle; what is
+Null and empty texts have no spans. Repeated rows give the same; other columns don't matter. Offsets are code points, ends exclusive. Rows are independent: no shuffle; what is
 shipped to the tasks is the trees (a fixed number of them).
 """
 
@@ -254,8 +254,9 @@ def private_spans(docs: DataFrame) -> DataFrame:
             out = []
             for base, added in found(column.fillna("").tolist(), trees, limits):
                 shown = [f"{BASE[k]}:{a}:{b}" for a, k, b in base]
-                order = {k: i for i, k in enumerate((*BASE, *GENERATORS))}
-                both = sorted([(a, order[BASE[k]], f"{BASE[k]}:{a}:{b}") for a, k, b in base] + [(a, order[k], f"{k}:{a}:{b}") for a, k, b in added])
+                # Of spans that start together base kinds come first, in their order, then generators in theirs.
+                place = {k: len(BASE) + i for i, k in enumerate(GENERATORS)}
+                both = sorted([(a, k, f"{BASE[k]}:{a}:{b}") for a, k, b in base] + [(a, place[k], f"{k}:{a}:{b}") for a, k, b in added])
                 counts = [sum(k == j for _, k, _ in base) for j in range(4)]
                 out.append((*counts, sha256(",".join(shown).encode()).hexdigest(), ",".join(s for *_, s in both), len(added)))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in KINDS.split(", ")])
