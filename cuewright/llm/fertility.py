@@ -5,7 +5,8 @@ byte-fallback tokens and the entropy of its tokens (bits). Each language has a b
 documents of enough words, plus and minus some median absolute deviations, but never narrower than a share of the
 median. A text outside its language's band is rejected. Texts without words fail the base rule; a null or unknown
 language has a band of its own. A language's quartiles are drawn towards those of all by n / (n + `least`) for n measured
-documents, so a band goes from that of all to its own without a step.
+documents, so a band goes from that of all to its own without a step. Repeated rows count as often as they stand there and
+are judged alike; columns of other names stay as they are.
 """
 
 from __future__ import annotations
@@ -98,10 +99,11 @@ def base_failed(s: str) -> Column:
 
 def bands(measured: DataFrame, s: str, lang: str, least: int = 20) -> DataFrame:
     """A row for each value of lang, and one more (every = true) for all: the low and high end of each measure, from
-    the rows of measured that pass the base rule. Partial sums only cross the shuffle."""
+    the rows of measured that pass the base rule. Quartiles are exact, of measures rounded to thousandths, so that they
+    don't depend on the order of rows; what crosses the shuffle is counts of different values, bounded by the rounding."""
     good = measured.where(~base_failed(s)).select(F.col(lang).alias("lang"), *(F.col(f"{s}.{m}").alias(m) for m in MEASURES))
     kinds = good.withColumn("every", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("lang", F.when(~F.col("every"), F.col("lang")))
-    mid = kinds.groupBy("every", "lang").agg(F.count("*").alias("n"), *(F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in MEASURES))
+    mid = kinds.groupBy("every", "lang").agg(F.count("*").alias("n"), *(F.percentile(F.round(m, 3), F.lit([0.25, 0.5, 0.75])).alias(m) for m in MEASURES))
     every = mid.where("every").select(*(F.col(m).alias(f"all_{m}") for m in MEASURES))
     mid, own, ends = mid.crossJoin(F.broadcast(every)), F.when(F.col("every"), F.lit(1.0)).otherwise(F.col("n") / (F.col("n") + least)), []
     for m in MEASURES:
