@@ -91,6 +91,86 @@ def test_licence_scores_by_hand(make):
     assert ((x @ weights.T + bias).argmax(1) == y).mean() > 0.94
 
 
+def naive_scan(text, model):
+    """What the licence scan makes of a text, from its description: (paragraphs, anchored, notices)."""
+    weights, bias, threshold = model
+    place = {g: i for i, g in enumerate(licences.VOCABULARY)}
+    own = [{c: [licences.grams_of(t) for t in ts] for c, ts in licences.TEMPLATES.items()}.get(c, []) for c in licences.CLASSES]
+    tokens = lambda x: re.findall(licences.TOKEN, x.lower())
+    holds = lambda x: any(a in x.lower() for a in licences.ANCHORS)
+
+    def judge(x):
+        grams = [g for g in licences.grams_of(x) if g in place]
+        z = bias + weights[:, [place[g] for g in grams]].sum(1)
+        k, sure = int(z.argmax()), round(float(1 / np.exp(z - z.max()).sum()), 6)
+        overlap = max((len(set(grams) & set(t)) / len(t) for t in own[k]), default=0.0)
+        return (licences.CLASSES[k] if sure >= threshold and overlap >= licences.CONFIRM else "unknown"), sure, round(overlap, 6)
+
+    parts = [p for p in re.split(r"\n[\x20\x09-\x0D]*\n", text or "") if re.search(r"[^\x20\x09-\x0D]", p)]
+    anchored, notices = 0, []
+    for p in parts:
+        if not holds(re.sub(r"[\x20\x09-\x0D]+", " ", p)):
+            continue
+        lines, found = [x for x in p.split("\n") if tokens(x)], []
+        for i in range(len(lines)):
+            for j in range(i, min(i + licences.LONGEST + 2, len(lines))):
+                if sum(len(tokens(x)) for x in lines[i + 1 : j]) < licences.LONGEST and holds(x := " ".join(lines[i : j + 1])):
+                    found.append((i, j, *judge(x)))
+        found.sort(key=lambda x: (x[2] == "unknown", -x[4], x[1] - x[0], x[0]))
+        anchored += bool(found)
+        taken = []
+        for x in (x for x in found if x[2] != "unknown"):
+            if all(x[1] < y[0] or x[0] > y[1] for y in taken):
+                taken.append(x)
+        notices += taken
+    return len(parts), anchored, notices
+
+
+def test_licence_query(spark, sf, tmp_path, make):
+    """The registered query over a whole table, with repeated rows, extra columns, null and empty texts, against brute force."""
+    docs = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    notices = [textwrap.fill(t, w) for own in licences.TEMPLATES.values() for t in own for w in (200, 30)]
+    texts = [*docs, *(f"{a[:300]}\n\n{b}\n{a[:60]}" for a, b in zip(docs, notices, strict=False)), *notices[:4], *notices[:4], None, "", " \n\n ", "y" * 300_000]
+    make(texts).withColumn("scan", F.lit(1)).withColumn("paragraph", F.lit("x")).write.parquet(f"{tmp_path}/documents.parquet")
+    rows, model = licences.op1_licence_classifier(spark, str(tmp_path)).orderBy("doc_id").collect(), licences.trained()
+    assert len(rows) == len(texts)
+    for t, r in zip(texts, rows, strict=True):
+        n, anchored, found = naive_scan(t, model)
+        assert (r.n_paragraphs, r.n_anchored, r.n_licences, r.families) == (n, anchored, len(found), ",".join(sorted({x[2] for x in found})))
+        assert r.probability == pytest.approx(max((x[3] for x in found), default=0), abs=2e-6)
+    assert sum(r.n_licences for r in rows) > 60
+    make([]).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert licences.op1_licence_classifier(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_fertility_query(spark, sf):
+    """The registered query over a whole table against brute force: base columns, bands by language, verdicts."""
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = {r.doc_id: r for r in fertility.op2_tokeniser_fertility(spark, sf).collect()}
+    assert rows.keys() == docs.keys()
+    good, failed = {}, {}
+    for k, d in docs.items():
+        n, chars, symbols, dup, repeat = naive_stats(d.text)
+        r = rows[k]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dup, repeat)
+        failed[k] = n < 50 or 100 * repeat > 50 * n
+        ids = [i for w in re.findall(r"[^\x20\x09-\x0D]+", d.text or "") for i in own.encode(w)]
+        p = np.array(list(Counter(ids).values())) / max(len(ids), 1)
+        good[k] = np.array([chars / max(len(ids), 1), np.mean([own.is_byte(i) for i in ids]) if ids else 0, -(p * np.log2(p)).sum()])
+    quartiles = lambda ks: np.percentile(np.round([good[k] for k in ks], 3), [25, 50, 75], axis=0)
+    every = quartiles([k for k in docs if not failed[k]])
+    for k, d in docs.items():
+        same = [j for j in docs if docs[j].lang == d.lang and not failed[j]]
+        w = len(same) / (len(same) + 20)
+        q = w * quartiles(same) + (1 - w) * every if same else every
+        wide = lambda times: np.maximum.reduce([times * (q[2] - q[0]) / 2, fertility.LEAST_SHARE * q[1], list(fertility.LEAST.values())])  # noqa: B023, E731
+        inside = (good[k] >= q[1] - wide(fertility.LOW)).all() and (good[k] <= q[1] + wide(fertility.HIGH)).all()
+        assert (rows[k].base_failed, rows[k].kept) == (failed[k], inside and not failed[k])
+
+
 def naive_lines(texts, least=50):
     """Windows of lines with words, by brute force: the lines that a later copy covers."""
     docs = [[x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)] for t in texts]
@@ -172,6 +252,28 @@ def test_private_spans(make, clash, odd):
     assert ((trees.chance(x) > 0.5) == y).mean() > 0.97
 
 
+def test_private_query(spark, sf, tmp_path, make, odd):
+    """The registered query's columns against brute force, where kinds start together too; an empty table."""
+    from hashlib import sha256
+
+    docs = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    texts = [*docs, *odd, "4111111111111111@x.com 10.0.0.1@b.c +14155552671@d.e", "1.2.3.4.5@a.b 4111 1111 1111 1111"]
+    make(texts).withColumn("p", F.lit(1)).withColumn("spans", F.lit("x")).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = private_spans.op3_candidate_boosting(spark, str(tmp_path)).orderBy("doc_id").collect()
+    added = private_spans.found([t or "" for t in texts], *private_spans.trained())
+    generators = list(private_spans.GENERATORS)
+    for t, r, (_, more) in zip(texts, rows, added, strict=True):
+        base = naive_spans(t)
+        shown = [f"{private_spans.BASE[k]}:{a}:{b}" for a, k, b in base]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == j for _, k, _ in base) for j in range(4)]
+        assert r.base_sha256 == sha256(",".join(shown).encode()).hexdigest() and r.n_added == len(more)
+        both = sorted([(a, k, b, private_spans.BASE[k]) for a, k, b in base] + [(a, 4 + generators.index(k), b, k) for a, k, b in more])
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for a, _, b, k in both)
+    assert rows[-2].spans.startswith("email:0:22,card:0:16")
+    make([]).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert private_spans.op3_candidate_boosting(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_long_private_spans():
     """Values and names of any length are taken whole."""
     rng = np.random.default_rng(7)
