@@ -141,6 +141,22 @@ def test_near_vectors(spark):
     assert np.mean([got[i].component_id == want[i] and got[i].kept == (want[i] == i) for i in want]) >= 0.98
 
 
+def test_planted_vectors(spark):
+    """Pairs planted at cosines just over the threshold, long vectors, null and repeated ids."""
+    rng, rows = np.random.default_rng(12), []
+    for i in range(300):
+        a, b = rng.standard_normal(300), rng.standard_normal(300)
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        c = rng.uniform(0.931, 0.95)
+        rows += [(2 * i, a.tolist(), 1), (2 * i + 1, (c * a + (1 - c * c) ** 0.5 * b / np.linalg.norm(b)).tolist(), 1)]
+    got = near_vectors.near_vectors(vectors(spark, rows)).collect()
+    assert sum(r.n_links for r in got) >= 0.97 * 600 and all(r.n_links <= 1 for r in got)
+    assert all(r.component_id == r.vec_id // 2 * 2 for r in got if r.n_links)
+    odd = near_vectors.near_vectors(vectors(spark, [(None, [1.0, 2.0], 1), (7, [1.0, 2.0], 1), (7, [1.0, 2.0], 1), (None, [3.0, -1.0], 1), (9, [2.0, 4.0], 2)])).collect()
+    assert sorted((r.vec_id or -1, r.n_links, r.component_id or -1, r.kept) for r in odd) == [(-1, 0, -1, True), (-1, 2, 7, False), (7, 2, 7, True), (7, 2, 7, True), (9, 0, 9, True)]
+
+
 def test_vector_blocks(spark, monkeypatch):
     """A group larger than a block is dealt out in pairs of blocks with the same result."""
     monkeypatch.setattr(near_vectors, "BLOCK", 16)

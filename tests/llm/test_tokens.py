@@ -70,6 +70,17 @@ def test_records(spark, make, odd, seed):
         at += len(want)
 
 
+def test_records_of_odd_rows(spark, clash, odd):
+    """Repeated and null ids, repeated texts and columns of the names used here: every row has its record."""
+    folder = f"{shared_folder(spark)}/records-odd"
+    rows = sorted(read_records(spark, folder, write_records(clash.unionByName(clash.where("doc_id is null")), folder, WORD)).collect(), key=lambda r: r.start)
+    own = library(WORD)
+    want = sorted((-1 if i is None else i, [*own.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in zip([*range(len(odd) - 2), 4, None, None], [*odd, odd[-1]], strict=True))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in rows) == want
+    assert [r.doc_id is None for r in rows] == [True, True] + [False] * (len(rows) - 2)
+    assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows[:-1])]).tolist()
+
+
 def test_no_records(spark, make):
     folder = f"{shared_folder(spark)}/records-none"
     assert read_records(spark, folder, write_records(make([]), folder, WORD)).count() == 0
