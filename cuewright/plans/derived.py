@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.sources.parse import Parsed, parse_files, recognised
-
 CUES = """
 SELECT conv_id AS doc_id, turn AS seq, CAST(turn + 1 AS BIGINT) AS cue_no, start_ms,
        CASE WHEN start_ms + dur_ms < 0 THEN 0 ELSE start_ms + dur_ms END AS end_ms,
@@ -119,10 +117,6 @@ def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", F.when(kind == 3, wide).when(kind == 5, F.concat(F.unhex(F.lit("EFBBBF")), utf8)).otherwise(utf8).alias("content"))
 
 
-def parsed_files(spark: SparkSession, sf_dir: str) -> Parsed:
-    return parse_files(recognised(mixed_files(spark, sf_dir)))
-
-
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, content: texts in UTF-8, UTF-8 with a mark, single-byte and mixed encodings, by doc_id."""
     text = F.encode("text", "UTF-8")

@@ -16,6 +16,7 @@ from cuewright.plans import derived as d
 from cuewright.sources import ass, io, srt, vtt
 from cuewright.sources.decode import bad_sequences, bom, decoded, healthy, line_kinds
 from cuewright.sources.detect import detect_format, forced_format
+from cuewright.sources.parse import Parsed, parse_files, recognised
 
 LONG = "bigint"
 PAL, NTSC = (25, 1), (24000, 1001)
@@ -46,6 +47,13 @@ def shared_folder(spark: SparkSession) -> str:
     return (found or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
+def parsed_files(spark: SparkSession, sf_dir: str) -> Parsed:
+    """Files of mixed formats and encodings, written, decoded and parsed once."""
+    path = f"{shared_folder(spark)}/parsed-{uuid.uuid4().hex}"
+    recognised(d.mixed_files(spark, sf_dir)).write.parquet(f"{path}/files")
+    return parse_files(spark.read.parquet(f"{path}/files")).saved(path)
+
+
 # Sources and sinks
 
 
@@ -429,7 +437,7 @@ def convert(spark, sf_dir):
 @query
 def convert_files(spark, sf_dir):
     """Files of mixed formats and encodings, some damaged, as SRT with their own line ends, and what that loses."""
-    texts, losses = c.convert_files(d.parsed_files(spark, sf_dir), "srt")
+    texts, losses = c.convert_files(parsed_files(spark, sf_dir), "srt")
     lost = F.transform(F.array_sort(F.collect_list(F.struct("loss_pos", "feature", "value"))), lambda x: F.concat_ws("=", x["feature"], x["value"]))
     losses = losses.groupBy("doc_id").agg(F.array_join(lost, ";").alias("losses"))
     return texts.join(losses, "doc_id", "left").select("doc_id", "source", F.length("text").cast(LONG).alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), F.coalesce("losses", F.lit("")).alias("losses"))
@@ -438,7 +446,7 @@ def convert_files(spark, sf_dir):
 @query
 def check_files(spark, sf_dir):
     """All six rules and the syntax errors of files of mixed formats and encodings, some damaged."""
-    p = d.parsed_files(spark, sf_dir)
+    p = parsed_files(spark, sf_dir)
     found = rules.check(p.cues, documents=p.documents).groupBy("doc_id").agg(F.count("*").alias("n_findings"), F.count_if(F.col("severity") == rules.CRITICAL).alias("n_critical"), F.count_if(F.col("rule") == rules.RULES[5]).alias("n_encoding"))
     wrong = p.syntax_errors.groupBy("doc_id").agg(F.count("*").alias("n_syntax"))
     out = p.documents.join(found, "doc_id", "left").join(wrong, "doc_id", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +25,15 @@ class Parsed:
     styles: DataFrame
     syntax_errors: DataFrame
 
+    def saved(self, path: str) -> Parsed:
+        """The four tables written below path as Parquet and read again, so that what uses them doesn't parse anew."""
+        out = {}
+        for f in fields(self):
+            table = getattr(self, f.name)
+            table.write.mode("errorifexists").parquet(f"{path}/{f.name}")
+            out[f.name] = table.sparkSession.read.schema(table.schema).parquet(f"{path}/{f.name}")
+        return Parsed(**out)
+
 
 def recognised(files: DataFrame, content: str = "content") -> DataFrame:
     """files (doc_id, content) with text, encoding and format added; content is dropped."""
@@ -33,7 +42,7 @@ def recognised(files: DataFrame, content: str = "content") -> DataFrame:
 
 def parse_files(files: DataFrame) -> Parsed:
     """files: doc_id, text, encoding, format, as recognised() gives them. Each file is parsed by its format. Each table reads
-    files once for each format, so a caller who wants several writes files first."""
+    files once for each format, so a caller who wants several writes files first, and saves what comes out."""
     own = {f: files.where(F.col("format") == f).select("doc_id", "text") for f in FORMATS}
     s, v, a = srt.parse(own["srt"]), vtt.parse(own["vtt"]), ass.parse(own["ass"])
     rows = v[1].unionByName(a[2])
