@@ -1,4 +1,4 @@
-"""What the operators share: tables, the shared folder, bounded word memos."""
+"""What the operators share: tables, the shared folder, one large object for each worker."""
 
 from __future__ import annotations
 
@@ -56,41 +56,6 @@ def own_name(df: DataFrame, name: str) -> str:
     return name
 
 
-class Memo(dict):
-    """Results by word. A chunk of texts is made known by learn(); settle() then drops long words, and all words where
-    they are more than `most`, so a task's memory is bounded by that and one chunk."""
-
-    def __init__(self, most: int = 500_000, longest: int = 64):
-        super().__init__()
-        self.most, self.longest, self.apart = most, longest, []
-
-    def learn(self, words: set, compute) -> None:
-        """compute maps a list of words to their results."""
-        new = [w for w in words if w not in self]
-        if new:
-            self.update(zip(new, compute(new), strict=True))
-            self.apart += [w for w in new if len(w) > self.longest]
-
-    def settle(self) -> None:
-        if len(self) > self.most:
-            self.clear()
-        for w in self.apart:
-            self.pop(w, None)
-        self.apart.clear()
-
-
-def chunks(texts: list, most_chars: int = 250_000):
-    """(from, to) ranges of texts with about most_chars characters each; a longer text stands alone."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most_chars:
-            yield at, i
-            at, size = i, 0
-        size += len(t)
-    if at < len(texts):
-        yield at, len(texts)
-
-
 _held: dict = {}
 
 

@@ -8,7 +8,8 @@ checksums aren't degenerate. `shard-NNNNN.idx` has 25 bytes a record: doc_id (i6
 the record in the shard (u64), number of ids (u64).
 
 Shards and records ascend by doc_id (null first; equal ids by the text's hash, then by text). A task writes to a name of its own and renames it
-at the end, so a task that runs again or twice leaves one whole file. Empty input writes no shard.
+at the end, so a task that runs again or twice leaves one whole file. Empty input writes no shard. A null text is empty;
+repeated rows have a record each; columns other than doc_id and text don't matter.
 """
 
 from __future__ import annotations
