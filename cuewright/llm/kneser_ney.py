@@ -15,7 +15,7 @@ A word's ratio is the sum of log p_toxic / p_ordinary over its symbols, held wit
 after its context, the shared part cancels and the ratio is that of the back-off weights; so a model is a table of ratios by
 gram and by context. Spark sums counts over all rows and makes that table with joins and groupings; it grows with the input.
 To score, a table of up to BROADCAST_GRAMS rows (24 MB) is broadcast; a larger one is joined: texts are dealt into chunks of
-about CHUNK bytes by a hash, a chunk's different grams are joined with the table, and what is found meets the chunk's texts.
+about CHUNK bytes by a hash (many in a partition), a chunk's different grams are joined with the table, and what is found meets the chunk's texts.
 Both ways give the same scores.
 
 A text's score compares length-normalised log-likelihoods: of the whole text, of its most toxic windows of a few words, as an
@@ -276,8 +276,8 @@ def measured(rows: DataFrame, trained: Trained, most: int = BROADCAST_GRAMS) ->
 
         return rows.select(other, "text").mapInArrow(score, kind)
     n = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK + 1
-    placed = rows.select(other, "text", F.pmod(F.xxhash64(other, "text"), F.lit(n)).cast("int").alias("chunk")).repartition(n, "chunk")
-    found = asked(placed, order).join(trained.ratios, "key").repartition(n, "chunk")
+    placed = rows.select(other, "text", F.pmod(F.xxhash64(other, "text"), F.lit(n)).cast("int").alias("chunk")).repartition("chunk")
+    found = asked(placed, order).join(trained.ratios, "key")
 
     def run(texts: pa.Table, ratios: pa.Table) -> pa.Table:
         key, at = np.unique(ratios.column("key").to_numpy(), return_index=True)
