@@ -70,6 +70,13 @@ def per_worker(key, make):
     return _held[key]
 
 
+def lighten() -> None:
+    """Drop what an earlier stage's tasks have left in this Python worker."""
+    if _held:
+        _held.clear()
+        gc.collect()
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (Steele et al., SplitMix64)."""
     x = x.astype(np.uint64, copy=True)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import forget, own_name, table, written
+from cuewright.llm.common import forget, lighten, own_name, table, written
 from cuewright.llm.components import components
 from cuewright.llm.words import shingle_sets, slices
 
@@ -67,6 +67,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     kinds = "doc_id long, text_hash long, n_shingles long, key binary, buckets array<long>, planes array<long>"
 
     def run(batches):
+        lighten()
         for batch in batches:
             doc_id, text_hash, text = batch.columns
             for at, data, offsets in slices(text):
@@ -109,6 +110,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, shingles (sorted 64-bit hashes as bytes) of nodes (node, doc_id, text_hash), from the whole texts."""
 
     def run(batches):
+        lighten()
         for batch in batches:
             for at, data, offsets in slices(batch.columns[1]):
                 yield pa.RecordBatch.from_arrays([batch.columns[0].slice(at, len(offsets) - 1), pa.array([s.tobytes() for s in shingle_sets(data, offsets)], pa.binary())], names=["node", "shingles"])
@@ -122,6 +124,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
 
     def run(batches):
+        lighten()
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
@@ -143,6 +146,7 @@ def linkable(sets: DataFrame, percent: int) -> DataFrame:
     has too: the others can't be shared, so a set with too few of them has no partner. Exact."""
 
     def run(batches):
+        lighten()
         for batch in batches:
             own = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), [len(x) for x in own])), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64))], names=["node", "x"])
@@ -207,6 +211,7 @@ def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
     """p, node, root, size, p_size, d (number of shingles that just one of node and pivot p has), element (each of them)."""
 
     def run(batches):
+        lighten()
         for batch in batches:
             parts = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):

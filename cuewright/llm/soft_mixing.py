@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import own_name, table, written
+from cuewright.llm.common import lighten, own_name, table, written
 from cuewright.llm.words import LOWER, PUNCT, SPACE, STEP, slices, span_hashes, word_hashes, word_spans
 
 DOMAINS = ("good", "poor", "toxic")
@@ -145,6 +145,7 @@ def memberships(text: Column, model) -> Column:
 
     @F.pandas_udf(KINDS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        lighten()
         own = model.value
         for texts in batches:
             parts = [own.posterior(data, offsets) for _, data, offsets in slices(pa.array(texts, pa.string(), from_pandas=True))]

@@ -21,20 +21,22 @@ LONG = 64
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def slices(column: pa.Array, most_bytes: int = 2_000_000):
-    """(first row, bytes, offsets) of runs of rows of about most_bytes; nulls are empty."""
+def slices(column: pa.Array, most_bytes: int = 1_000_000):
+    """(first row, bytes, offsets) of runs of rows of about most_bytes, without a copy of the column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column, "").cast(pa.large_string())
+    if column.null_count:
+        column = pc.fill_null(column, "")
     if not len(column):
         return
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], width)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     at = 0
     while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most_bytes, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, int(offsets[at]) + most_bytes, "right")) - 1)
         to = min(to, len(column))
-        yield at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+        yield at, data[offsets[at] : offsets[to]], offsets[at : to + 1].astype(np.int64) - offsets[at]
         at = to
 
 
