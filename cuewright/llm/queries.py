@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from cuewright.llm.fertility import op2_tokeniser_fertility
+from cuewright.llm.hard_negatives import ORACLE_SQL as NEGATIVES_SQL
+from cuewright.llm.hard_negatives import op13_cover_tree
 from cuewright.llm.kneser_ney import op8_kneser_ney
 from cuewright.llm.licences import op1_licence_classifier
 from cuewright.llm.line_runs import ORACLE_SQL as LINE_SQL
@@ -25,6 +27,7 @@ QUERIES = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_trie_bpe": op9_trie_bpe,
     "op10_collision_counting": op10_collision_counting,
+    "op13_cover_tree": op13_cover_tree,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_line_suffix_array": LINE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_line_suffix_array": LINE_SQL, "op13_cover_tree": NEGATIVES_SQL}
