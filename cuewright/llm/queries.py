@@ -12,6 +12,8 @@ from cuewright.llm.line_runs import op4_line_suffix_array
 from cuewright.llm.near_text import op7_bbit_minhash
 from cuewright.llm.near_vectors import op10_collision_counting
 from cuewright.llm.private_spans import op3_candidate_boosting
+from cuewright.llm.ranked_search import ORACLE_SQL as SEARCH_SQL
+from cuewright.llm.ranked_search import op11_shared_term_sets
 from cuewright.llm.records import op5_length_delimited_records
 from cuewright.llm.soft_mixing import op6_soft_membership
 from cuewright.llm.trie_bpe import op9_trie_bpe
@@ -27,7 +29,8 @@ QUERIES = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_trie_bpe": op9_trie_bpe,
     "op10_collision_counting": op10_collision_counting,
+    "op11_shared_term_sets": op11_shared_term_sets,
     "op13_cover_tree": op13_cover_tree,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_line_suffix_array": LINE_SQL, "op13_cover_tree": NEGATIVES_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_line_suffix_array": LINE_SQL, "op11_shared_term_sets": SEARCH_SQL, "op13_cover_tree": NEGATIVES_SQL}
