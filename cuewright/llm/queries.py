@@ -6,6 +6,7 @@ from cuewright.llm.fertility import op2_tokeniser_fertility
 from cuewright.llm.hard_negatives import ORACLE_SQL as NEGATIVES_SQL
 from cuewright.llm.hard_negatives import op13_cover_tree
 from cuewright.llm.kneser_ney import op8_kneser_ney
+from cuewright.llm.language_id import op12_language_bitmask
 from cuewright.llm.licences import op1_licence_classifier
 from cuewright.llm.line_runs import ORACLE_SQL as LINE_SQL
 from cuewright.llm.line_runs import op4_line_suffix_array
@@ -30,6 +31,7 @@ QUERIES = {
     "op9_trie_bpe": op9_trie_bpe,
     "op10_collision_counting": op10_collision_counting,
     "op11_shared_term_sets": op11_shared_term_sets,
+    "op12_language_bitmask": op12_language_bitmask,
     "op13_cover_tree": op13_cover_tree,
 }
 
