@@ -147,7 +147,7 @@ class Filter:
     def decide(self, n: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The language (its number) and score of each text. A slice that says yes to all tells nothing."""
         room = np.maximum(1 - self.false, 1e-9)
-        rest = np.maximum((hits - n[:, None] * self.false) / room, 0)
+        rest = np.round(np.maximum((hits - n[:, None] * self.false) / room, 0), 6)
         best, total = rest.argmax(1), rest.sum(1)
         return best, np.where(total > 0, rest[np.arange(len(rest)), best] / np.maximum(total, 1e-300), 0.0)
 
