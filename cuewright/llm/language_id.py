@@ -186,7 +186,7 @@ def learned(docs: DataFrame) -> Filter:
 
 
 def identified(docs: DataFrame, filter_: Filter) -> DataFrame:
-    """docs (doc_id, text) with lang_pred and score."""
+    """docs (text and other columns) with lang_pred and score in place of text and of columns of those names."""
     sent, letter = docs.sparkSession.sparkContext.broadcast(filter_), own_name(docs, "has_letter")
 
     def run(batches):
@@ -201,10 +201,11 @@ def identified(docs: DataFrame, filter_: Filter) -> DataFrame:
                 if own.languages:
                     good = told[first : first + n]
                     best[good], score[good] = (x[good] for x in own.decide(*own.hits(*letters(data, offsets, known))))
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, n).drop_columns([letter, "text"]).columns, names.take(pa.array(best)), pa.array(score)], names=[*(c for c in batch.schema.names if c not in (letter, "text")), "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, n) for c in batch.columns[:-2]), names.take(pa.array(best)), pa.array(score)], names=[*(f.name for f in kept), "lang_pred", "score"])
 
-    rows = docs.withColumn(letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    docs = docs.drop("lang_pred", "score")
     kept = [f for f in docs.schema.fields if f.name != "text"]
+    rows = docs.select(*(F.col(f"`{f.name}`") for f in kept), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(letter))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
     return rows.mapInArrow(run, schema)
 

@@ -184,9 +184,9 @@ def test_language_oddities(spark, clash, make):
     assert {(r.lang_pred, r.score) for r in language_id.identified(clash.select("doc_id", "text"), none).collect()} == {("und", 0.0)}
     own = language_id.learned(clash.where("text is not null"))
     out = language_id.identified(clash, own)
-    assert out.columns == [c for c in clash.columns if c != "text"] [:len(clash.columns) - 1] + ["lang_pred", "score"] or "score" in clash.columns
-    rows = language_id.identified(clash.select("doc_id", "text"), own).collect()
-    assert len(rows) == clash.count() and {r.lang_pred for r in rows} == {"en", "und"}
+    assert out.columns == [c for c in clash.columns if c not in ("text", "score")] + ["lang_pred", "score"]
+    rows = out.collect()
+    assert len(rows) == clash.count() and {r.lang_pred for r in rows} == {"en", "und"} and {r.kept for r in rows} == {1}
     assert language_id.identified(make([]).select("doc_id", "text"), own).count() == 0
 
 
