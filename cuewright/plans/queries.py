@@ -49,9 +49,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def parsed_files(spark: SparkSession, sf_dir: str) -> Parsed:
     """Files of mixed formats and encodings, written, decoded and parsed once."""
-    path = f"{shared_folder(spark)}/parsed-{uuid.uuid4().hex}"
-    recognised(d.mixed_files(spark, sf_dir)).write.parquet(f"{path}/files")
-    return parse_files(spark.read.parquet(f"{path}/files")).saved(path)
+    return parse_files(recognised(d.mixed_files(spark, sf_dir))).saved(f"{shared_folder(spark)}/parsed-{uuid.uuid4().hex}")
 
 
 # Sources and sinks
@@ -62,9 +60,10 @@ def read_files(spark, sf_dir):
     """Files are written, read back as bytes, decoded, detected and parsed."""
     path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
     io.write_text_files(d.raw_srt(spark, sf_dir), path)
-    files = io.read_files(spark, path).withColumn("doc_id", F.regexp_extract("path", r"doc_id=([0-9]+)", 1).cast(LONG))
-    own = srt.parse(files.where("format = 'srt'"))[0].groupBy("doc_id").agg(F.count("*").alias("n_cues"))
-    return files.select("doc_id", "format", "encoding.encoding", F.length("text").cast(LONG).alias("n_chars")).join(own, "doc_id", "left")
+    p = parse_files(io.read_files(spark, path).withColumn("n_chars", F.length("text").cast(LONG))).saved(f"{path}-parsed")
+    own = p.cues.groupBy("doc_id").agg(F.count("*").alias("n_cues"))
+    given = F.regexp_extract("path", r"doc_id=([0-9]+)", 1).cast(LONG)
+    return p.documents.join(own, "doc_id", "left").select(given.alias("doc_id"), "format", "encoding.encoding", "n_chars", "n_cues")
 
 
 def mixed_raw(spark, sf_dir) -> DataFrame:

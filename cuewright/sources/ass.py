@@ -1,113 +1,18 @@
-"""ASS/SSA: events, styles, headers and syntax errors of raw texts, without failing.
-
-A line's section is that of the last line with `[`. The first Format line after a section's head sets the columns of
-that kind, until another sets them; Format lines outside the known sections set them too. All of this is windows by
-document and line.
-"""
+"""ASS/SSA: events, styles, headers and syntax errors of raw texts, without failing."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.functions.metrics import event_kind, fold
-from cuewright.functions.timecode import parse_timestamp, strip
-from cuewright.operators.defaults import EVENT_FORMAT, STYLE_FORMAT
-from cuewright.sources.lines import by_line, clean, line_table, upto, wrong
-
-
-def after_colon(x: str) -> Column:
-    return F.substring(F.col(x), F.instr(x, ":") + 1, F.length(x))
-
-
-def scanned(raw: DataFrame) -> DataFrame:
-    """The line table without blank lines and remarks, with section, style_format, event_format and role (format, head,
-    line)."""
-    rows = line_table(raw).where(~F.col("blank") & ~F.col("l").startswith(";"))
-    head = F.col("l").startswith("[")
-    name = fold(strip(F.regexp_replace(F.substring(F.col("l"), 2, F.length("l")), r"\]+$", "")))
-    section = F.when(name == "script info", "info").when(name.contains("styles"), "styles").when(name == "events", "events").otherwise("none")
-    last = lambda x: F.last(x, ignorenulls=True).over(upto(by_line()))
-    rows = rows.withColumn("section", F.coalesce(last(F.when(head, section)), F.lit("none")))
-    rows = rows.withColumn("part", F.sum(head.cast("int")).over(upto(by_line())))
-    is_format = ~head & (F.col("l").startswith("Format:") | F.col("l").startswith("format:"))
-    nth = F.sum(is_format.cast("int")).over(upto(by_line("part")))
-    known = F.col("section").isin("styles", "events")
-    rows = rows.withColumn("sets", is_format & ((known & (nth == 1)) | (F.col("section") == "none")))
-    columns = F.filter(F.transform(F.split(after_colon("l"), ","), strip), lambda x: x != "")
-    rows = rows.withColumn("columns", F.when(F.col("sets"), columns))
-    for_events = (F.col("section") == "events") | ((F.col("section") == "none") & F.exists("columns", lambda c: fold(c) == "start"))
-    default = lambda names: F.array(*map(F.lit, names))
-    rows = rows.withColumn("event_format", F.coalesce(last(F.when(for_events, F.col("columns"))), default(EVENT_FORMAT)))
-    rows = rows.withColumn("style_format", F.coalesce(last(F.when(~for_events, F.col("columns"))), default(STYLE_FORMAT)))
-    return rows.withColumn("role", F.when(head, "head").when(F.col("sets"), "format").otherwise("line"))
-
-
-def whole(x: Column, kind: str = "int") -> Column:
-    return F.coalesce(F.when(x.rlike(r"^[+-]?[0-9]+$"), x.try_cast(kind)), F.lit(0).cast(kind))
-
-
-def split_line() -> Column:
-    """The fields of an event or style line."""
-    given = F.when(F.col("l").contains(":"), after_colon("l")).otherwise(F.col("l"))
-    return F.split(given, ",", -1)
-
-
-def event_field(name: str) -> Column:
-    at = F.array_position(F.transform("event_format", fold), name).cast("int")
-    return F.coalesce(F.when(at > 0, strip(F.get(F.col("parts"), at - 1))), F.lit(""))
-
-
-def events(rows: DataFrame) -> DataFrame:
-    """The cues of scanned lines."""
-    lines = rows.where("section = 'events' and role = 'line'").where(F.col("l").contains(":")).withColumn("parts", split_line())
-    at, value = F.array_position(F.transform("event_format", fold), "text").cast("int"), event_field
-    text = F.when((at > 0) & (at <= F.size("parts")), clean(F.array_join(F.slice("parts", at, F.size("parts")), ","))).otherwise("")
-    some = lambda x: F.when(x != "", x)
-    number, zero = F.row_number().over(by_line()).cast("bigint"), F.lit(0).cast("bigint")
-    return lines.select(
-        "doc_id", (number - 1).alias("seq"), number.alias("cue_no"), F.coalesce(parse_timestamp(value("start")), zero).alias("start_ms"), F.coalesce(parse_timestamp(value("end")), zero).alias("end_ms"), text.alias("text"),
-        some(value("style")).alias("style"), some(value("name")).alias("speaker"), whole(value("marginl")).alias("margin_l"), whole(value("marginr")).alias("margin_r"), whole(value("marginv")).alias("margin_v"),
-        value("effect").alias("effect"), whole(value("layer")).alias("layer"), event_kind(F.substring_index("l", ":", 1)).alias("event_kind"),
-    )
-
-
-def styles(rows: DataFrame) -> DataFrame:
-    """doc_id, style_pos, name, fields; fields that are missing are ''."""
-    lines = rows.where("section = 'styles' and role = 'line'").withColumn("parts", F.transform(split_line(), strip))
-    pairs = F.zip_with("style_format", F.slice(F.col("parts"), F.lit(1), F.size("style_format")), lambda k, v: F.struct(k.alias("name"), F.coalesce(v, F.lit("")).alias("value")))
-    pos = (F.row_number().over(by_line()) - 1).cast("int")
-    name = F.coalesce(F.get(F.filter("fields", lambda f: fold(f["name"]) == "name"), F.lit(0))["value"], F.lit(""))
-    return lines.select("doc_id", pos.alias("style_pos"), pairs.alias("fields")).select("doc_id", "style_pos", name.alias("name"), "fields")
-
-
-def headers(rows: DataFrame) -> DataFrame:
-    """doc_id, pos, name, value."""
-    lines = rows.where("section = 'info' and role = 'line'")
-    pos = (F.row_number().over(by_line()) - 1).cast("int")
-    return lines.where(F.col("l").contains(":")).select("doc_id", pos.alias("pos"), strip(F.substring_index("l", ":", 1)).alias("name"), strip(after_colon("l")).alias("value"))
-
-
-def errors(rows: DataFrame) -> DataFrame:
-    """The syntax errors of scanned lines, each line looked at once."""
-    lines = rows.where("role = 'line'").withColumn("parts", split_line())
-    pair, n, line = F.col("l").contains(":"), F.size("parts"), F.col("ln") + 1
-    event, look = (F.col("section") == "events") & pair, F.col("section") == "styles"
-    unread = parse_timestamp(event_field("start")).isNull() | parse_timestamp(event_field("end")).isNull()
-    found = F.array(
-        wrong(event & (n < F.size("event_format")), line, F.format_string("olay satiri %d alan bekleniyordu, %d bulundu", F.size("event_format"), n)),
-        wrong(event & unread, line, F.concat(F.lit("zaman damgasi okunamadi: '"), F.col("l"), F.lit("'"))),
-        wrong(look & (n < F.size("style_format")), line, F.format_string("stil satiri %d alan bekleniyordu, %d bulundu: '%s'", F.size("style_format"), n, F.col("l"))),
-        wrong((F.col("section") == "info") & ~pair, line, F.concat(F.lit("[Script Info] satirinda ':' ayraci yok: '"), F.col("l"), F.lit("'"))),
-        wrong(F.col("section") == "none", line, F.concat(F.lit("bolum basligi olmayan satir: '"), F.col("l"), F.lit("'"))),
-    )
-    return lines.select("doc_id", F.explode(F.array_compact(found)).alias("e")).select("doc_id", F.lit("ass").alias("format"), "e.line", "e.message")
+from cuewright.functions.metrics import fold
+from cuewright.sources.parse import parsed_as
 
 
 def parse(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(cues, styles, headers, syntax errors) of raw (doc_id, text)."""
-    rows = scanned(raw)
-    return events(rows), styles(rows), headers(rows), errors(rows)
+    out = parsed_as(raw, "ass")
+    return out.cues, out.styles, out.headers, out.syntax_errors
 
 
 def script_type(fields) -> Column:

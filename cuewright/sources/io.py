@@ -2,29 +2,28 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.operators.rules import KINDS, Thresholds
-from cuewright.sources.decode import decoded
-from cuewright.sources.detect import detect_format
-from cuewright.sources.parse import Parsed, parse_files
+from cuewright.sources.parse import Parsed, parse_files, recognised
 
 
-def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """path, text, encoding, format of every file below path; files of no known format have a null format and none is an
-    error."""
+def raw_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """doc_id (the path's hash), path, content of every file below path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    return decoded(files.select("path", "content")).drop("content").withColumn("format", detect_format())
+    return files.select(F.xxhash64("path").alias("doc_id"), "path", "content")
+
+
+def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """doc_id, path, text, encoding, crlf, format of every file below path; files of no known format have a null format and
+    none is an error."""
+    return recognised(raw_files(spark, path, glob))
 
 
-def read_parsed(spark: SparkSession, path: str, glob: str = "*") -> Parsed:
-    """The files below path, each parsed by its format; doc_id is the path's hash, and documents have the path."""
-    files = read_files(spark, path, glob).withColumn("doc_id", F.xxhash64("path"))
-    out = parse_files(files)
-    return replace(out, documents=out.documents.join(files.select("doc_id", "path"), "doc_id"))
+def read_parsed(spark: SparkSession, path: str, glob: str = "*", chunk: int | None = None) -> Parsed:
+    """The files below path, each parsed by its format; documents have the path."""
+    return parse_files(read_files(spark, path, glob), chunk)
 
 
 def write_documents(rendered: DataFrame, path: str, buckets: int = 16) -> None:

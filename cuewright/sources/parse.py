@@ -2,51 +2,69 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.sources import ass, srt, vtt
 from cuewright.sources.decode import decoded
-from cuewright.sources.detect import detect_format
-
-FORMATS = ("srt", "vtt", "ass")
-HEADERS = "array<struct<name:string,value:string>>"
+from cuewright.sources.detect import detect_format, forced_format
+from cuewright.sources.scan import FORMATS, tagged
 
 
 @dataclass
 class Parsed:
-    """documents: doc_id, format (null if none is recognised), crlf, encoding, headers (array); cues, styles and syntax_errors
-    by doc_id. Files without a format have no cues and no errors."""
+    """rows: doc_id, kind and, by kind, one of document, header, cue, style, error. All tables are views of these rows."""
+
+    rows: DataFrame
+
+    def view(self, kind: str) -> DataFrame:
+        return self.rows.where(F.col("kind") == kind).select("doc_id", f"{kind}.*")
+
+    @property
+    def documents(self) -> DataFrame:
+        """doc_id, format (null if none is recognised), what else the files had, headers (array)."""
+        return self.view("document")
+
+    @property
+    def cues(self) -> DataFrame:
+        return self.view("cue")
+
+    @property
+    def styles(self) -> DataFrame:
+        return self.view("style")
+
+    @property
+    def headers(self) -> DataFrame:
+        return self.view("header")
 
-    documents: DataFrame
-    cues: DataFrame
-    styles: DataFrame
-    syntax_errors: DataFrame
+    @property
+    def syntax_errors(self) -> DataFrame:
+        return self.view("error")
 
     def saved(self, path: str) -> Parsed:
-        """The four tables written below path as Parquet and read again, so that what uses them doesn't parse anew."""
-        out = {}
-        for f in fields(self):
-            table = getattr(self, f.name)
-            table.write.mode("errorifexists").parquet(f"{path}/{f.name}")
-            out[f.name] = table.sparkSession.read.schema(table.schema).parquet(f"{path}/{f.name}")
-        return Parsed(**out)
-
-
-def recognised(files: DataFrame, content: str = "content") -> DataFrame:
-    """files (doc_id, content) with text, encoding and format added; content is dropped."""
-    return decoded(files, content).drop(content).withColumn("format", detect_format())
-
-
-def parse_files(files: DataFrame) -> Parsed:
-    """files: doc_id, text, encoding, format, as recognised() gives them. Each file is parsed by its format. Each table reads
-    files once for each format, so a caller who wants several writes files first, and saves what comes out."""
-    own = {f: files.where(F.col("format") == f).select("doc_id", "text") for f in FORMATS}
-    s, v, a = srt.parse(own["srt"]), vtt.parse(own["vtt"]), ass.parse(own["ass"])
-    rows = v[1].unionByName(a[2])
-    headers = rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name", "value"))), lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"))).alias("headers"))
-    documents = files.select("doc_id", "format", F.contains("text", F.lit("\r\n")).alias("crlf"), "encoding").join(headers, "doc_id", "left")
-    documents = documents.withColumn("headers", F.coalesce("headers", F.array().cast(HEADERS)))
-    return Parsed(documents, s[0].unionByName(v[0]).unionByName(a[0]), a[1], s[1].unionByName(v[2]).unionByName(a[3]))
+        """The rows written below path as Parquet, a folder for each kind, in one job, and read again, so that what uses
+        them doesn't parse anew."""
+        self.rows.write.mode("errorifexists").partitionBy("kind").parquet(path)
+        return Parsed(self.rows.sparkSession.read.schema(self.rows.schema).parquet(path))
+
+
+def recognised(files: DataFrame, content: str = "content", forced: str | None = None) -> DataFrame:
+    """files (doc_id, content) with text, encoding, crlf and format added; content is dropped. forced: a column of formats to
+    read files in; one whose own format isn't recognised stays without. Where a name is no format, that is an error of the
+    caller's, and the file has none."""
+    rows = decoded(files, content).drop(content).withColumn("crlf", F.contains("text", F.lit("\r\n")))
+    if forced is None:
+        return rows.withColumn("format", detect_format())
+    return rows.withColumn("format", forced_format(forced)).withColumn("format", F.when(F.col("format").isin(*FORMATS), F.col("format"))).drop(forced)
+
+
+def parse_files(files: DataFrame, chunk: int | None = None) -> Parsed:
+    """files: doc_id, text, format and more, as recognised() gives them, each parsed by its format, in one scan. Files without
+    a format have a document, but no cues and no errors: documents.where("format is null") are the rejects."""
+    return Parsed(tagged(files, FORMATS, chunk))
+
+
+def parsed_as(raw: DataFrame, form: str, chunk: int | None = None) -> Parsed:
+    """raw (doc_id, text), all in one format."""
+    return Parsed(tagged(raw.select("doc_id", "text", F.lit(form).alias("format")), (form,), chunk))

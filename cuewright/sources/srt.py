@@ -1,56 +1,13 @@
-"""SRT: cues and syntax errors of raw texts, without failing. Set-based: windows by document and line.
-
-In a run of non-blank lines the first line with an arrow is the cue's time line and what follows is its text. Before
-it, a line with a number opens a block and takes the next line as its time line, so in a streak of numbers only every
-other one opens a block, and the arrow line has a number only after a streak of odd length. Other cues are numbered on
-from the highest number so far, counting each block opened without a number.
-"""
+"""SRT: cues and syntax errors of raw texts, without failing."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from cuewright.sources.lines import ARROW, by_line, cue, errors_of, line_table, runs, time_struct, upto, wrong
-
+from pyspark.sql import DataFrame
 
-def scanned(raw: DataFrame) -> DataFrame:
-    """The line table with the role of each line: arrow (line of the run's first arrow), before (it isn't text),
-    number (that the line opens a block with), start (it opens a block without a number), given (the number that the
-    line was announced with), takes (it is taken as a time line)."""
-    rows = line_table(raw)
-    run = Window.partitionBy("doc_id", "run")
-    rows = rows.withColumn("arrow", F.min(F.when(F.col("l").contains(ARROW), F.col("ln"))).over(run))
-    value = F.when(F.col("l").rlike(r"^\+?[0-9]+$"), F.col("l").try_cast("decimal(38,0)"))
-    rows = rows.withColumn("value", F.when(~F.col("blank") & (value <= 4294967295), value.cast("bigint")))
-    rows = rows.withColumn("before", ~F.col("blank") & (F.col("arrow").isNull() | (F.col("ln") <= F.col("arrow"))))
-    num = F.col("before") & F.col("value").isNotNull()
-    rows = rows.withColumn("streak", F.sum((~num).cast("int")).over(upto(by_line())))
-    rows = rows.withColumn("place", F.sum(num.cast("int")).over(upto(by_line("streak"))))
-    rows = rows.withColumn("opens", num & (F.col("place") % 2 == 1))
-    rows = rows.withColumn("given", F.when(F.lag("opens").over(by_line()), F.lag("value").over(by_line())))
-    return rows.withColumn("start", F.col("before") & ~F.col("opens") & F.col("given").isNull())
+from cuewright.sources.parse import parsed_as
 
 
-def parse(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+def parse(raw: DataFrame, chunk: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(cues, syntax errors) of raw (doc_id, text)."""
-    rows = scanned(raw)
-    at = F.col("ln") == F.col("arrow")
-    inc = F.sum(F.col("start").cast("int")).over(upto(by_line()))
-    number = F.when(at & F.col("given").isNotNull(), F.greatest(F.col("given"), F.lit(1)))
-    rows = rows.withColumn("inc", inc).withColumn("lead", number - F.col("inc"))
-    earlier = by_line().rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("auto", F.col("inc") + F.greatest(F.lit(0), F.coalesce(F.max("lead").over(earlier), F.lit(0))))
-    taken = F.col("start") | F.col("given").isNotNull()
-    # A number before a blank line takes that line as its time line.
-    wrongs = F.array_compact(
-        F.array(
-            wrong(F.col("opens") & (F.col("ln") + 1 >= F.col("n")), F.col("ln") + 1, F.lit("numara satiri var ama zaman cizgisi yok")),
-            wrong(F.col("given") == 0, F.col("ln") + 1, F.lit("replik numarasi 0 olamaz")),
-            wrong(taken & ~F.col("l").contains(ARROW), F.col("ln") + 1, F.concat(F.lit("zaman cizgisinde '-->' ayraci yok: '"), F.col("l"), F.lit("'"))),
-        )
-    )
-    time = time_struct().withField("cue_no", F.coalesce(number, "auto"))
-    found = runs(rows, F.when(at, time), ~F.col("blank") & (F.col("ln") > F.col("arrow")), wrongs)
-    cues = found.where("t is not null").select("doc_id", "t.*", "text")
-    return cue(cues.withColumn("seq", F.row_number().over(by_line()) - 1)), errors_of(found, "srt")
+    out = parsed_as(raw, "srt", chunk)
+    return out.cues, out.syntax_errors

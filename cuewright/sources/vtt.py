@@ -1,59 +1,13 @@
-"""WebVTT: cues, headers and syntax errors of raw texts, without failing. Set-based, like SRT.
-
-After the WEBVTT line, header lines go on to the first that isn't `key: value`. In each run of non-blank lines after
-that, the first decisive line counts: NOTE, STYLE or REGION take the rest of the run; an arrow, or a line before an
-arrow (a cue's name), makes a cue. Lines before it are errors.
-"""
+"""WebVTT: cues, headers and syntax errors of raw texts, without failing."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from cuewright.functions.timecode import strip
-from cuewright.sources.lines import ARROW, by_line, cue, errors_of, line_table, runs, time_struct, upto, wrong
-
+from pyspark.sql import DataFrame
 
-def scanned(raw: DataFrame) -> DataFrame:
-    rows = line_table(raw)
-    arrow = F.col("l").contains(ARROW)
-    titled = F.first(F.col("l").startswith("WEBVTT")).over(by_line().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = rows.withColumn("titled", titled)
-    key = F.substring_index("l", ":", 1)
-    pair = F.col("l").contains(":") & (key != "") & ~key.contains(" ")
-    header = ~F.col("blank") & ~arrow & ~F.col("l").startswith("NOTE") & ~F.col("l").startswith("STYLE") & pair
-    fits = F.when(F.col("titled") & (F.col("ln") == 0), True).otherwise(header)
-    rows = rows.withColumn("header", F.min(fits.cast("int")).over(upto(by_line())) == 1)
-    # A title line that doesn't lead the file is no header; the rest is scanned in runs after the header lines.
-    rows = rows.withColumn("live", ~F.col("blank") & ~F.col("header"))
-    kind = F.when(F.col("l").startswith("NOTE"), "note").when(F.col("l").startswith("STYLE"), "style").when(F.col("l").startswith("REGION"), "region")
-    kind = F.coalesce(kind, F.when(arrow, "arrow").when(F.lead(arrow & F.col("live")).over(by_line()), "name"))
-    rows = rows.withColumn("kind", F.when(F.col("live"), kind))
-    run = Window.partitionBy("doc_id", "run")
-    first = F.min(F.when(F.col("kind").isNotNull(), F.struct("ln", "kind"))).over(run)
-    return rows.withColumn("first", first)
+from cuewright.sources.parse import parsed_as
 
 
-def parse(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def parse(raw: DataFrame, chunk: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cues, headers, syntax errors) of raw (doc_id, text); headers: doc_id, pos, name, value."""
-    rows = scanned(raw)
-    at = F.col("first.ln") + (F.col("first.kind") == "name").cast("int")
-    rows = rows.withColumn("arrow", F.when(F.col("first.kind").isin("arrow", "name"), at))
-    lost = F.col("live") & (F.col("first").isNull() | (F.col("ln") < F.col("first.ln")))
-    wrongs = F.array_compact(
-        F.array(
-            wrong((F.col("ln") == 0) & ~F.col("titled"), F.lit(1), F.concat(F.lit("ilk satir 'WEBVTT' ile baslamiyor: '"), F.col("l"), F.lit("'"))),
-            wrong(lost, F.col("ln") + 1, F.concat(F.lit("zaman cizgisi bulunamadi: '"), F.col("l"), F.lit("'"))),
-        )
-    )
-    found = runs(rows, F.when(F.col("live") & (F.col("ln") == F.col("arrow")), time_struct()), F.col("live") & (F.col("ln") > F.col("arrow")), wrongs)
-    cues = found.where("t is not null").select("doc_id", "t.*", "text")
-    cues = cues.withColumn("cue_no", F.row_number().over(by_line())).withColumn("seq", F.col("cue_no") - 1)
-    value = strip(F.substring(F.col("l"), F.instr("l", ":") + 1, F.length("l")))
-    key = strip(F.substring_index("l", ":", 1))
-    own = rows.where("header and ln > 0 or header and not titled").select("doc_id", "ln", key.alias("name"), value.alias("value"))
-    style = rows.where("live and first.kind = 'style' and ln > first.ln").where(F.col("l").contains(":")).select("doc_id", "ln", F.concat(F.lit("STYLE "), key).alias("name"), value.alias("value"))
-    headers = own.unionByName(style)
-    headers = headers.withColumn("pos", (F.row_number().over(Window.partitionBy("doc_id").orderBy("ln")) - 1).cast("int")).select("doc_id", "pos", "name", "value")
-    empty = raw.where("text = ''").select("doc_id", F.lit("vtt").alias("format"), F.lit(0).alias("line"), F.lit("dosya bos").alias("message"))
-    return cue(cues), headers, errors_of(found, "vtt").unionByName(empty)
+    out = parsed_as(raw, "vtt", chunk)
+    return out.cues, out.headers, out.syntax_errors

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cuewright.sources.decode import decoded
-from cuewright.sources.detect import detect_format
+from cuewright.sources.parse import recognised
 
 
 def stream_files(spark: SparkSession, path: str, each, checkpoint: str, glob: str = "*"):
@@ -15,6 +15,6 @@ def stream_files(spark: SparkSession, path: str, each, checkpoint: str, glob: st
     files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).load(path)
 
     def batch(df: DataFrame, number: int) -> None:
-        each(decoded(df.select("path", "content")).drop("content").withColumn("format", detect_format()), number)
+        each(recognised(df.select(F.xxhash64("path").alias("doc_id"), "path", "content")), number)
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
