@@ -84,15 +84,23 @@ def fps_fraction(rate: float) -> tuple[int, int]:
 
 
 def fps_columns(rate) -> tuple[Column, Column]:
-    """The same for a column of rates: numerator and denominator, not reduced but equal in value; null out of range."""
+    """The same for a column of rates: numerator and denominator, reduced; null out of range."""
     rate = col(rate)
     near, hundredths = F.floor(rate * 1001 / F.lit(1000.0) + 0.5), F.floor(rate * 100.0 + 0.5)
     ntsc = (near >= 1) & (F.abs(rate - near * F.lit(1000.0) / 1001) < 0.002)
     exact = F.abs(rate * 100.0 - hundredths) < 1e-6
     num = F.when(ntsc, near * 1000).when(exact, hundredths).otherwise(F.floor(rate + 0.5)).cast("bigint")
     den = F.when(ntsc, 1001).when(exact, 100).otherwise(1).cast("bigint")
-    ok = rate.between(1.0, 1000.0)
-    return F.when(ok, num), F.when(ok, den)
+    ok, by = rate.between(1.0, 1000.0), common_divisor(num, den)
+    return F.when(ok, _div(num, by)), F.when(ok, _div(den, by))
+
+
+def common_divisor(a: Column, b: Column) -> Column:
+    """The greatest common divisor of two positive BIGINT columns, by Euclid's steps: 90 are enough for any 64-bit numbers,
+    as each two at least halve the smaller one."""
+    pair = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
+    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(pair(s["b"], s["a"] % F.when(s["b"] != 0, s["b"])))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(90)), pair(a.cast("bigint"), b.cast("bigint")), step, lambda s: s["a"])
 
 
 def _div(num: Column, den: Column) -> Column:

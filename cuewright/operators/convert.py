@@ -49,6 +49,15 @@ def loss_report(documents: DataFrame, cues: DataFrame, styles: DataFrame, *targe
     return rows.select("doc_id", "target", F.col("loss_pos").cast("int").alias("loss_pos"), "l.*")
 
 
+def convert_report(losses: DataFrame, cues: DataFrame, target: str) -> DataFrame:
+    """doc_id, target, n_cues, losses (feature, value, reason, in order) of documents with cues or losses; losses as
+    loss_report() gives them for that target."""
+    lost = losses.where(F.col("target") == target).select("doc_id", F.lit(0).cast(LONG).alias("n"), F.struct("loss_pos", "feature", "value", "reason").alias("l"))
+    rows = lost.unionByName(cues.select("doc_id", F.lit(1).cast(LONG).alias("n"), F.lit(None).cast(lost.schema["l"].dataType).alias("l")))
+    own = F.transform(F.array_sort(F.collect_list("l")), lambda x: F.struct(x["feature"].alias("feature"), x["value"].alias("value"), x["reason"].alias("reason")))
+    return rows.groupBy("doc_id").agg(F.sum("n").alias("n_cues"), own.alias("losses")).select("doc_id", F.lit(target).alias("target"), "n_cues", "losses")
+
+
 def script_info(source: str | Column, title: str = "untitled") -> Column:
     """The header fields of a new ASS document; title is the caller's."""
     source = F.lit(source) if isinstance(source, str) else source

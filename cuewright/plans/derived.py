@@ -99,28 +99,35 @@ def raw_ass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render_ass(one_line(cues(spark, sf_dir)), documents(spark, sf_dir))
 
 
+#: What Latin-1 can't hold, and some more, becomes an e before a text is encoded in single bytes.
+NOT_LATIN = "[^\\x00-\\x7fà-ÿ]"
+
+
 def damaged() -> Column:
-    """The text with a stray last line, for some documents."""
-    return F.concat(F.col("text"), F.when(F.col("doc_id") % 11 == 4, "stray\n").otherwise(""))
+    """The text with a stray last line, for some documents, and for others a number that announces no cue."""
+    return F.concat(F.col("text"), F.when(F.col("doc_id") % 11 == 4, "stray\n").when(F.col("doc_id") % 11 == 6, "99\n").otherwise(""))
 
 
 def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, content: the conversations as SRT, ASS or VTT files by doc_id. Some have CR LF line ends (every second), some
-    are UTF-16 (7k + 3), some have a mark (7k + 5), and some are damaged (11k + 4): a last line that isn't one."""
+    """doc_id, content: the conversations as SRT, ASS or VTT files by doc_id. Some have CR LF line ends (every second), some are
+    damaged, some are UTF-16 (7k + 3), some have a mark (7k + 5), some are single-byte (7k + 1), and some single-byte with one
+    more line in UTF-8 (7k + 2)."""
     own = None
     for f, k in ((raw_srt, 0), (raw_ass, 1), (raw_vtt, 2)):
         part = f(spark, sf_dir).where(F.col("doc_id") % 3 == k)
         own = part if own is None else own.unionByName(part)
-    text = F.when(F.col("doc_id") % 2 == 0, F.replace(damaged(), F.lit("\n"), F.lit("\r\n"))).otherwise(damaged())
-    utf8, kind = F.encode(text, "UTF-8"), F.col("doc_id") % 7
-    wide = F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE"))
-    return own.select("doc_id", F.when(kind == 3, wide).when(kind == 5, F.concat(F.unhex(F.lit("EFBBBF")), utf8)).otherwise(utf8).alias("content"))
+    ends = lambda x: F.when(F.col("doc_id") % 2 == 0, F.replace(x, F.lit("\n"), F.lit("\r\n"))).otherwise(x)
+    text, kind = ends(damaged()), F.col("doc_id") % 7
+    utf8, wide = F.encode(text, "UTF-8"), F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE"))
+    latin = F.encode(F.regexp_replace(text, NOT_LATIN, "e"), "ISO-8859-1")
+    content = F.when(kind == 1, latin).when(kind == 2, F.concat(latin, F.encode(ends(F.lit("é\n")), "UTF-8"))).when(kind == 3, wide).when(kind == 5, F.concat(F.unhex(F.lit("EFBBBF")), utf8)).otherwise(utf8)
+    return own.select("doc_id", content.alias("content"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, content: texts in UTF-8, UTF-8 with a mark, single-byte and mixed encodings, by doc_id."""
     text = F.encode("text", "UTF-8")
-    latin = F.encode(F.regexp_replace("text", "[^\\x00-\\x7fà-ÿ]", "e"), "ISO-8859-1")
+    latin = F.encode(F.regexp_replace("text", NOT_LATIN, "e"), "ISO-8859-1")
     kind = F.col("doc_id") % 4
     content = F.when(kind == 1, F.concat(F.unhex(F.lit("EFBBBF")), text)).when(kind == 2, latin).when(kind == 3, F.concat(F.encode(F.lit("é\n"), "UTF-8"), latin)).otherwise(text)
     return read(spark, sf_dir, "documents").select("doc_id", content.alias("content"))

@@ -163,7 +163,6 @@ ORACLE_SQL: dict[str, str] = {
     "render_vtt": WITH + RAW_VTT + " SELECT * FROM raw_vtt",
     "render_ass": WITH + RAW_ASS + " SELECT * FROM raw_ass",
     "write_documents": WITH + RAW_VTT + " SELECT doc_id, length(text) AS n_chars FROM raw_vtt",
-    "write_reports": "",
     "read_profile": WITH.rstrip(", \n") + " SELECT doc_id, 30.0::DOUBLE AS okuma_hizi, 500 AS asgari_dinlenme_ms, 12.0::DOUBLE AS asgari_hiz, CASE WHEN doc_id % 4 = 0 THEN 60 ELSE 42 END AS en_fazla_karakter, 2 AS en_fazla_satir, 2000 AS kabul_edilebilir_bosluk_ms FROM ids WHERE doc_id % 2 = 0",
     "bom_sniff": "SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'utf-8-bom' END AS encoding, CASE WHEN doc_id % 4 = 1 THEN 3 ELSE 0 END AS mark_bytes, CASE WHEN doc_id % 4 = 1 THEN 'dosya UTF-8 BOM ile basliyor' END AS note FROM documents",
     "decode_text": f"WITH {FILES}, shown AS (SELECT doc_id, CASE WHEN NOT broken THEN body WHEN kind = 3 THEN 'Ã©' || chr(10) || {TURKISH} ELSE {TURKISH} END AS t FROM coded) SELECT doc_id, length(t) AS n_chars, sha256(t) AS text_sha256 FROM shown",
@@ -176,7 +175,7 @@ ORACLE_SQL: dict[str, str] = {
     "cue_metrics": WITH.rstrip(", \n") + f" SELECT doc_id, seq, {SPAN} AS duration_ms, {CHARS} AS n_chars, {N_LINES} AS n_lines, CASE WHEN text = '' THEN 0 ELSE list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) END AS longest_line, {SPAN} >= 0 AS valid FROM cues",
     "reading_speed": WITH.rstrip(", \n") + f" SELECT doc_id, seq, {SPEED} AS speed FROM cues",
     "required_duration": WITH.rstrip(", \n") + f" SELECT doc_id, seq, {need('1000', '6.0::DOUBLE')} AS required_ms FROM cues",
-    "fps_fraction": WITH + "rates AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 23.976::DOUBLE WHEN 1 THEN 29.97::DOUBLE ELSE (doc_id % 1200) / 10.0::DOUBLE END AS r FROM ids), near AS (SELECT *, floor(r * 1001 / 1000.0::DOUBLE + 0.5) AS n FROM rates) SELECT doc_id, CASE WHEN r BETWEEN 1 AND 1000 THEN CASE WHEN n >= 1 AND abs(r - n * 1000.0::DOUBLE / 1001) < 0.002 THEN n * 1000 ELSE floor(r * 100 + 0.5) END END::BIGINT AS num, CASE WHEN r BETWEEN 1 AND 1000 THEN CASE WHEN n >= 1 AND abs(r - n * 1000.0::DOUBLE / 1001) < 0.002 THEN 1001 ELSE 100 END END::BIGINT AS den FROM near",
+    "fps_fraction": WITH + "rates AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 23.976::DOUBLE WHEN 1 THEN 29.97::DOUBLE ELSE (doc_id % 1200) / 10.0::DOUBLE END AS r FROM ids), near AS (SELECT *, floor(r * 1001 / 1000.0::DOUBLE + 0.5) AS n FROM rates), pairs AS (SELECT doc_id, r, CASE WHEN n >= 1 AND abs(r - n * 1000.0::DOUBLE / 1001) < 0.002 THEN [n * 1000, 1001] WHEN abs(r * 100 - floor(r * 100 + 0.5)) < 1e-6 THEN [floor(r * 100 + 0.5), 100] ELSE [floor(r + 0.5), 1] END::BIGINT[] AS f FROM near) SELECT doc_id, CASE WHEN r BETWEEN 1 AND 1000 THEN f[1] // gcd(f[1], f[2]) END AS num, CASE WHEN r BETWEEN 1 AND 1000 THEN f[2] // gcd(f[1], f[2]) END AS den FROM pairs",
     "frame_number": WITH.rstrip(", \n") + f" SELECT doc_id, seq, {frame('start_ms', *NTSC)} AS frame FROM cues",
     "frame_to_ms": WITH.rstrip(", \n") + f" SELECT doc_id, seq, {frame_time('cue_no', *NTSC)} AS ms FROM cues",
     "snap_to_frame": WITH.rstrip(", \n") + f" SELECT doc_id, seq, {snap('start_ms', *NTSC)} AS ntsc_ms, {snap('end_ms', *PAL)} AS pal_ms FROM cues",
@@ -196,9 +195,6 @@ ORACLE_SQL: dict[str, str] = {
     "shift_by_table": WITH.rstrip(", \n") + " SELECT doc_id, seq, greatest(start_ms + k, 0) AS start_ms, greatest(end_ms + k, 0) AS end_ms FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN doc_id * 37 % 5000 - 2500 ELSE 0 END AS k FROM cues)",
     "doc_stats": WITH + STATS + " SELECT doc_id, coalesce(n_cues, 0) AS n_cues, coalesce(n_lines, 0) AS n_lines, coalesce(last_end_ms, 0) AS last_end_ms FROM ids LEFT JOIN stats USING (doc_id)",
     "rule_summary": WITH + findings() + ", names AS (SELECT unnest([" + ", ".join(f"'{r}'" for r in RULES) + f"]) AS rule) SELECT ids.doc_id, {ORDER.replace('rule', 'names.rule')} AS place, names.rule, count(f.rule) AS n_findings FROM ids CROSS JOIN names LEFT JOIN findings f ON f.doc_id = ids.doc_id AND f.rule = names.rule GROUP BY ALL",
-    "check_report": WITH + findings() + f", {STATS}, {UNDEFINED}, {COUNTS} SELECT doc_id, n_cues, n_lines, last_end_ms, coalesce(n_findings, 0) AS n_findings, coalesce(n_critical, 0) AS n_critical, CASE WHEN doc_id % 11 = 4 THEN 1 ELSE 0 END AS n_syntax, coalesce(styles, '') AS styles, coalesce(findings, '') AS findings FROM stats LEFT JOIN counts USING (doc_id) LEFT JOIN undefined USING (doc_id)",
-    "report_summary": WITH + findings() + f", {STATS}, {COUNTS} SELECT doc_id, n_cues, n_lines, {long_time('last_end_ms', '.')} AS duration, coalesce(n_findings, 0) AS n_findings, coalesce(n_critical, 0) AS n_critical FROM stats LEFT JOIN counts USING (doc_id)",
-    "quality_gate": WITH + findings() + f", {COUNTS} SELECT doc_id, coalesce(n_critical, 0) = 0 AND doc_id % 11 <> 4 AS passed FROM ids LEFT JOIN counts USING (doc_id)",
     "longest_cue": WITH.rstrip(", \n") + f" SELECT doc_id, cue_no, n_chars FROM (SELECT doc_id, cue_no, {CHARS} AS n_chars, row_number() OVER (PARTITION BY doc_id ORDER BY {CHARS} DESC, seq DESC) AS k FROM cues) WHERE k = 1",
     "shift_amount": WITH.rstrip(", \n") + " SELECT doc_id, CAST(round((doc_id % 4001 - 2000) / 16.0::DOUBLE * 1000.0::DOUBLE) AS BIGINT) AS shift_ms FROM ids",
     "shift_ms": WITH.rstrip(", \n") + " SELECT doc_id, seq, greatest(start_ms - 1400, 0) AS start_ms, greatest(end_ms - 1400, 0) AS end_ms FROM cues",
@@ -223,8 +219,24 @@ ORACLE_SQL: dict[str, str] = {
 }
 
 # Cues as they are read back from files: ASS has hundredths of seconds, no line ends, and alone styles, margins and comments.
-SRC = f"""src AS (SELECT doc_id, seq, cue_no, doc_id % 3 = 1 AS is_ass, CASE WHEN doc_id % 3 = 1 THEN {ASS_MS.format('start_ms')} ELSE start_ms END AS start_ms, CASE WHEN doc_id % 3 = 1 THEN {ASS_MS.format('end_ms')} ELSE end_ms END AS end_ms,
-  CASE WHEN doc_id % 3 = 1 THEN replace(text, chr(10), ' ') ELSE text END AS text, style, effect, margin_v, event_kind, CASE WHEN doc_id % 2 = 0 THEN chr(13) ELSE '' END || chr(10) AS e FROM cues)"""
+LATIN_TURKISH = TURKISH.replace("(latin,", "(regexp_replace(text, '[^\\x00-\\x7fà-ÿ]', 'e', 'g'),")
+SRC = f"""src AS (SELECT doc_id, seq, cue_no, is_ass, start_ms, end_ms, CASE WHEN doc_id % 7 IN (1, 2) THEN {LATIN_TURKISH} ELSE text END AS text, style, effect, margin_v, event_kind, e FROM (
+  SELECT doc_id, seq, cue_no, doc_id % 3 = 1 AS is_ass, CASE WHEN doc_id % 3 = 1 THEN {ASS_MS.format('start_ms')} ELSE start_ms END AS start_ms, CASE WHEN doc_id % 3 = 1 THEN {ASS_MS.format('end_ms')} ELSE end_ms END AS end_ms,
+  CASE WHEN doc_id % 3 = 1 THEN replace(text, chr(10), ' ') ELSE text END AS text, style, effect, margin_v, event_kind, CASE WHEN doc_id % 2 = 0 THEN chr(13) ELSE '' END || chr(10) AS e FROM cues))"""
+#: Each file's encoding, and the errors of its last lines.
+CODED = r"""body AS (SELECT doc_id, text, regexp_replace(text, '[^\x00-\x7fà-ÿ]', 'e', 'g') AS latin, len(string_split(text, chr(10))) AS n, doc_id % 7 AS k FROM mixed),
+high AS (SELECT *, k IN (1, 2) AND regexp_matches(latin, '[à-ÿ]') AS broken FROM body),
+enc AS (SELECT doc_id, n, CASE WHEN k = 3 THEN 'utf-16-le' WHEN k = 5 THEN 'utf-8-bom' WHEN broken THEN CASE k WHEN 1 THEN 'windows-1254' ELSE 'karisik' END ELSE 'utf-8' END AS encoding, k IN (3, 5) AS has_bom,
+  CASE WHEN broken THEN length(regexp_replace(latin, '[^à-ÿ]', '', 'g')) ELSE 0 END AS bad_seq, 0 AS fffd, broken AND k = 2 AS mixed, CASE WHEN broken THEN len(list_filter(string_split(latin, chr(10)), lambda x: regexp_matches(x, '[à-ÿ]'))) ELSE 0 END AS single_byte_lines,
+  CASE doc_id % 11 WHEN 4 THEN 'stray' WHEN 6 THEN '99' END AS stray, CASE WHEN k = 2 THEN CASE WHEN broken THEN 'Ã©' ELSE 'é' END END AS last FROM high),
+files6 AS (SELECT doc_id, NULL::BIGINT AS seq, 'kodlama_bozuklugu' AS rule, 'uyari' AS severity, 0 AS cue_no, NULL::BIGINT AS related_cue_no, 0 AS line, encoding || ' (BOM)' AS measured, 'BOM''suz UTF-8' AS threshold, 'dosya bayt sirasi isareti (BOM) ile basliyor; bazi oynaticilar ilk satiri bos sayar' AS message FROM enc WHERE has_bom
+  UNION ALL SELECT doc_id, NULL, 'kodlama_bozuklugu', 'kritik', 0, NULL, 0, single_byte_lines || ' tek bayt satir', 'tek kodlama', 'dosyada hem UTF-8 hem tek bayt satirlar var; kodlama karisik' FROM enc WHERE mixed
+  UNION ALL SELECT doc_id, NULL, 'kodlama_bozuklugu', 'kritik', 0, NULL, 0, bad_seq || ' bozuk bayt dizisi', '0', 'dosyada UTF-8 olarak cozulemeyen bayt dizileri var' FROM enc WHERE bad_seq > 0),
+wrong AS (SELECT doc_id, n AS line, 'zaman cizgisinde ''-->'' ayraci yok: ''' || stray || '''' AS message FROM enc WHERE doc_id % 3 = 0 AND stray = 'stray'
+  UNION ALL SELECT doc_id, n, 'numara satiri var ama zaman cizgisi yok' FROM enc WHERE doc_id % 3 = 0 AND stray = '99' AND last IS NULL
+  UNION ALL SELECT doc_id, n + (stray IS NOT NULL)::INT, 'zaman cizgisinde ''-->'' ayraci yok: ''' || last || '''' FROM enc WHERE doc_id % 3 = 0 AND last IS NOT NULL
+  UNION ALL SELECT doc_id, n, 'zaman cizgisi bulunamadi: ''' || stray || '''' FROM enc WHERE doc_id % 3 = 2 AND stray IS NOT NULL
+  UNION ALL SELECT doc_id, n + (stray IS NOT NULL)::INT, 'zaman cizgisi bulunamadi: ''' || last || '''' FROM enc WHERE doc_id % 3 = 2 AND last IS NOT NULL)"""
 FEATURES = """string_agg(feature, ';' ORDER BY k) FILTER (feature IS NOT NULL)"""
 ORACLE_SQL |= {
     "convert_files": WITH + SRC + f""", body AS (SELECT doc_id, string_agg(cue_no || e || {srt_time('start_ms')} || ' --> ' || {srt_time('end_ms')} || e || text || e || e, '' ORDER BY seq) AS text,
@@ -233,20 +245,34 @@ ORACLE_SQL |= {
       CASE WHEN doc_id % 3 > 0 AND doc_id % 2 = 0 THEN 'baslik bloklari=2 alan' END, CASE WHEN comments THEN 'Comment satirlari=gizli replikler' END]) AS feature FROM body),
     losses AS (SELECT doc_id, {FEATURES} AS losses FROM lost GROUP BY doc_id)
     SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'srt' WHEN 1 THEN 'ass' ELSE 'vtt' END AS source, length(text) AS n_chars, sha256(text) AS text_sha256, coalesce(losses, '') AS losses FROM body JOIN losses USING (doc_id)""",
-    "check_files": WITH + SRC + ", " + findings("src") + """, counts AS (SELECT doc_id, count(*) AS n, count(*) FILTER (severity = 'kritik') AS c FROM findings GROUP BY doc_id)
-    SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'srt' WHEN 1 THEN 'ass' ELSE 'vtt' END AS format, doc_id % 2 = 0 AS crlf, CASE doc_id % 7 WHEN 3 THEN 'utf-16-le' WHEN 5 THEN 'utf-8-bom' ELSE 'utf-8' END AS encoding,
-      coalesce(n, 0) + CASE WHEN doc_id % 7 IN (3, 5) THEN 1 ELSE 0 END AS n_findings, coalesce(c, 0) AS n_critical, CASE WHEN doc_id % 7 IN (3, 5) THEN 1 ELSE 0 END AS n_encoding, CASE WHEN doc_id % 11 = 4 AND doc_id % 3 <> 1 THEN 1 ELSE 0 END AS n_syntax,
-      coalesce(c, 0) = 0 AND NOT (doc_id % 11 = 4 AND doc_id % 3 <> 1) AS passed FROM ids LEFT JOIN counts USING (doc_id)""",
+    "check_files": WITH + RAW + ", " + CODED + ", " + SRC + ", " + findings("src") + """, every AS (SELECT * FROM findings UNION ALL SELECT * FROM files6),
+    counts AS (SELECT doc_id, count(*) AS n, count(*) FILTER (severity = 'kritik') AS c, count(*) FILTER (rule = 'kodlama_bozuklugu') AS e FROM every GROUP BY doc_id), wrongs AS (SELECT doc_id, count(*) AS w FROM wrong GROUP BY doc_id)
+    SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'srt' WHEN 1 THEN 'ass' ELSE 'vtt' END AS format, doc_id % 2 = 0 AS crlf, encoding, coalesce(counts.n, 0) AS n_findings, coalesce(c, 0) AS n_critical, coalesce(e, 0) AS n_encoding, coalesce(w, 0) AS n_syntax,
+      coalesce(c, 0) = 0 AND coalesce(w, 0) = 0 AS passed FROM enc LEFT JOIN counts USING (doc_id) LEFT JOIN wrongs USING (doc_id)""",
 }
-ORACLE_SQL["write_reports"] = ORACLE_SQL["report_summary"]
+P = {"speed": "CASE WHEN p_id IS NULL THEN 17.0::DOUBLE ELSE 30.0::DOUBLE END", "least": "CASE WHEN p_id IS NULL THEN 1000 ELSE 500 END", "slow": "CASE WHEN p_id IS NULL THEN 6.0::DOUBLE ELSE 12.0::DOUBLE END", "chars": "CASE WHEN p_id % 4 = 0 THEN 60 ELSE 42 END", "gap": "CASE WHEN p_id IS NULL THEN 0 ELSE 2000 END"}
+REPORT = WITH + RAW + ", profiles AS (SELECT doc_id AS p_id FROM ids WHERE doc_id % 2 = 0), " + CODED + ", " + SRC + ", " + findings("src", **P, join="LEFT JOIN profiles ON doc_id = p_id") + f""", every AS (SELECT * FROM findings UNION ALL SELECT * FROM files6),
+totals AS (SELECT doc_id, count(*) AS n_cues, CAST(sum({N_LINES}) AS BIGINT) AS n_lines, max(end_ms) AS last_end_ms, string_agg(DISTINCT style, ',') FILTER (is_ass AND style = 'YokBoyleStil') AS styles FROM src GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n_findings, count(*) FILTER (severity = 'kritik') AS n_critical, count(*) FILTER (rule = '{RULES[5]}') AS n_encoding, {" || '|' || ".join(f"count(*) FILTER (rule = '{r}')" for r in RULES)} AS rule_counts,
+  string_agg(cue_no || '|' || line || '|' || rule || '|' || severity || '|' || measured || '|' || threshold || '|' || message, ';' ORDER BY cue_no, line, {ORDER}, message) AS findings FROM every GROUP BY doc_id),
+wrongs AS (SELECT doc_id, count(*) AS n_syntax, string_agg(CASE doc_id % 3 WHEN 0 THEN 'srt' ELSE 'vtt' END || '|' || line || '|' || message, ';' ORDER BY line) AS syntax_errors FROM wrong GROUP BY doc_id),
+report AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'srt' WHEN 1 THEN 'ass' ELSE 'vtt' END AS format, doc_id % 2 = 0 AS crlf, n_cues, n_lines, last_end_ms, encoding, has_bom, bad_seq, fffd, mixed, single_byte_lines,
+  CASE WHEN doc_id % 2 = 0 THEN '30.0|500|12.0|' || CASE WHEN doc_id % 4 = 0 THEN 60 ELSE 42 END || '|2|2000' ELSE '17.0|1000|6.0|42|2|0' END AS thresholds, coalesce(rule_counts, '0|0|0|0|0|0') AS rule_counts, coalesce(n_findings, 0) AS n_findings, coalesce(n_critical, 0) AS n_critical,
+  coalesce(n_encoding, 0) AS n_encoding, coalesce(findings, '') AS findings, coalesce(styles, '') AS styles, coalesce(n_syntax, 0) AS n_syntax, coalesce(syntax_errors, '') AS syntax_errors FROM enc JOIN totals USING (doc_id) LEFT JOIN counts USING (doc_id) LEFT JOIN wrongs USING (doc_id))
+"""
+EMPTY = {"n_findings": "BIGINT", "n_encoding": "BIGINT", "encoding": "VARCHAR", "affected": "BIGINT", "renumbered": "BIGINT", "first_loss": "VARCHAR"}
+
+
+def reported(kind: str, source: str, **fields: str) -> str:
+    return f"SELECT doc_id, '{kind}' AS kind, " + ", ".join(f"{fields.get(c, f'NULL::{t}')} AS {c}" for c, t in EMPTY.items()) + f" FROM {source}"
+
 
-# The single-byte texts' high bytes are all lead bytes that nothing continues: each is an ill-formed sequence.
-BAD = "CASE WHEN broken THEN length(regexp_replace(latin, '[^à-ÿ]', '', 'g')) ELSE 0 END"
-AUDIT = f"WITH {FILES}, audit AS (SELECT doc_id, kind, broken, {BAD} AS bad, CASE WHEN broken THEN {HIGH} ELSE 0 END AS n FROM coded)"
+#: Of the losses in WebVTT the first.
+FIRST_LOSS = f"firsts AS (SELECT doc_id, CASE WHEN n_styles > 0 THEN 'ASS stiller' WHEN style IS NOT NULL THEN 'replik stili' WHEN margins THEN 'kenar bosluklari ve efekt' WHEN comments THEN 'Comment satirlari' END AS feature FROM base)"
+KINDS_SQL = [reported("check", "report", n_findings="n_findings", n_encoding="n_encoding", encoding="encoding"), reported("shift", "shifts", affected="affected"), reported("normalize", "norms", renumbered="renumbered"), reported("convert", "firsts", first_loss="feature")]
 ORACLE_SQL |= {
-    "bad_sequences": AUDIT + " SELECT doc_id, bad AS bad_seq FROM audit",
-    "encoding_report": AUDIT + " SELECT doc_id, CASE WHEN broken THEN CASE kind WHEN 3 THEN 'karisik' ELSE 'windows-1254' END WHEN kind = 1 THEN 'utf-8-bom' ELSE 'utf-8' END AS encoding, kind = 1 AS has_bom, bad AS bad_seq, 0 AS fffd, broken AND kind = 3 AS mixed, n AS single_byte_lines, CASE WHEN broken OR kind = 1 THEN 1 ELSE 0 END AS notes, NOT broken AND kind <> 1 AS healthy FROM audit",
-    "rule_encoding": AUDIT + """ SELECT doc_id, 'uyari' AS severity, 'utf-8-bom (BOM)' AS measured, 'BOM''suz UTF-8' AS threshold, 'dosya bayt sirasi isareti (BOM) ile basliyor; bazi oynaticilar ilk satiri bos sayar' AS message FROM audit WHERE kind = 1
-      UNION ALL SELECT doc_id, 'kritik', n || ' tek bayt satir', 'tek kodlama', 'dosyada hem UTF-8 hem tek bayt satirlar var; kodlama karisik' FROM audit WHERE broken AND kind = 3
-      UNION ALL SELECT doc_id, 'kritik', bad || ' bozuk bayt dizisi', '0', 'dosyada UTF-8 olarak cozulemeyen bayt dizileri var' FROM audit WHERE broken""",
+    "check_report": REPORT + "SELECT * EXCLUDE n_encoding FROM report",
+    "report_summary": REPORT + f"SELECT doc_id, format, n_cues, n_lines, {long_time('last_end_ms', '.')} AS duration, encoding, n_findings, n_critical FROM report",
+    "quality_gate": REPORT + "SELECT doc_id, n_critical = 0 AND n_syntax = 0 AS passed FROM report",
+    "write_reports": REPORT + f", shifts AS (SELECT doc_id, count(*) FILTER ({SHIFTED}) AS affected FROM cues GROUP BY doc_id), norms AS (WITH {NORMAL.replace('{0}', 'cues')}), {DOCS}, {LOSS}, {FIRST_LOSS} " + " UNION ALL ".join(KINDS_SQL),
 }

@@ -34,9 +34,8 @@ def findings(spark, sf_dir, **more) -> DataFrame:
 
 
 def report_of(spark, sf_dir) -> DataFrame:
-    cues, docs = d.cues(spark, sf_dir), d.documents(spark, sf_dir)
-    errors = srt.parse(d.raw_srt(spark, sf_dir).withColumn("text", d.damaged()))[1]
-    return report.check_report(docs, cues, d.styles(spark, sf_dir), rules.check(cues), errors)
+    """Whole reports of files of mixed formats and encodings, some damaged, with profiles for every other one."""
+    return report.check_report(parse_files(recognised(d.mixed_files(spark, sf_dir))).rows, profiles=d.profiles(spark, sf_dir))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -144,9 +143,12 @@ def write_documents(spark, sf_dir):
 
 @query
 def write_reports(spark, sf_dir):
-    path = f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}"
-    io.write_reports(report.report_summary(report_of(spark, sf_dir)), path)
-    return spark.read.schema("doc_id bigint, n_cues bigint, n_lines bigint, duration string, n_findings bigint, n_critical bigint").json(path)
+    """Reports of checking, shifting, normalising and converting in one table, read back by path."""
+    path, cues = f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}", d.cues(spark, sf_dir)
+    losses = c.loss_report(d.documents(spark, sf_dir), cues, d.styles(spark, sf_dir), "vtt")
+    io.write_reports(path, check=report_of(spark, sf_dir), shift=retime.shift_report(cues, -1400), normalize=retime.normalize_report(retime.normalize(cues, PAL)), convert=c.convert_report(losses, cues, "vtt"))
+    at = lambda p, kind="bigint": F.try_variant_get("report", p, kind)
+    return io.read_reports(spark, path).select("doc_id", "kind", at("$.n_findings").alias("n_findings"), at("$.rule_counts[5].n").alias("n_encoding"), at("$.encoding.encoding", "string").alias("encoding"), at("$.affected").alias("affected"), at("$.renumbered").alias("renumbered"), at("$.losses[0].feature", "string").alias("first_loss"))
 
 
 @query
@@ -335,9 +337,12 @@ def rule_summary(spark, sf_dir):
 
 @query
 def check_report(spark, sf_dir):
-    rows = report_of(spark, sf_dir)
-    shown = F.array_join(F.transform("findings", lambda f: F.concat_ws("|", F.coalesce(f["cue_no"], F.lit(0)), f["line"], f["rule"])), ";")
-    return rows.select("doc_id", "n_cues", "n_lines", "last_end_ms", "n_findings", "n_critical", "n_syntax", F.array_join("styles", ",").alias("styles"), shown.alias("findings"))
+    joined = lambda name, of, by=";": F.array_join(F.transform(name, of), by).alias(name)
+    found = joined("findings", lambda f: F.concat_ws("|", F.coalesce(f["cue_no"], F.lit(0)), f["line"], f["rule"], f["severity"], f["measured"], f["threshold"], f["message"]))
+    limits = F.concat_ws("|", *(f"thresholds.{k}" for k in rules.KINDS)).alias("thresholds")
+    wrong = joined("syntax_errors", lambda e: F.concat_ws("|", e["format"], e["line"], e["message"]))
+    coding = [f"encoding.{c}" for c in ("encoding", "has_bom", "bad_seq", "fffd", "mixed", "single_byte_lines")]
+    return report_of(spark, sf_dir).select("doc_id", "format", "crlf", "n_cues", "n_lines", "last_end_ms", *coding, limits, joined("rule_counts", lambda r: r["n"].cast("string"), "|"), "n_findings", "n_critical", found, F.array_join("styles", ",").alias("styles"), "n_syntax", wrong)
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +38,17 @@ def write_text_files(rendered: DataFrame, path: str) -> None:
     rendered.select("doc_id", F.regexp_replace("text", "\n\\z", "").alias("text")).repartition("doc_id").write.mode("errorifexists").partitionBy("doc_id").text(path)
 
 
-def write_reports(reports: DataFrame, path: str) -> None:
-    reports.write.mode("errorifexists").json(path)
+def write_reports(path: str, **reports: DataFrame) -> None:
+    """Reports of several kinds and shapes (each with doc_id) in one table, doc_id, kind and report, a VARIANT, with a folder for
+    each kind. An existing path is an error."""
+    rows = [df.select("doc_id", F.lit(kind).alias("kind"), F.to_variant_object(F.struct(*(c for c in df.columns if c != "doc_id"))).alias("report")) for kind, df in reports.items()]
+    reduce(DataFrame.unionByName, rows).write.mode("errorifexists").partitionBy("kind").parquet(path)
+
+
+def read_reports(spark: SparkSession, path: str, *kinds: str) -> DataFrame:
+    """doc_id, kind, report of what write_reports() wrote; only the files of those kinds are read, where some are named."""
+    rows = spark.read.schema("doc_id bigint, kind string, report variant").parquet(path)
+    return rows.where(F.col("kind").isin(*kinds)) if kinds else rows
 
 
 def report_json(reports: DataFrame) -> DataFrame:
