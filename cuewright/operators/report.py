@@ -55,9 +55,11 @@ def check_report(rows: DataFrame, thresholds: Thresholds | None = None, profiles
     col, zero, names = F.col, F.lit(0).cast(LONG), [c for c in rows.schema["document"].dataType.names if c not in ("format", "encoding", "headers")]
     is_ = lambda k: col("kind") == k
     own, key = F.struct("cue.cue_no", "cue.start_ms", "cue.end_ms"), F.when(is_("cue"), m.fold("cue.style")).when(is_("style"), m.fold("style.name"))
-    w = Window.partitionBy("doc_id", "kind").orderBy("cue.seq")
+    # Both windows are by doc_id alone, so that they share its exchange: cues follow each other, and a style's peers have its key.
+    w, peers = Window.partitionBy("doc_id").orderBy("kind", "cue.seq"), Window.partitionBy("doc_id").orderBy("style_key").rangeBetween(Window.currentRow, Window.currentRow)
     rows = rows.where(col("kind").isin("document", "cue", "style", "error")).withColumn("style_key", key)
-    rows = rows.withColumns({"before": F.lag(own).over(w), "after": F.lead(own).over(w), "known": F.max(is_("style")).over(Window.partitionBy("doc_id", "style_key"))})
+    own = F.when(is_("cue"), own)
+    rows = rows.withColumns({"before": F.lag(own).over(w), "after": F.lead(own).over(w), "known": F.max(is_("style")).over(peers)})
     profile = None
     if profiles is not None:
         filled = [(F.col(k) if k in profiles.columns else F.lit(None)).cast(kind).alias(k) for k, kind in KINDS.items()]
