@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from cuewright.operators.rules import KINDS, Thresholds
 from cuewright.sources.parse import Parsed, parse_files, recognised
+from cuewright.sources.sink import write_files
 
 
 def raw_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """doc_id (the path's hash), path, content of every file below path."""
+    """doc_id (the path's hash), path, content of every file below path that isn't empty (Spark's reader skips empty files)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     return files.select(F.xxhash64("path").alias("doc_id"), "path", "content")
 
@@ -33,9 +34,12 @@ def write_documents(rendered: DataFrame, path: str, buckets: int = 16) -> None:
     rendered.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).write.mode("errorifexists").partitionBy("bucket").parquet(path)
 
 
-def write_text_files(rendered: DataFrame, path: str) -> None:
-    """One UTF-8 file without a mark for each document, in a folder doc_id=..."""
-    rendered.select("doc_id", F.regexp_replace("text", "\n\\z", "").alias("text")).repartition("doc_id").write.mode("errorifexists").partitionBy("doc_id").text(path)
+def write_text_files(rendered: DataFrame, path: str, form: str | None = None, names: DataFrame | None = None) -> None:
+    """One UTF-8 file without a mark for each rendered document (doc_id, text): by its name in names (doc_id, name, without an
+    extension), or else its doc_id, with the format's extension (form, or the column format)."""
+    rows = rendered if names is None else rendered.join(names.select("doc_id", "name"), "doc_id", "left")
+    own = F.coalesce("name", F.col("doc_id").cast("string")) if names is not None else F.col("doc_id").cast("string")
+    write_files(rows.select(F.concat(own, F.lit("."), F.lit(form) if form else F.col("format")).alias("name"), "text"), path)
 
 
 def write_reports(path: str, **reports: DataFrame) -> None:
