@@ -276,3 +276,12 @@ ORACLE_SQL |= {
     "quality_gate": REPORT + "SELECT doc_id, n_critical = 0 AND n_syntax = 0 AS passed FROM report",
     "write_reports": REPORT + f", shifts AS (SELECT doc_id, count(*) FILTER ({SHIFTED}) AS affected FROM cues GROUP BY doc_id), norms AS (WITH {NORMAL.replace('{0}', 'cues')}), {DOCS}, {LOSS}, {FIRST_LOSS} " + " UNION ALL ".join(KINDS_SQL),
 }
+N_HEADERS = "CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END"
+ORACLE_SQL |= {
+    "read_parsed": WITH + "n AS (SELECT doc_id, count(*) AS n_cues FROM cues GROUP BY doc_id) SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'srt' WHEN 1 THEN 'ass' ELSE 'vtt' END AS format, n_cues, CASE WHEN doc_id % 3 = 1 THEN 2 ELSE 0 END AS n_styles, CASE WHEN doc_id % 11 IN (4, 6) AND doc_id % 3 <> 1 THEN 1 ELSE 0 END AS n_syntax, true AS read_once FROM n",
+    "forced_files": WITH + RAW + ", " + FOUND + f""", n AS (SELECT doc_id, count(*) AS n_cues FROM cues GROUP BY doc_id),
+    kinds AS (SELECT doc_id, format, coalesce(n_cues, 0) AS n_cues, format = 'srt' AND doc_id % 5 = 0 AS to_vtt, format = 'vtt' AND doc_id % 5 = 1 AS to_srt FROM found LEFT JOIN n USING (doc_id))
+    SELECT doc_id, CASE WHEN to_vtt THEN 'vtt' WHEN to_srt THEN 'srt' ELSE format END AS format, n_cues, CAST(n_cues * (n_cues + 1) // 2 + CASE WHEN to_srt THEN n_cues * (1 + {N_HEADERS}) ELSE 0 END AS BIGINT) AS sum_no,
+      CASE WHEN to_vtt THEN 1 WHEN to_srt THEN 1 + {N_HEADERS} ELSE 0 END AS n_syntax FROM kinds""",
+    "roundtrip_differences": WITH.rstrip(", \n") + f" SELECT doc_id, 0 AS n_lost, 0 AS n_cue_no, count(*) FILTER ({ASS_MS.format('start_ms')} <> start_ms) AS n_start_ms, count(*) FILTER ({ASS_MS.format('end_ms')} <> end_ms) AS n_end_ms, 0 AS n_text FROM cues WHERE {ASS_MS.format('start_ms')} <> start_ms OR {ASS_MS.format('end_ms')} <> end_ms GROUP BY doc_id",
+}

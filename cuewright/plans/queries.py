@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,10 +13,12 @@ from cuewright.functions import metrics as m
 from cuewright.functions import timecode as t
 from cuewright.operators import convert as c
 from cuewright.operators import render, report, retime, rules
+from cuewright.operators.compare import differences
 from cuewright.plans import derived as d
 from cuewright.sources import ass, io, srt, vtt
 from cuewright.sources.decode import bad_sequences, bom, decoded, healthy, line_kinds
 from cuewright.sources.detect import detect_format, forced_format
+from cuewright.sources.ledger import Collection
 from cuewright.sources.parse import Parsed, parse_files, recognised
 
 LONG = "bigint"
@@ -56,13 +59,31 @@ def parsed_files(spark: SparkSession, sf_dir: str) -> Parsed:
 
 @query
 def read_files(spark, sf_dir):
-    """Files are written, read back as bytes, decoded, detected and parsed."""
+    """Files are written under their own names, read back as bytes by a ledger, decoded, detected and parsed."""
     path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
-    io.write_text_files(d.raw_srt(spark, sf_dir), path)
-    p = parse_files(io.read_files(spark, path).withColumn("n_chars", F.length("text").cast(LONG))).saved(f"{path}-parsed")
-    own = p.cues.groupBy("doc_id").agg(F.count("*").alias("n_cues"))
-    given = F.regexp_extract("path", r"doc_id=([0-9]+)", 1).cast(LONG)
-    return p.documents.join(own, "doc_id", "left").select(given.alias("doc_id"), "format", "encoding.encoding", "n_chars", "n_cues")
+    io.write_text_files(d.raw_srt(spark, sf_dir), path, "srt")
+    own = Collection(spark, f"{path}-own")
+    own.ingest(path, "*.srt")
+    cues = own.parsed().cues.groupBy("doc_id").agg(F.count("*").alias("n_cues"))
+    return own.files().join(cues, "doc_id", "left").select(name_of("srt"), "format", "encoding.encoding", F.length("text").cast(LONG).alias("n_chars"), "n_cues")
+
+
+def name_of(form: str):
+    """The number that a file is named by."""
+    return F.regexp_extract("path", rf"([0-9]+)\.{form}$", 1).cast(LONG).alias("doc_id")
+
+
+@query
+def read_parsed(spark, sf_dir):
+    """Files of all formats, some damaged, written one each and read by a ledger; a second run finds nothing new."""
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    rows = [f(spark, sf_dir).where(F.col("doc_id") % 3 == k).select("doc_id", d.damaged().alias("text"), F.lit(x).alias("format")) for f, k, x in ((d.raw_srt, 0, "srt"), (d.raw_ass, 1, "ass"), (d.raw_vtt, 2, "vtt"))]
+    io.write_text_files(reduce(DataFrame.unionByName, rows), path)
+    own = Collection(spark, f"{path}-own")
+    own.ingest(path, "*.{srt,ass,vtt}")
+    again = own.ingest(path, "*.{srt,ass,vtt}")
+    rows = own.parsed().rows.groupBy("doc_id").agg(F.first("document", ignorenulls=True).alias("d"), F.count("cue").alias("n_cues"), F.count("style").alias("n_styles"), F.count("error").alias("n_syntax"))
+    return rows.select("d.path", "d.format", "n_cues", "n_styles", "n_syntax").select(name_of("[a-z]+"), "format", "n_cues", "n_styles", "n_syntax", F.lit(again is None).alias("read_once"))
 
 
 def mixed_raw(spark, sf_dir) -> DataFrame:
@@ -85,6 +106,15 @@ def force_format(spark, sf_dir):
     return mixed_raw(spark, sf_dir).select("doc_id", forced_format(forced).alias("format"))
 
 
+@query
+def forced_files(spark, sf_dir):
+    """Some SRT files read as WebVTT and some WebVTT files as SRT; plain texts stay rejected whatever is forced."""
+    own, plain = F.col("doc_id") % 3, F.col("doc_id") >= 1_000_000_000
+    forced = F.when(plain | ((own == 0) & (F.col("doc_id") % 5 == 0)), "vtt").when((own == 2) & (F.col("doc_id") % 5 == 1), "srt")
+    files = mixed_raw(spark, sf_dir).withColumn("format", forced_format(forced))
+    return parse_files(files).rows.groupBy("doc_id").agg(F.first("document.format", ignorenulls=True).alias("format"), F.count("cue").alias("n_cues"), F.coalesce(F.sum("cue.cue_no"), F.lit(0)).cast(LONG).alias("sum_no"), F.count("error").alias("n_syntax"))
+
+
 @query
 def parse_srt(spark, sf_dir):
     return srt.parse(d.raw_srt(spark, sf_dir))[0].select(*CORE)
@@ -474,6 +504,15 @@ def roundtrip(spark, sf_dir):
     return srt.parse(render.render_srt(third))[0].select(*CORE)
 
 
+@query
+def roundtrip_differences(spark, sf_dir):
+    """What SRT, ASS, VTT and SRT again change: times that ASS rounds to 10 ms, nothing else."""
+    before = d.one_line(d.cues(spark, sf_dir)).select(*CORE)
+    found = differences(before, roundtrip(spark, sf_dir), "doc_id", "seq")
+    has = lambda c: F.count_if(F.array_contains("fields", c)).alias(f"n_{c}")
+    return found.groupBy("doc_id").agg(F.count_if(F.col("kind") != "changed").alias("n_lost"), has("cue_no"), has("start_ms"), has("end_ms"), has("text"))
+
+
 # Sorts and set operations
 
 

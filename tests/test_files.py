@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from cuewright.sources import io, sink
+from cuewright.sources import io, ledger, sink
 
 
 def found(path):
@@ -74,3 +74,66 @@ def test_names_twice_are_an_error(spark, rendered, tmp_path):
 def test_names_below_the_folder_only(name):
     with pytest.raises(ValueError, match="file name"):
         sink.checked(name)
+
+
+# Files read once
+
+
+def put(path, text, at):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_bytes(text if isinstance(text, bytes) else text.encode())
+    os.utime(path, (at, at))
+
+
+CUE_TEXT = "1\n00:00:01,000 --> 00:00:02,000\n{}\n"
+
+
+@pytest.mark.parametrize("listed", [10_000, 0])
+def test_a_second_run_reads_what_is_new(spark, tmp_path, monkeypatch, listed):
+    """New and changed files are taken, others aren't opened; a batch that failed is taken again."""
+    monkeypatch.setattr(ledger, "LISTED", listed)
+    source, own = tmp_path / "in", ledger.Collection(spark, f"file://{tmp_path}/own")
+    texts = lambda: sorted(r.text for r in own.parsed().cues.collect())
+    for i in range(4):
+        put(source / f"d{i % 2}" / f"{i}.srt", CUE_TEXT.format(i), 1_000_000_000)
+    put(source / "no.txt", "nothing", 1_000_000_000)
+    put(source / "utf16.srt", CUE_TEXT.format("ş").encode("utf-16"), 1_000_000_000)
+    assert own.parsed().cues.count() == 0 and own.ingest(str(source)) == 0
+    assert texts() == ["0", "1", "2", "3", "ş"] and own.ledger().count() == 6
+    assert [os.path.basename(r.path) for r in own.rejects().collect()] == ["no.txt"]
+    assert own.ingest(str(source)) is None and own.committed() == 1
+
+    put(source / "d0" / "0.srt", CUE_TEXT.format("zero"), 1_100_000_000)
+    put(source / "late.vtt", "WEBVTT\n\n00:01.000 --> 00:02.000\nlate\n", 1_100_000_000)
+    # Files that are known can't be opened any more, which nobody notices.
+    opened = spark.sparkContext.accumulator(0)
+    old = ledger.recognised
+
+    def counting(df):
+        opened.add(df.count())
+        return old(df)
+
+    monkeypatch.setattr(ledger, "recognised", counting)
+    # The parse of the first try fails after the texts are written: the ledger stays as it was.
+    parse = ledger.parse_files
+    monkeypatch.setattr(ledger, "parse_files", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        own.ingest(str(source))
+    monkeypatch.setattr(ledger, "parse_files", parse)
+    assert own.committed() == 1 and texts() == ["0", "1", "2", "3", "ş"]
+    assert own.ingest(str(source)) == 1 and opened.value == 4
+    assert texts() == ["1", "2", "3", "late", "zero", "ş"] and own.ledger().count() == 7
+    assert {os.path.basename(r.path): r.batch for r in own.ledger().collect()} == {"0.srt": 1, "late.vtt": 1, "1.srt": 0, "2.srt": 0, "3.srt": 0, "no.txt": 0, "utf16.srt": 0}
+    assert own.files().count() == 7 and own.ingest(str(source)) is None
+
+
+def test_old_files_are_not_opened(spark, tmp_path, monkeypatch):
+    """The scan for many new files skips the content of files older than all of them."""
+    monkeypatch.setattr(ledger, "LISTED", 0)
+    source, own = tmp_path / "in", ledger.Collection(spark, str(tmp_path / "own"))
+    put(source / "old.srt", CUE_TEXT.format("old"), 1_000_000_000)
+    put(source / "new.srt", CUE_TEXT.format("new"), 1_100_000_000)
+    new = own.listing(str(source)).where("path like '%new.srt'")
+    plan = own.contents(str(source), "*", new)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(modificationTime), GreaterThanOrEqual(modificationTime" in plan
+    assert [os.path.basename(r.path) for r in own.contents(str(source), "*", new).collect()] == ["new.srt"]
