@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuewright.functions import metrics as m
 from cuewright.functions.timecode import frame_ms, snap_to_frame
+from cuewright.operators.places import places, with_neighbours
 
 LONG = "bigint"
 FULL = ["cue_no", "start_ms", "end_ms", "text", "style", "speaker", "margin_l", "margin_r", "margin_v", "effect", "layer", "event_kind"]
@@ -83,22 +84,33 @@ def by_start(cues: DataFrame) -> DataFrame:
     return found.select("doc_id", "seq", "rest.*", "moved").select(*cues.columns, "moved")
 
 
-def renumbered(cues: DataFrame) -> DataFrame:
-    """cue_no from 1 in the order of seq, and whether it changed (column numbered)."""
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")).cast(LONG)
-    return cues.withColumn("_n", n).withColumns({"numbered": F.col("_n") != F.col("cue_no"), "cue_no": F.col("_n")}).drop("_n")
+def by_start_in_ranges(cues: DataFrame, partitions: int | None = None) -> DataFrame:
+    """by_start() for documents of any length: places by ranges, in the new and the old order, joined by place."""
+    new = places(cues, "start_ms", "seq", partitions=partitions)
+    old = places(cues, "seq", partitions=partitions).select("doc_id", "place", full(cues).alias("_there"))
+    rows = new.withColumn("_own", full(cues)).join(old, ["doc_id", "place"])
+    return rows.withColumns({"moved": ~F.col("_own").eqNullSafe(F.col("_there")), "seq": F.col("place")}).select(*cues.columns, "moved")
+
+
+def renumbered(cues: DataFrame, ranges: bool = False, partitions: int | None = None) -> DataFrame:
+    """cue_no from 1 in the order of seq, and whether it changed (column numbered). ranges: for documents of any length."""
+    if ranges:
+        rows = places(cues, "seq", partitions=partitions).withColumn("_n", F.col("place") + 1).drop("place")
+    else:
+        rows = cues.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")).cast(LONG))
+    return rows.withColumns({"numbered": F.col("_n") != F.col("cue_no"), "cue_no": F.col("_n")}).drop("_n")
 
 
 def at_least_a_frame(cues: DataFrame, fps: tuple[int, int]) -> DataFrame:
     return cues.withColumn("end_ms", F.when(F.col("end_ms") <= F.col("start_ms"), F.col("start_ms") + frame_ms(*fps)).otherwise(F.col("end_ms")))
 
 
-def normalize(cues: DataFrame, fps: tuple[int, int] | None = None, sort: bool = True, renumber: bool = True) -> DataFrame:
+def normalize(cues: DataFrame, fps: tuple[int, int] | None = None, sort: bool = True, renumber: bool = True, ranges: bool = False) -> DataFrame:
     """Snap, sort, renumber and lengthen to a frame, in that order, with the flags of each step. All windows are by doc_id:
-    one exchange."""
+    one exchange. ranges: for documents of any length, places come from ranges instead."""
     out = snapped(cues, fps) if fps else cues.withColumn("snapped", F.lit(False))
-    out = by_start(out) if sort else out.withColumn("moved", F.lit(False))
-    out = renumbered(out) if renumber else out.withColumn("numbered", F.lit(False))
+    out = (by_start_in_ranges(out) if ranges else by_start(out)) if sort else out.withColumn("moved", F.lit(False))
+    out = renumbered(out, ranges) if renumber else out.withColumn("numbered", F.lit(False))
     return at_least_a_frame(out, fps) if fps else out
 
 
@@ -106,9 +118,9 @@ def normalize_report(normalized: DataFrame) -> DataFrame:
     return normalized.groupBy("doc_id").agg(F.count_if("snapped").alias("snapped"), F.count_if("moved").alias("sorted"), F.count_if("numbered").alias("renumbered"), F.greatest(F.max("end_ms"), F.lit(0).cast(LONG)).alias("total_ms"))
 
 
-def overlap_pairs(cues: DataFrame) -> DataFrame:
-    """Neighbours in file order, both with valid times, the first of which ends after the second starts."""
-    w = Window.partitionBy("doc_id").orderBy("seq")
-    rows = cues.withColumn("b", F.lead(F.struct("cue_no", "start_ms", "end_ms")).over(w))
+def overlap_pairs(cues: DataFrame, chunk: int | None = None) -> DataFrame:
+    """Neighbours in file order, both with valid times, the first of which ends after the second starts. chunk: for documents
+    of any length, as in with_neighbours()."""
+    rows = with_neighbours(cues, F.struct("cue_no", "start_ms", "end_ms"), chunk).withColumnRenamed("after", "b")
     over = F.col("end_ms") - F.col("b.start_ms")
     return rows.where(m.timing_valid() & (F.col("b.end_ms") >= F.col("b.start_ms")) & (over > 0)).select("doc_id", F.col("cue_no").alias("cue_a"), F.col("b.cue_no").alias("cue_b"), over.alias("overlap_ms"))

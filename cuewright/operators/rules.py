@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cuewright.functions import metrics as m
 from cuewright.functions.timecode import format_srt_time
+from cuewright.operators.places import with_neighbours
 
 #: Names of rules and severities, and the texts of findings; fixed values.
 RULES = ["okuma_hizi", "asgari_dinlenme", "satir_uzunlugu", "cakisan_araliklar", "sira_bozuklugu", "kodlama_bozuklugu"]
@@ -49,10 +50,9 @@ def text(template: str, *values) -> Column:
     return F.format_string(template, *values)
 
 
-def with_neighbours(cues: DataFrame) -> DataFrame:
-    """cues with the cue before and after in file order: columns before and after (structs, null at the ends)."""
-    w, own = Window.partitionBy("doc_id").orderBy("seq"), F.struct("cue_no", "start_ms", "end_ms")
-    return cues.withColumn("before", F.lag(own).over(w)).withColumn("after", F.lead(own).over(w))
+def neighbour() -> Column:
+    """What rules need of the cue before and after."""
+    return F.struct("cue_no", "start_ms", "end_ms")
 
 
 def cue_findings(t: dict[str, Column]) -> Column:
@@ -95,9 +95,10 @@ def encoding_findings(e: str = "encoding") -> Column:
     )
 
 
-def check(cues: DataFrame, thresholds: Thresholds | None = None, profiles: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
-    """findings of cues (rules 1-5, with a profile by doc_id where there is one) and of documents (rule 6)."""
-    rows, profile = with_neighbours(cues), None
+def check(cues: DataFrame, thresholds: Thresholds | None = None, profiles: DataFrame | None = None, documents: DataFrame | None = None, chunk: int | None = None) -> DataFrame:
+    """findings of cues (rules 1-5, with a profile by doc_id where there is one) and of documents (rule 6). chunk: for documents
+    of any length, as in with_neighbours()."""
+    rows, profile = with_neighbours(cues, neighbour(), chunk), None
     if profiles is not None:
         own = profiles.select("doc_id", F.struct(*(c for c in profiles.columns if c in KINDS)).alias("profile"))
         rows, profile = rows.join(own, "doc_id", "left"), "profile"
