@@ -131,3 +131,15 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("doc_id") % 4
     content = F.when(kind == 1, F.concat(F.unhex(F.lit("EFBBBF")), text)).when(kind == 2, latin).when(kind == 3, F.concat(F.encode(F.lit("é\n"), "UTF-8"), latin)).otherwise(text)
     return read(spark, sf_dir, "documents").select("doc_id", content.alias("content"))
+
+
+def wide_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, content: texts in UTF-16, little-endian for even ids, with a lone first surrogate before the text (3k + 1), or a
+    lone second one after it (3k + 2), and one more byte (5k)."""
+    lone = F.when(F.col("doc_id") % 3 == 1, "D83D").when(F.col("doc_id") % 3 == 2, "DE00")
+    little = F.col("doc_id") % 2 == 0
+    lone = F.coalesce(F.unhex(F.when(little, F.concat(F.substring(lone, 3, 2), F.substring(lone, 1, 2))).otherwise(lone)), F.unhex(F.lit("")))
+    text = F.when(little, F.encode("text", "UTF-16LE")).otherwise(F.encode("text", "UTF-16BE"))
+    body = F.when(F.col("doc_id") % 3 == 1, F.concat(lone, text)).otherwise(F.concat(text, lone))
+    odd = F.unhex(F.when(F.col("doc_id") % 5 == 0, "41").otherwise(""))
+    return read(spark, sf_dir, "documents").select("doc_id", F.concat(F.unhex(F.when(little, "FFFE").otherwise("FEFF")), body, odd).alias("content"))

@@ -276,6 +276,16 @@ ORACLE_SQL |= {
     "quality_gate": REPORT + "SELECT doc_id, n_critical = 0 AND n_syntax = 0 AS passed FROM report",
     "write_reports": REPORT + f", shifts AS (SELECT doc_id, count(*) FILTER ({SHIFTED}) AS affected FROM cues GROUP BY doc_id), norms AS (WITH {NORMAL.replace('{0}', 'cues')}), {DOCS}, {LOSS}, {FIRST_LOSS} " + " UNION ALL ".join(KINDS_SQL),
 }
+# The single-byte texts' high bytes are all lead bytes that nothing continues: each is an ill-formed sequence.
+BAD = "CASE WHEN broken THEN length(regexp_replace(latin, '[^à-ÿ]', '', 'g')) ELSE 0 END"
+AUDIT = f"WITH {FILES}, audit AS (SELECT doc_id, kind, broken, {BAD} AS bad, CASE WHEN broken THEN {HIGH} ELSE 0 END AS n FROM coded)"
+ORACLE_SQL |= {
+    "bad_sequences": AUDIT + " SELECT doc_id, bad AS bad_seq FROM audit",
+    "encoding_report": AUDIT + " SELECT doc_id, CASE WHEN broken THEN CASE kind WHEN 3 THEN 'karisik' ELSE 'windows-1254' END WHEN kind = 1 THEN 'utf-8-bom' ELSE 'utf-8' END AS encoding, kind = 1 AS has_bom, bad AS bad_seq, 0 AS fffd, broken AND kind = 3 AS mixed, n AS single_byte_lines, CASE WHEN broken OR kind = 1 THEN 1 ELSE 0 END AS notes, NOT broken AND kind <> 1 AS healthy FROM audit",
+    "rule_encoding": AUDIT + """ SELECT doc_id, 'uyari' AS severity, 'utf-8-bom (BOM)' AS measured, 'BOM''suz UTF-8' AS threshold, 'dosya bayt sirasi isareti (BOM) ile basliyor; bazi oynaticilar ilk satiri bos sayar' AS message FROM audit WHERE kind = 1
+      UNION ALL SELECT doc_id, 'kritik', n || ' tek bayt satir', 'tek kodlama', 'dosyada hem UTF-8 hem tek bayt satirlar var; kodlama karisik' FROM audit WHERE broken AND kind = 3
+      UNION ALL SELECT doc_id, 'kritik', bad || ' bozuk bayt dizisi', '0', 'dosyada UTF-8 olarak cozulemeyen bayt dizileri var' FROM audit WHERE broken""",
+}
 N_HEADERS = "CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END"
 ORACLE_SQL |= {
     "read_parsed": WITH + "n AS (SELECT doc_id, count(*) AS n_cues FROM cues GROUP BY doc_id) SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'srt' WHEN 1 THEN 'ass' ELSE 'vtt' END AS format, n_cues, CASE WHEN doc_id % 3 = 1 THEN 2 ELSE 0 END AS n_styles, CASE WHEN doc_id % 11 IN (4, 6) AND doc_id % 3 <> 1 THEN 1 ELSE 0 END AS n_syntax, true AS read_once FROM n",
@@ -285,3 +295,11 @@ ORACLE_SQL |= {
       CASE WHEN to_vtt THEN 1 WHEN to_srt THEN 1 + {N_HEADERS} ELSE 0 END AS n_syntax FROM kinds""",
     "roundtrip_differences": WITH.rstrip(", \n") + f" SELECT doc_id, 0 AS n_lost, 0 AS n_cue_no, count(*) FILTER ({ASS_MS.format('start_ms')} <> start_ms) AS n_start_ms, count(*) FILTER ({ASS_MS.format('end_ms')} <> end_ms) AS n_end_ms, 0 AS n_text FROM cues WHERE {ASS_MS.format('start_ms')} <> start_ms OR {ASS_MS.format('end_ms')} <> end_ms GROUP BY doc_id",
 }
+ORACLE_SQL |= {
+    "check_documents_in_chunks": ORACLE_SQL["check_documents"],
+    "overlap_pairs_in_chunks": ORACLE_SQL["overlap_pairs"],
+    "normalize_documents_by_ranges": ORACLE_SQL["normalize_documents"],
+    "syntax_errors_in_chunks": f"SELECT * FROM ({ORACLE_SQL['syntax_errors']}) WHERE format <> 'ass'",
+    "decode_wide_text": """WITH wide AS (SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN chr(65533) || text WHEN 2 THEN text || chr(65533) ELSE text END AS text, CASE WHEN doc_id % 3 > 0 THEN 1 ELSE 0 END AS lone FROM documents)
+    SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'utf-16-le' ELSE 'utf-16-be' END AS encoding, lone + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS bad_seq, length(text) - length(replace(text, chr(65533), '')) AS fffd, length(text) AS n_chars, sha256(text) AS text_sha256 FROM wide""",
+}

@@ -203,6 +203,13 @@ def decode_text(spark, sf_dir):
     return decoded(d.files(spark, sf_dir)).select("doc_id", F.length("text").cast(LONG).alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
+@query
+def decode_wide_text(spark, sf_dir):
+    """Texts in UTF-16 of both orders, some with a lone surrogate or an odd last byte."""
+    files = d.wide_files(spark, sf_dir)
+    return decoded(files).select("doc_id", "encoding.encoding", "encoding.bad_seq", "encoding.fffd", F.length("text").cast(LONG).alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 @query
 def bad_sequences_(spark, sf_dir):
     return d.files(spark, sf_dir).select("doc_id", bad_sequences(F.col("content")).alias("bad_seq"))
@@ -538,6 +545,34 @@ def normalize_documents(spark, sf_dir):
     return retime.normalize_report(retime.normalize(d.cues_docs(spark, sf_dir), PAL))
 
 
+#: So few rows to a chunk that the tables' documents have several.
+CHUNK = 16
+
+
+@query
+def check_documents_in_chunks(spark, sf_dir):
+    """check_documents with chunks of documents and their halo rows."""
+    return rules.check(d.cues_docs(spark, sf_dir), chunk=CHUNK).groupBy("doc_id", "rule", "severity").agg(F.count("*").alias("n"))
+
+
+@query
+def overlap_pairs_in_chunks(spark, sf_dir):
+    return retime.overlap_pairs(d.cues_docs(spark, sf_dir), CHUNK)
+
+
+@query
+def normalize_documents_by_ranges(spark, sf_dir):
+    """normalize_documents with places from ranges."""
+    return retime.normalize_report(retime.normalize(d.cues_docs(spark, sf_dir), PAL, ranges=True))
+
+
+@query
+def syntax_errors_in_chunks(spark, sf_dir):
+    """Plain texts read as SRT and WebVTT, a chunk of lines at a time."""
+    raw = d.read(spark, sf_dir, "documents").select("doc_id", "text")
+    return srt.parse(raw, CHUNK)[1].unionByName(vtt.parse(raw, CHUNK)[2])
+
+
 @query
 def ordered_findings(spark, sf_dir):
     return rules.ordered(findings(spark, sf_dir)).select("doc_id", "rank", "rule", "cue_no", "line")

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 REPORT = "struct<encoding:string,has_bom:boolean,bad_seq:bigint,fffd:bigint,mixed:boolean,single_byte_lines:bigint,notes:array<string>>"
 
@@ -20,20 +18,18 @@ SINGLE_BYTE = {
 UTF8, UTF8_BOM, LE, BE, SINGLE, MIXED = "utf-8", "utf-8-bom", "utf-16-le", "utf-16-be", "windows-1254", "karisik"
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("bad", T.LongType())]))
-def _utf16(body: pd.Series, big: pd.Series) -> pd.DataFrame:
-    """UTF-16 with lone surrogates as U+FFFD, and how many units were bad; Spark's own decoder raises on those."""
-    out = []
-    for b, be in zip(body, big, strict=True):
-        if b is None:
-            out.append((None, None))
-            continue
-        even = b[: len(b) // 2 * 2]
-        # Surrogates pass through as they are, so that each lone one can be counted.
-        raw = even.decode("utf-16-be" if be else "utf-16-le", "surrogatepass")
-        bad = sum("\ud800" <= c <= "\udfff" for c in raw) + len(b) % 2
-        out.append(("".join("�" if "\ud800" <= c <= "\udfff" else c for c in raw), bad))
-    return pd.DataFrame(out, columns=["text", "bad"]).astype({"bad": "Int64"})
+#: 16-bit units as four hexadecimal digits and a space each: a first surrogate without a second, a second without a first.
+LONE = r"(?<![0-9A-F])D[89AB].. (?!D[C-F])|(?<!D[89AB].. )(?<![0-9A-F])D[C-F].. "
+
+
+def utf16(body: Column, big: Column) -> tuple[Column, Column]:
+    """UTF-16 bytes as text with lone surrogates as U+FFFD, and how many units were bad, a last odd byte among them. Spark's
+    decoder raises on lone surrogates, so they are repaired first."""
+    units = F.regexp_replace(F.hex(body), "([0-9A-F]{2})([0-9A-F]{2})", F.when(big, "$1$2 ").otherwise("$2$1 "))
+    units = F.regexp_replace(units, "(?<![0-9A-F])[0-9A-F]{2}$", "")
+    whole = F.replace(F.regexp_replace(units, LONE, "FFFD "), F.lit(" "), F.lit(""))
+    bad = F.regexp_count(units, F.lit(LONE)) + F.length(body) % 2
+    return F.decode(F.unhex(whole), "UTF-16BE"), bad.cast("bigint")
 
 
 def bom(content) -> tuple[Column, Column, Column]:
@@ -73,8 +69,7 @@ def line_kinds(x: Column) -> tuple[Column, Column]:
 
 
 def decoded(files: DataFrame, content: str = "content") -> DataFrame:
-    """files with text and encoding (the report) added. Only bodies with a UTF-16 mark go through Python, in the
-    same pass."""
+    """files with text and encoding (the report) added, by column functions alone."""
     mark, length, note = bom(content)
     rows = files.withColumn("_mark", mark).withColumn("_body", F.expr(f"substring({content}, 1 + CASE WHEN hex(substring({content}, 1, 3)) = 'EFBBBF' THEN 3 WHEN hex(substring({content}, 1, 2)) IN ('FFFE', 'FEFF') THEN 2 ELSE 0 END)")).withColumn("_note", note)
     wide = F.col("_mark").isin(LE, BE)
@@ -89,9 +84,9 @@ def decoded(files: DataFrame, content: str = "content") -> DataFrame:
     name = F.when(mixed, MIXED).when(~valid, SINGLE).otherwise(F.coalesce("_mark", F.lit(UTF8)))
     report = F.struct(name.alias("encoding"), F.col("_mark").isNotNull().alias("has_bom"), bad.alias("bad_seq"), lost.alias("fffd"), mixed.alias("mixed"), F.when(valid, zero).otherwise(other).alias("single_byte_lines"), F.array_compact(F.array("_note", remark)).alias("notes"))
     wide = F.coalesce(wide, F.lit(False))
-    rows = rows.withColumn("_u", _utf16(F.when(wide, body), F.coalesce(F.col("_mark") == BE, F.lit(False))))
-    text = F.when(wide, F.col("_u.text")).otherwise(plain)
-    other = F.struct(F.col("_mark").alias("encoding"), F.lit(True).alias("has_bom"), F.col("_u.bad").alias("bad_seq"), times(F.col("_u.text"), "�").alias("fffd"), F.lit(False).alias("mixed"), zero.alias("single_byte_lines"), F.array("_note").alias("notes"))
+    own, bad_units = utf16(F.when(wide, body), F.col("_mark") == BE)
+    text = F.when(wide, own).otherwise(plain)
+    other = F.struct(F.col("_mark").alias("encoding"), F.lit(True).alias("has_bom"), bad_units.alias("bad_seq"), times(own, "�").alias("fffd"), F.lit(False).alias("mixed"), zero.alias("single_byte_lines"), F.array("_note").alias("notes"))
     found = F.struct(text.alias("text"), F.when(wide, other.cast(REPORT)).otherwise(report.cast(REPORT)).alias("encoding"))
     # Exploding one element keeps the optimizer from copying these long expressions to each place that reads the text.
     return rows.select(*files.columns, F.explode(F.array(found)).alias("_f")).select(*files.columns, "_f.*")
