@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from cuewright.sources.decode import REPORT
 from cuewright.sources.parse import Parsed, parse_files, recognised
 
-#: Up to so many new files are read by a list of their paths; more by the time of change of the oldest, and a join.
-LISTED = 10_000
+#: Up to so many new files are read by a list of their paths (Spark lists more paths than that by a task each); more by the
+#: time of change of the oldest, and a join.
+LISTED = 32
 ENTRY = "path string, doc_id bigint, length bigint, modified timestamp"
 FILE = f"doc_id bigint, path string, text string, encoding {REPORT}, crlf boolean, format string"
 

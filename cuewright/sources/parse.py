@@ -17,6 +17,7 @@ class Parsed:
     """rows: doc_id, kind and, by kind, one of document, header, cue, style, error. All tables are views of these rows."""
 
     rows: DataFrame
+    buckets: int | None = None
 
     def view(self, kind: str) -> DataFrame:
         return self.rows.where(F.col("kind") == kind).select("doc_id", f"{kind}.*")
@@ -49,6 +50,16 @@ class Parsed:
         return Parsed(self.rows.sparkSession.read.schema(self.rows.schema).parquet(path))
 
 
+    def saved_as(self, table: str) -> Parsed:
+        """The rows as a catalog table, partitioned by kind, bucketed and sorted by doc_id: checking, normalising and rendering it
+        need no exchange any more, nor do joins of its views. The parse must have been told the buckets; each of its tasks
+        then writes one file for each kind. An existing table is an error."""
+        if self.buckets is None:
+            raise ValueError("parse_files(..., buckets=) says how many buckets there are")
+        self.rows.write.partitionBy("kind").bucketBy(self.buckets, "doc_id").sortBy("doc_id").saveAsTable(table)
+        return Parsed(self.rows.sparkSession.table(table), self.buckets)
+
+
 def recognised(files: DataFrame, content: str = "content", forced: str | None = None) -> DataFrame:
     """files (doc_id, content) with text, encoding, crlf and format added; content is dropped. forced: a column of formats to
     read files in; one whose own format isn't recognised stays without. Where a name is no format, that is an error of the
@@ -59,10 +70,10 @@ def recognised(files: DataFrame, content: str = "content", forced: str | None =
     return rows.withColumn("format", forced_format(forced)).withColumn("format", F.when(F.col("format").isin(*FORMATS), F.col("format"))).drop(forced)
 
 
-def parse_files(files: DataFrame, chunk: int | None = None) -> Parsed:
+def parse_files(files: DataFrame, chunk: int | None = None, buckets: int | None = None) -> Parsed:
     """files: doc_id, text, format and more, as recognised() gives them, each parsed by its format, in one scan. Files without
     a format have a document, but no cues and no errors: documents.where("format is null") are the rejects."""
-    return Parsed(tagged(files, FORMATS, chunk))
+    return Parsed(tagged(files, FORMATS, chunk, buckets), buckets)
 
 
 def parsed_as(raw: DataFrame, form: str, chunk: int | None = None) -> Parsed:

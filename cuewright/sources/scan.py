@@ -326,10 +326,15 @@ def first_states(rows: DataFrame, formats: tuple[str, ...], size: int) -> DataFr
     return listed.select("doc_id", F.explode(folded).alias("x")).select("doc_id", F.col("x.chunk").cast("int").alias("chunk"), "x.start")
 
 
-def tagged(files: DataFrame, formats: tuple[str, ...] = FORMATS, chunk: int | None = None) -> DataFrame:
-    """The tagged rows of files (doc_id, text, format and more, which documents keep): one scan, one exchange by doc_id. With
-    `chunk`, the lines of SRT and WebVTT documents are scanned in chunks of so many; ASS documents stay whole."""
+def tagged(files: DataFrame, formats: tuple[str, ...] = FORMATS, chunk: int | None = None, buckets: int | None = None) -> DataFrame:
+    """The tagged rows of files (doc_id, text, format and more, which documents keep): one scan, one exchange by doc_id, into
+    `buckets` partitions where they are given. With `chunk`, the lines of SRT and WebVTT documents are scanned in chunks of so
+    many; ASS documents stay whole."""
     rows = exploded(files)
+    if buckets is not None:
+        if chunk is not None:
+            raise ValueError("chunks of documents can't be bucketed by document in the same exchange")
+        rows = rows.repartition(buckets, "doc_id")
     if chunk is None or not {"srt", "vtt"} & set(formats):
         return Scan(formats).tagged(rows)
     number = F.when(F.col("format").isin("srt", "vtt") & (F.col("ln") >= 0), F.floor(F.col("ln") / chunk)).otherwise(0).cast("int")

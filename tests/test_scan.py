@@ -1,11 +1,13 @@
 """The one-pass scan: plans, segmented documents against whole ones, forced formats."""
 
 import re
+import uuid
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cuewright.operators import render, report, retime, rules
 from cuewright.plans import derived as d
 from cuewright.sources import parse, scan, srt, vtt
 
@@ -62,6 +64,34 @@ def test_one_scan_and_one_exchange(spark, sf, tmp_path):
         assert scans(getattr(saved, kind)) == (1, 0)
 
 
+def test_bucketed_rows_need_no_exchange(spark, sf, tmp_path):
+    """Checking, normalising, rendering and reporting a bucketed table take no exchange and give what they give without one."""
+    parse.recognised(d.mixed_files(spark, sf)).write.parquet(f"{tmp_path}/files")
+    files = spark.read.parquet(f"{tmp_path}/files")
+    plain, own = parse.parse_files(files), parse.parse_files(files, buckets=3)
+    assert scans(own.rows)[0] == 1 and own.rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange ") == 1
+    table = f"parsed_{uuid.uuid4().hex}"
+    try:
+        saved = own.saved_as(table)
+        jobs = {
+            "check": lambda p: rules.check(p.cues),
+            "normalize": lambda p: retime.normalize_report(retime.normalize(p.cues, (25, 1))),
+            "render": lambda p: render.render_srt(p.cues),
+            "report": lambda p: report.check_report(p.rows),
+            "join": lambda p: p.cues.join(p.documents.select("doc_id", "format"), "doc_id"),
+        }
+        for name, job in jobs.items():
+            plan = job(saved)._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan or (name == "join" and "BroadcastExchange" in plan), (name, plan)
+            assert sorted(map(repr, job(saved).select(job(plain).columns).collect())) == sorted(map(repr, job(plain).collect()))
+        with pytest.raises(Exception, match="(?i)exists"):
+            own.saved_as(table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    with pytest.raises(ValueError, match="buckets"):
+        plain.saved_as("x")
+
+
 def test_columns_of_files_stay(spark):
     """Columns that files have besides stay with their documents, whatever their names."""
     rows = [(1, "1\n00:00:01,000 --> 00:00:02,000\nx\n", "srt", 5, "p"), (2, None, None, 6, "q")]
