@@ -3,8 +3,9 @@
 A task writes each of its files under another name and moves it to its own, so a file is whole or absent; a repeated task
 puts the same files in place again. Each attempt lists its files in a part of its own below _manifest. The commit names
 the parts of the attempts that count in _manifest.json, which holds a line for each task, not for each file; files are
-published by it (committed_files() reads it), and a folder that has one isn't written again. An aborted job deletes what
-its attempts have listed. Nothing is collected: tasks send the name of their part and two numbers.
+published by it (committed_files() reads it), and a folder that has one isn't written again. An aborted job takes its marker
+away and deletes what its attempts have listed; a task that runs on without the marker takes back its last file and stops.
+Nothing is collected: tasks send the name of their part and two numbers.
 """
 
 from __future__ import annotations
@@ -59,7 +60,12 @@ class Written(WriterCommitMessage):
 
 class Writer(DataSourceWriter):
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.marker = path, f"{WRITING}/{uuid.uuid4().hex}.job"
+        store, root = opened(path)
+        replaced(store, root, self.marker, b"", "job")
+
+    def stopped(self, store: fs.FileSystem, root: str) -> bool:
+        return store.get_file_info(posixpath.join(root, self.marker)).type == fs.FileType.NotFound
 
     def write(self, iterator) -> Written:
         (store, root), attempt = opened(self.path), uuid.uuid4().hex
@@ -72,7 +78,12 @@ class Writer(DataSourceWriter):
                 # Listed first, so that an abort finds every file that there can be.
                 listing.write(json.dumps({"name": name, "bytes": len(data), "crc32": zlib.crc32(data)}).encode() + b"\n")
                 listing.flush()
-                replaced(store, root, name, data, attempt)
+                if not self.stopped(store, root):
+                    replaced(store, root, name, data, attempt)
+                if self.stopped(store, root):
+                    if store.get_file_info(posixpath.join(root, name)).type == fs.FileType.File:
+                        store.delete_file(posixpath.join(root, name))
+                    raise RuntimeError("the job was aborted")
                 files, size = files + 1, size + len(data)
         return Written(part, files, size)
 
@@ -85,6 +96,7 @@ class Writer(DataSourceWriter):
 
     def abort(self, messages) -> None:
         store, root = opened(self.path)
+        self.clear(store, root, WRITING)
         for info in store.get_file_info(fs.FileSelector(posixpath.join(root, PARTS), allow_not_found=True)):
             with store.open_input_stream(info.path) as f:
                 for line in f.read().splitlines():
@@ -92,7 +104,6 @@ class Writer(DataSourceWriter):
                     if store.get_file_info(name).type == fs.FileType.File:
                         store.delete_file(name)
         self.clear(store, root, PARTS)
-        self.clear(store, root, WRITING)
 
     @staticmethod
     def clear(store: fs.FileSystem, root: str, folder: str) -> None:

@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,12 +57,31 @@ def test_an_aborted_job_leaves_nothing(spark, rendered, tmp_path):
     bad = rendered.select(F.when(F.col("doc_id") == 17, F.lit("../x")).otherwise(F.col("doc_id").cast("string")).alias("name"), "text")
     with pytest.raises(Exception, match="not a file name"):
         sink.write_files(bad, str(tmp_path / "out"))
+    # Tasks that still run when the job fails stop at their next file.
+    for _ in range(50):
+        if not found(tmp_path / "out"):
+            break
+        time.sleep(0.2)
     assert found(tmp_path / "out") == {} and not (tmp_path / "out" / "_manifest.json").exists()
     # A later job writes there as if nothing had been.
     io.write_text_files(rendered, str(tmp_path / "out"), "vtt")
     assert len(found(tmp_path / "out")) == 42
 
 
+def test_a_task_stops_after_the_abort(tmp_path):
+    """A task that goes on after its job was aborted leaves no file."""
+    writer = sink.Writer(str(tmp_path / "out"))
+
+    def rows():
+        yield {"name": "a.srt", "text": "a"}
+        writer.abort([])
+        yield {"name": "b.srt", "text": "b"}
+
+    with pytest.raises(RuntimeError, match="aborted"):
+        writer.write(rows())
+    assert found(tmp_path / "out") == {}
+
+
 def test_names_twice_are_an_error(spark, rendered, tmp_path):
     with pytest.raises(ValueError, match="one document"):
         sink.write_files(rendered.select(F.lit("same.srt").alias("name"), "text"), str(tmp_path / "out"))
