@@ -103,7 +103,9 @@ def naive_scan(text, model):
         grams = [g for g in licences.grams_of(x) if g in place]
         z = bias + weights[:, [place[g] for g in grams]].sum(1)
         k, sure = int(z.argmax()), round(float(1 / np.exp(z - z.max()).sum()), 6)
-        overlap = max((len(set(grams) & set(t)) / len(t) for t in own[k]), default=0.0)
+        family = licences.CLASSES[k]
+        named = [t for t in own[k] if not set(licences.NAMES[family]) & set(t) - set(grams) and not (set(licences.OTHERWISE.get(family, [])) - set(t)) & set(grams)]
+        overlap = max((len(set(grams) & set(t)) / len(t) for t in named), default=0.0)
         return (licences.CLASSES[k] if sure >= threshold and overlap >= licences.CONFIRM else "unknown"), sure, round(overlap, 6)
 
     parts = [p for p in re.split(r"\n[\x20\x09-\x0D]*\n", text or "") if re.search(r"[^\x20\x09-\x0D]", p)]
