@@ -50,19 +50,23 @@ class Collection:
         last = F.max_by(F.struct("doc_id", "length", "modified", "batch"), "batch")
         return rows.groupBy("path").agg(last.alias("e")).select("path", "e.*")
 
-    def listing(self, path: str, glob: str = "*") -> DataFrame:
-        """path, doc_id, length, modified of the files below path. No content is read."""
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    def below(self, path: str, glob: str = "*") -> DataFrame:
+        """The files below path, listed once: path, modificationTime, length and content, which is read only where it is asked
+        for."""
+        return self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+
+    @staticmethod
+    def listing(files: DataFrame) -> DataFrame:
+        """path, doc_id, length, modified of files. No content is read."""
         return files.select("path", F.xxhash64("path").alias("doc_id"), "length", F.col("modificationTime").alias("modified"))
 
-    def contents(self, path: str, glob: str, new: DataFrame) -> DataFrame:
-        """doc_id, path, content of the new files. Files older than the oldest of them aren't opened."""
-        reader = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    def contents(self, files: DataFrame, new: DataFrame) -> DataFrame:
+        """doc_id, path, content of the new ones of files. Those older than the oldest of them aren't opened."""
         some = [r.path for r in new.select("path").limit(LISTED + 1).collect()]
         if len(some) <= LISTED:
             files = self.spark.read.format("binaryFile").load(some)
         else:
-            files = reader.load(path).where(F.col("modificationTime") >= F.lit(new.agg(F.min("modified")).first()[0]))
+            files = files.where(F.col("modificationTime") >= F.lit(new.agg(F.min("modified")).first()[0]))
         return files.join(new.select("path", "doc_id"), "path").select("doc_id", "path", "content")
 
     def ingest(self, path: str, glob: str = "*", chunk: int | None = None) -> int | None:
@@ -70,7 +74,8 @@ class Collection:
         parse_files()."""
         number = self.committed()
         batch = f"batch={number}"
-        seen, listing = self.ledger(), self.listing(path, glob)
+        files = self.below(path, glob)
+        seen, listing = self.ledger(), self.listing(files)
         pending = f"{self.root}/pending/{batch}"
         listing.join(seen, ["path", "length", "modified"], "left_anti").select("path", "doc_id", "length", "modified").write.mode("overwrite").parquet(pending)
         new = self.spark.read.schema(ENTRY).parquet(pending)
@@ -79,9 +84,9 @@ class Collection:
         twins = seen.select("path", "doc_id").unionByName(new.select("path", "doc_id")).distinct().groupBy("doc_id").count().where("count > 1").head()
         if twins:
             raise ValueError(f"two paths share the id {twins.doc_id}")
-        recognised(self.contents(path, glob, new)).write.mode("overwrite").parquet(f"{self.root}/files/{batch}")
-        files = self.spark.read.schema(FILE).parquet(f"{self.root}/files/{batch}")
-        parse_files(files, chunk).rows.write.mode("overwrite").partitionBy("kind").parquet(f"{self.root}/rows/{batch}")
+        recognised(self.contents(files, new)).write.mode("overwrite").parquet(f"{self.root}/files/{batch}")
+        texts = self.spark.read.schema(FILE).parquet(f"{self.root}/files/{batch}")
+        parse_files(texts, chunk).rows.write.mode("overwrite").partitionBy("kind").parquet(f"{self.root}/rows/{batch}")
         new.hint("rebalance").write.mode("overwrite").parquet(f"{self.root}/ledger/{batch}")
         return number
 

@@ -153,7 +153,8 @@ def test_old_files_are_not_opened(spark, tmp_path, monkeypatch):
     source, own = tmp_path / "in", ledger.Collection(spark, str(tmp_path / "own"))
     put(source / "old.srt", CUE_TEXT.format("old"), 1_000_000_000)
     put(source / "new.srt", CUE_TEXT.format("new"), 1_100_000_000)
-    new = own.listing(str(source)).where("path like '%new.srt'")
-    plan = own.contents(str(source), "*", new)._jdf.queryExecution().executedPlan().toString()
+    files = own.below(str(source))
+    new = own.listing(files).where("path like '%new.srt'")
+    plan = own.contents(files, new)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(modificationTime), GreaterThanOrEqual(modificationTime" in plan
-    assert [os.path.basename(r.path) for r in own.contents(str(source), "*", new).collect()] == ["new.srt"]
+    assert [os.path.basename(r.path) for r in own.contents(files, new).collect()] == ["new.srt"]
