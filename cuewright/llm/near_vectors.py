@@ -1,24 +1,25 @@
 """Near-duplicate embeddings by collision-counting projections.
 
-Vectors with equal labels and numbers of components are compared by cosine. Each is projected on random lines. Tables
-of GROUP lines bring near vectors together: a vector's place on each line, below or above zero, makes a bucket, and TABLES
-such groupings are tried. In a bucket, COUNTED further lines are sorted; a window around each vector (the query) on each
-line gives its collisions, counted for each pair. Near vectors collide on most lines, others on few: pairs that reach a
-count calibrated for recall (a binomial tail below MISS at the threshold) are verified in double precision. A pair is
-counted in the first table that it shares, so each link counts once.
-
-Equal vectors of a label are one node with a weight. A bucket of more than BLOCK nodes is dealt out as pairs of blocks,
-so a task never holds a large group. Each block gives, for each vector, its number of links and the smallest vector that
-it links with: rows as many as vectors, not pairs.
+Vectors with equal labels and numbers of components are compared by cosine. Each is projected on COUNTED orthonormal lines
+(as many as components, if those are fewer). On each line the projections are sorted, and a window around each vector (the
+query) gives its collisions, counted for each pair. Near vectors collide on most lines, others on few, and pairs that reach
+a count are verified in double precision. The count is a bound, not a likelihood: the squares of a pair's distances on
+orthonormal lines add up to no more than the square of its distance, so a pair at the threshold can leave few windows of a
+given width only (see calibrated()), and no pair is missed. All pairs of a label are counted: its work grows with the square
+of its different vectors.
+
+Equal vectors of a label are one node with a weight. A label of more than BLOCK nodes is dealt out as pairs of blocks, so a
+task never holds a large group and each pair is met once. Each block gives, for each vector, its number of links and one
+vector that stands for its component in the block: rows as many as vectors, not pairs.
 
 Null or zero vectors, vectors with null or non-finite components, and null labels link with nothing. A null vec_id
-gives no component its name. Chance that a pair at the threshold of 0.93 is missed: about 1 % (TABLES and GROUP), at
-0.96 below 0.1 %.
+gives no component its name.
 """
 
 from __future__ import annotations
 
-from math import acos, comb, erf, pi, sqrt
+from functools import lru_cache
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -28,48 +29,47 @@ from pyspark.sql import functions as F
 from cuewright.llm.common import table, written
 from cuewright.llm.components import components
 
-TABLES, GROUP, COUNTED, BLOCK, MISS = 32, 16, 48, 1024, 1e-5
+COUNTED, BLOCK, STRIP = 48, 2048, 256
 
 
-def lines(dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Random lines for buckets (dim, TABLES * GROUP) and for counting (dim, COUNTED)."""
-    rng = np.random.default_rng([5, dim])
-    return rng.standard_normal((dim, TABLES * GROUP)), rng.standard_normal((dim, COUNTED))
+@lru_cache(4)
+def lines(dim: int) -> np.ndarray:
+    """Orthonormal lines of a random direction (dim, COUNTED or dim)."""
+    return np.linalg.qr(np.random.default_rng([5, dim]).standard_normal((dim, min(dim, COUNTED))))[0]
 
 
-def calibrated(cosine: float) -> tuple[float, int]:
-    """Half-width of the window, and the least count of collisions: pairs at the cosine fall short with chance MISS."""
-    distance = sqrt(2 - 2 * cosine)
-    half = 1.5 * distance
-    p, tail, least = erf(1.5 / sqrt(2)), 0.0, 0
-    while tail < MISS:
-        tail += comb(COUNTED, least) * p**least * (1 - p) ** (COUNTED - least)
-        least += 1
-    return half, max(least - 1, 0)
+def calibrated(cosine: float, counted: int = COUNTED) -> tuple[float, int]:
+    """Half-width of the window, and the least count of collisions of pairs at the cosine. They are outside the windows of k
+    lines only if k squares of the half-width are less than the square of their distance: a quarter of the lines at most."""
+    out = counted // 4
+    return sqrt((2 - 2 * cosine) / (out + 1)) * (1 + 1e-9) + 1e-9, counted - out
 
 
 def recall(cosine: float) -> float:
-    """Share of pairs at the cosine that share a bucket of some table."""
-    return 1 - (1 - (1 - acos(cosine) / pi) ** GROUP) ** TABLES
+    """Share of pairs at the cosine that are found: all, as calibrated() gives bounds."""
+    return 1.0
 
 
 def collisions(x: np.ndarray, y: np.ndarray, half: float) -> np.ndarray:
     """For each query in x and each row in y the number of lines on which y lies in the query's window. Each line is
     sorted; the window is a run of the sorted order."""
-    count, place = np.zeros((len(x), len(y)), np.uint8), np.arange(len(y))
+    # Unsigned, so one comparison tells whether a rank lies in a run.
+    kind = np.uint16 if len(y) < 1 << 16 else np.uint32
+    count, place, rank = np.zeros((len(x), len(y)), np.uint8), np.arange(len(y), dtype=kind), np.empty(len(y), kind)
     for j in range(x.shape[1]):
         order = np.argsort(y[:, j])
         line = y[order, j]
-        low, high = np.searchsorted(line, x[:, j] - half), np.searchsorted(line, x[:, j] + half, "right")
-        rank = np.empty_like(place)
+        low, high = np.searchsorted(line, x[:, j] - half).astype(kind), np.searchsorted(line, x[:, j] + half, "right").astype(kind)
         rank[order] = place
-        count += (rank >= low[:, None]) & (rank < high[:, None])
+        count += rank - low[:, None] < (high - low)[:, None]
     return count
 
 
 def unit(column: pa.Array) -> np.ndarray:
     """Rows of a list column of equal lengths as unit vectors."""
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    # By powers of two, so that squares of very large and very small components stay in range.
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -82,86 +82,81 @@ def nodes_of(vectors: DataFrame) -> DataFrame:
     return written(one.select(F.monotonically_increasing_id().alias("node"), "label", F.size("embedding").alias("dim"), "vec_id", "weight", "embedding"), "nodes")
 
 
-def codes(nodes: DataFrame) -> DataFrame:
-    """node and its code in each table."""
-
-    def run(batches):
-        for batch in batches:
-            dims = batch.column("dim").to_numpy()
-            for dim in np.unique(dims):
-                part = batch.filter(pa.array(dims == dim))
-                bits = (unit(part.column("embedding")) @ lines(int(dim))[0] > 0).reshape(len(part), TABLES, GROUP)
-                found = bits @ (1 << np.arange(GROUP))
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(list(found.astype(np.int32)), pa.list_(pa.int32()))], names=["node", "codes"])
-
-    return nodes.select("node", "dim", "embedding").mapInArrow(run, "node long, codes array<int>")
-
-
-def group_links(t: int, side: np.ndarray | None, x: np.ndarray, spots: np.ndarray, code: np.ndarray, weight: np.ndarray, node: np.ndarray, cosine: float):
-    """(links, least) of the nodes of one group: all pairs, or where side tells two blocks apart those across."""
-    half, enough = calibrated(cosine)
+def joined(up: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """up names for each place the smallest place of its component; the same with links between i and j."""
+    while True:
+        a, b = up[i], up[j]
+        apart = a != b
+        if not apart.any():
+            return up
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        up = up.copy()
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while (up[up] != up).any():
+            up = up[up]
+
+
+def group_links(side: np.ndarray | None, x: np.ndarray, spots: np.ndarray, weight: np.ndarray, node: np.ndarray, cosine: float):
+    """(links, root) of the nodes of one group: all pairs, or where side tells two blocks apart those across. root is a
+    node of the same component of these links."""
+    half, enough = calibrated(cosine, spots.shape[1])
     left = np.arange(len(node)) if side is None else np.flatnonzero(side == 0)
     right = left if side is None else np.flatnonzero(side == 1)
-    links, low = np.zeros(len(node), np.int64), node.copy()
-    ok = np.ones((len(left), len(right)), bool)
-    if side is None:
-        np.fill_diagonal(ok, False)
-    for s in range(t):
-        ok &= code[left, s][:, None] != code[right, s][None]
-    if ok.any():
-        ok &= collisions(spots[left], spots[right], half) >= enough
-        ok &= x[left] @ x[right].T >= cosine
-        for mine, other, hit in ((left, right, ok), (right, left, ok.T))[: 1 if side is None else 2]:
-            links[mine] += hit @ weight[other]
-            low[mine] = np.minimum(low[mine], np.where(hit, node[other][None], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max))
-    return links, low
-
-
-def small_links(group: np.ndarray, t: np.ndarray, x: np.ndarray, spots: np.ndarray, code: np.ndarray, weight: np.ndarray, node: np.ndarray, cosine: float):
+    links, up = np.zeros(len(node)), np.arange(len(node))
+    for at in range(0, len(left), STRIP):
+        mine = left[at : at + STRIP]
+        other = right[at:] if side is None else right
+        i, j = np.nonzero((collisions(spots[mine], spots[other], half) >= enough) & (x[mine] @ x[other].T >= cosine))
+        if side is None:
+            i, j = i[i < j], j[i < j]
+        i, j = mine[i], other[j]
+        links += np.bincount(i, weight[j], len(node)) + np.bincount(j, weight[i], len(node))
+        up = joined(up, i, j)
+    return links.astype(np.int64), node[up]
+
+
+def small_links(group: np.ndarray, x: np.ndarray, spots: np.ndarray, weight: np.ndarray, node: np.ndarray, cosine: float):
     """The same for many small groups at once: the pairs of rows at each distance in the sorted rows."""
-    half, enough = calibrated(cosine)
-    links, low, column = np.zeros(len(node), np.int64), node.copy(), np.arange(code.shape[1])
+    half, enough = calibrated(cosine, spots.shape[1])
+    links, up = np.zeros(len(node), np.int64), np.arange(len(node))
     for d in range(1, len(node)):
         i = np.flatnonzero(group[d:] == group[:-d])
         if not len(i):
             break
         j = i + d
-        earlier = ((code[i] == code[j]) & (column < t[i][:, None])).any(1)
-        i, j = i[~earlier], j[~earlier]
         near = (np.abs(spots[i] - spots[j]) <= half).sum(1) >= enough
         i, j = i[near], j[near]
         hit = (x[i] * x[j]).sum(1) >= cosine
         i, j = i[hit], j[hit]
         for mine, other in ((i, j), (j, i)):
             np.add.at(links, mine, weight[other])
-            np.minimum.at(low, mine, node[other])
-    return links, low
+        up = joined(up, i, j)
+    return links, node[up]
 
 
 def block_links(rows: DataFrame, cosine: float, small: int = 24) -> DataFrame:
-    """For each group of rows (group, t, dim, two, side, node, weight, codes, embedding): node, links (weight of the
-    nodes that it links with, in this table first), least (smallest node of those)."""
+    """For each group of rows (group, dim, two, side, node, weight, embedding): node, links (weight of the nodes that it
+    links with), root (a node of its component in the group)."""
 
     def solve(data: pa.Table):
         data = data.combine_chunks()
         dims = data.column("dim").to_numpy()
         for dim in np.unique(dims):
             part = data.filter(pa.array(dims == dim)).combine_chunks()
-            own = {c: part.column(c).to_numpy() for c in ("group", "t", "two", "side", "node", "weight")}
+            own = {c: part.column(c).to_numpy() for c in ("group", "two", "side", "node", "weight")}
             x = unit(part.column("embedding").chunk(0))
-            code = part.column("codes").chunk(0).flatten().to_numpy().reshape(len(x), -1)
-            spots = x @ lines(int(dim))[1]
+            spots = x @ lines(int(dim))
             starts = np.flatnonzero(np.concatenate([[True], own["group"][1:] != own["group"][:-1]]))
             size = np.diff(np.append(starts, len(x)))
-            links, low = np.zeros(len(x), np.int64), own["node"].copy()
+            links, root = np.zeros(len(x), np.int64), own["node"].copy()
             little = np.repeat((size <= small) & ~own["two"][starts], size)
-            links[little], low[little] = small_links(own["group"][little], own["t"][little], x[little], spots[little], code[little], own["weight"][little], own["node"][little], cosine)
+            links[little], root[little] = small_links(own["group"][little], x[little], spots[little], own["weight"][little], own["node"][little], cosine)
             for a, n in zip(starts, size, strict=True):
                 if not little[a]:
                     r = slice(a, a + n)
-                    links[r], low[r] = group_links(int(own["t"][a]), own["side"][r] if own["two"][a] else None, x[r], spots[r], code[r], own["weight"][r], own["node"][r], cosine)
+                    links[r], root[r] = group_links(own["side"][r] if own["two"][a] else None, x[r], spots[r], own["weight"][r], own["node"][r], cosine)
             got = links > 0
-            yield pa.RecordBatch.from_arrays([pa.array(own["node"][got]), pa.array(links[got]), pa.array(low[got])], names=["node", "links", "least"])
+            yield pa.RecordBatch.from_arrays([pa.array(own["node"][got]), pa.array(links[got]), pa.array(root[got])], names=["node", "links", "root"])
 
     def run(batches):
         held = None
@@ -176,26 +171,24 @@ def block_links(rows: DataFrame, cosine: float, small: int = 24) -> DataFrame:
         if held is not None and len(held):
             yield from solve(held)
 
-    return rows.mapInArrow(run, "node long, links long, least long")
+    return rows.mapInArrow(run, "node long, links long, root long")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding, label)."""
     nodes = nodes_of(vectors)
-    coded = written(codes(nodes).join(nodes, "node"), "codes")
-    rows = coded.select("node", "label", "dim", F.posexplode("codes").alias("t", "code"))
-    bucket = ["t", "label", "dim", "code"]
-    sizes = rows.groupBy(bucket).agg(F.count("*").alias("size")).where("size > 1")
-    # A bucket's nodes go to blocks by a hash; each pair of blocks is a group of its own.
+    kind = ["label", "dim"]
+    sizes = nodes.groupBy(kind).agg(F.count("*").alias("size")).where("size > 1")
+    # A label's nodes go to blocks by a hash; each pair of blocks is a group of its own.
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = rows.join(sizes, bucket).select("node", *bucket, parts.alias("n"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("own"))
+    dealt = nodes.join(sizes, kind).select("node", "weight", "embedding", *kind, parts.alias("n"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("own"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("node", *bucket, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    dealt = dealt.select("node", "t", "dim", (F.col("p") != F.col("q")).alias("two"), "side", F.xxhash64(*bucket, "p", "q").alias("group"))
-    full = dealt.join(coded.select("node", "codes", "embedding", "weight"), "node").repartition("group").sortWithinPartitions("group")
+    dealt = dealt.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
+    full = dealt.select("node", "weight", "embedding", "dim", (F.col("p") != F.col("q")).alias("two"), "side", F.xxhash64(*kind, "p", "q").alias("group"))
+    full = full.repartition("group").sortWithinPartitions("group")
     found = written(block_links(full, cosine), "links")
     degrees = found.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     whole = nodes.join(degrees, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = whole.groupBy("root").agg(F.min("vec_id").alias("component_id"))
     whole = whole.join(names, "root").select(F.col("label").alias("_label"), F.col("embedding").alias("_embedding"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")

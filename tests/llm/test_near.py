@@ -168,3 +168,40 @@ def test_vector_blocks(spark, monkeypatch):
     assert near_vectors.near_vectors(vectors(spark, rows).limit(0)).count() == 0
     half, least = near_vectors.calibrated(0.93)
     assert 0 < least < near_vectors.COUNTED and near_vectors.recall(0.93) > 0.98
+
+
+@pytest.mark.parametrize("block", [16, 2048])
+def test_no_link_lost(spark, monkeypatch, block):
+    """Chains whose smallest vectors meet only by larger ones, and pairs just over and under the threshold: all links, and
+    components as by brute force."""
+    monkeypatch.setattr(near_vectors, "BLOCK", block)
+    rng, rows = np.random.default_rng(21), []
+    for i in range(400 if block > 16 else 40):
+        a, b = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+        for turn in rng.permutation(4):  # each links with the next one only
+            rows.append((len(rows), (np.cos(0.37 * turn) * a + np.sin(0.37 * turn) * b).tolist(), i % 3))
+        if i % 2:
+            c = rng.choice([0.9302, 0.9298])
+            rows.append((len(rows), (c * a - (1 - c * c) ** 0.5 * b).tolist(), i % 3))
+    rows += [(len(rows), [1e-200, 3e-200], 1), (len(rows) + 1, [1e-200, 3.1e-200], 1), (len(rows) + 2, [2e200, 1e200], 2), (len(rows) + 3, [2e200, 1.1e200], 2)]
+    links = []
+    for lab in range(3):
+        own = [r for r in rows[:-4] if r[2] == lab]
+        x = np.array([r[1] for r in own])
+        i, j = np.nonzero(np.triu(x @ x.T / np.outer(*[np.linalg.norm(x, axis=1)] * 2) >= 0.93, 1))
+        links += [(own[a][0], own[b][0]) for a, b in zip(i, j, strict=True)]
+    n = len(rows)
+    links += [(n - 4, n - 3), (n - 2, n - 1)]
+    degree = np.bincount(np.ravel(links), minlength=n)
+    want = roots(range(n), links)
+    got = near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (degree[i], want[i], want[i] == i) for i in range(n)}
+
+
+def test_count_is_a_bound():
+    """No pair at the threshold, however its difference is spread over the lines, falls short of the count."""
+    rng, half, least = np.random.default_rng(3), *near_vectors.calibrated(0.93)
+    for k in range(1, near_vectors.COUNTED + 1):
+        d = np.zeros((1, near_vectors.COUNTED))
+        d[0, rng.permutation(near_vectors.COUNTED)[:k]] = (0.14 / k) ** 0.5
+        assert near_vectors.collisions(np.zeros_like(d), d, half)[0, 0] >= least
