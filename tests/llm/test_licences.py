@@ -57,3 +57,34 @@ def test_many_notices_in_one_text(spark, gap):
         assert licences.scanned(rows, "s").select(F.size("s")).first()[0] == n
         took[n] = time.perf_counter() - began
     assert took[2000] - took[300] < 3.2 * max(took[1000] - took[300], 2.0)
+
+
+PLAIN = "the dog walked over a hill and slept in the sun for many hours "
+SEVERAL = [
+    (["mit", "apache-2.0"], "Released under the MIT License. Licensed under the Apache License, Version 2.0."),
+    (["mit", "apache-2.0"], "dual licensed under the MIT License or the Apache License 2.0"),
+    (["mit", "apache-2.0"], "dual licensed under the MIT License or\nthe Apache License 2.0"),
+    (["gpl", "mit"], "SPDX-License-Identifier: GPL-3.0-or-later OR MIT"),
+    (["cc-by", "cc-by-sa"], "Licensed under CC BY 4.0. Licensed under CC BY-SA 4.0."),
+    (["mit"] * 3, "Released under the MIT License. " * 3),
+    (["reserved", "mit"], "Copyright. All rights reserved. Licensed under the MIT License."),
+    (["gpl", "mit", "cc-by-nc"], f"{PLAIN * 30}This work is licensed under the GNU General Public License, version 3. Released under the MIT License. {PLAIN * 30}Licensed under CC BY-NC 4.0."),
+    # More than whitespace, or other whitespace, between the words of an anchor.
+    (["reserved"], "All rights  reserved."),
+    (["reserved"], "All rights\r\nreserved."),
+    (["public-domain"], " * This is free and unencumbered software released into the public\n * domain."),
+    # Notices without an anchor.
+    (["mit"], "is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    (["bsd"], "Use of this source code is governed by a BSD-style text"),
+    # Words of names alone are nothing.
+    ([], "Er kam mit dem Zug. " * 40),
+    (["unknown"], "No licence at all here, a permission only"),
+    (["mpl-1.1", "apache-2.0"], "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file except in compliance with the License.\nLicensed under the Apache License, Version 2.0."),
+]
+
+
+def test_nothing_left_out(spark):
+    """All notices of a line count, and those without an anchor or with one in other spelling."""
+    rows = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(SEVERAL)], "i int, text string")
+    got = {r.i: sorted(x.family for x in r.s) for r in licences.scanned(rows, "s").collect()}
+    assert got == {i: sorted(families) for i, (families, _) in enumerate(SEVERAL)}
