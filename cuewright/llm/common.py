@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
 import uuid
+from functools import wraps
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Where the public vocabularies lie; every operator takes another folder as a parameter.
 TOKENIZERS = "/opt/tokenizers"
+#: Bytes of texts that near dedup and mixing work on at once; all texts are read, in parts of this size.
+PART_BYTES = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +79,29 @@ def lighten() -> None:
     """Drop what an earlier stage's tasks have left in this Python worker."""
     if _held:
         _held.clear()
-        gc.collect()
+        release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: allocators keep it, and workers live on, idle or not, beside the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU's C library only
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """The function of batches run, that gives its memory back when a task ends."""
+
+    @wraps(run)
+    def out(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return out
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:

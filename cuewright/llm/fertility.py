@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import TOKENIZERS, own_name, per_worker, table, written
+from cuewright.llm.common import TOKENIZERS, own_name, per_worker, table, tidy, written
 from cuewright.llm.words import SPACE, Lexicon, gathered, slices, span_hashes, windows, word_spans
 
 SPACES, SYMBOL = b" \t\n\x0b\x0c\r", np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -82,6 +82,7 @@ def stats(text: Column, vocabulary: str) -> Column:
     names = [x.split()[0] for x in STATS.split(", ")]
 
     @F.arrow_udf(STATS)
+    @tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = per_worker(("pieces", vocabulary), lambda: PieceCoder(vocabulary))
         for column in batches:

@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import forget, lighten, own_name, table, written
+from cuewright.llm.common import PART_BYTES, forget, lighten, own_name, table, tidy, written
 from cuewright.llm.components import components
 from cuewright.llm.words import shingle_sets, slices
 
 BANDS, ROWS, BITS, PIVOT_ROUNDS, SMALL = 24, 4, 2, 2, 48
+#: Sets that are taken apart at once.
+PART = 256
 HASHES = BANDS * ROWS
 PLANES = BITS * (-(-HASHES // 64))
 MULTIPLY, ADD = (np.random.default_rng(7).integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) for _ in range(2))
@@ -66,11 +68,12 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, key (of the set; null if empty), buckets, planes for each row."""
     kinds = "doc_id long, text_hash long, n_shingles long, key binary, buckets array<long>, planes array<long>"
 
+    @tidy
     def run(batches):
         lighten()
         for batch in batches:
             doc_id, text_hash, text = batch.columns
-            for at, data, offsets in slices(text):
+            for at, data, offsets in slices(text, PART_BYTES):
                 sets = shingle_sets(data, offsets)
                 full = [s for s in sets if len(s)]
                 keys = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
@@ -109,10 +112,11 @@ def slack(threshold: float, sigmas: float = 6.0) -> float:
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, shingles (sorted 64-bit hashes as bytes) of nodes (node, doc_id, text_hash), from the whole texts."""
 
+    @tidy
     def run(batches):
         lighten()
         for batch in batches:
-            for at, data, offsets in slices(batch.columns[1]):
+            for at, data, offsets in slices(batch.columns[1], PART_BYTES):
                 yield pa.RecordBatch.from_arrays([batch.columns[0].slice(at, len(offsets) - 1), pa.array([s.tobytes() for s in shingle_sets(data, offsets)], pa.binary())], names=["node", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").alias("text"))
@@ -123,9 +127,10 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
 
+    @tidy
     def run(batches):
         lighten()
-        for batch in batches:
+        for batch in (b.slice(at, PART) for b in batches for at in range(0, len(b), PART)):
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -145,9 +150,10 @@ def linkable(sets: DataFrame, percent: int) -> DataFrame:
     """node, size, free of the sets that may link at all. free is the number of shingles that some other of these sets
     has too: the others can't be shared, so a set with too few of them has no partner. Exact."""
 
+    @tidy
     def run(batches):
         lighten()
-        for batch in batches:
+        for batch in (b.slice(at, PART) for b in batches for at in range(0, len(b), PART)):
             own = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), [len(x) for x in own])), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64))], names=["node", "x"])
 
@@ -210,9 +216,10 @@ def outside_largest(at: DataFrame, percent: int) -> DataFrame:
 def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
     """p, node, root, size, p_size, d (number of shingles that just one of node and pivot p has), element (each of them)."""
 
+    @tidy
     def run(batches):
         lighten()
-        for batch in batches:
+        for batch in (b.slice(at, PART) for b in batches for at in range(0, len(b), PART)):
             parts = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 parts.append(np.setxor1d(np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64), assume_unique=True))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import lighten, own_name, table, written
+from cuewright.llm.common import PART_BYTES, lighten, own_name, table, tidy, written
 from cuewright.llm.words import LOWER, PUNCT, SPACE, STEP, slices, span_hashes, word_hashes, word_spans
 
 DOMAINS = ("good", "poor", "toxic")
@@ -122,10 +122,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
     share = min(1.0, SAMPLE / max(1, own.count()))
     own = own.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else own
 
+    @tidy
     def run(batches):
+        lighten()
         for batch in batches:
             label = batch.column("domain").to_numpy(zero_copy_only=False)
-            for at, data, offsets in slices(batch.column("text")):
+            for at, data, offsets in slices(batch.column("text"), PART_BYTES):
                 x, _ = shapes(data, offsets)
                 w, bounds = word_slots(data, offsets)
                 yield pa.RecordBatch.from_arrays([pa.array(label[at : at + len(x)]), pa.array(list(x), pa.list_(pa.float64())), pa.array([w[a:b].astype(np.int32) for a, b in zip(bounds, bounds[1:], strict=False)], pa.list_(pa.int32()))], names=["domain", "shapes", "words"])
@@ -144,11 +146,12 @@ def memberships(text: Column, model) -> Column:
     """KINDS of whole texts (null: no words) as a struct; model: a broadcast Classifier."""
 
     @F.pandas_udf(KINDS)
+    @tidy
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         lighten()
         own = model.value
         for texts in batches:
-            parts = [own.posterior(data, offsets) for _, data, offsets in slices(pa.array(texts, pa.string(), from_pandas=True))]
+            parts = [own.posterior(data, offsets) for _, data, offsets in slices(pa.array(texts, pa.string(), from_pandas=True), PART_BYTES)]
             p, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros((0, 3)), np.zeros(0))
             yield pd.DataFrame({"n_tokens": n.astype("int64"), **{f"p_{d}": np.round(p[:, j], 9) for j, d in enumerate(DOMAINS)}})
 

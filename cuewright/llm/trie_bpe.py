@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from cuewright.llm.common import TOKENIZERS, per_worker, table
+from cuewright.llm.common import TOKENIZERS, per_worker, table, tidy
 from cuewright.llm.words import Lexicon, gathered, slices, span_hashes
 
 UNIT = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
@@ -229,6 +229,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, with_tokens: bool = False) -
     (ill-formed UTF-8 becomes U+FFFD) and, if asked for, tokens and decoded. A null text is empty; other columns don't
     matter. Rows are independent: no shuffle; repeated rows give the same, an empty text no tokens."""
 
+    @tidy
     def run(batches):
         coder = per_worker(("trie", vocabulary), lambda: TrieCoder(vocabulary))
         for batch in batches:

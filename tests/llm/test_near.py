@@ -205,3 +205,34 @@ def test_count_is_a_bound():
         d = np.zeros((1, near_vectors.COUNTED))
         d[0, rng.permutation(near_vectors.COUNTED)[:k]] = (0.14 / k) ** 0.5
         assert near_vectors.collisions(np.zeros_like(d), d, half)[0, 0] >= least
+
+
+def test_tasks_give_memory_back(spark):
+    """A worker that has finished a task doesn't keep what the task's objects took."""
+    from pathlib import Path
+
+    from cuewright.llm.common import tidy
+
+    def mb():
+        return int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) >> 10
+
+    held = []
+
+    def run(batches):
+        held.extend(bytes(700) for _ in range(200_000))
+        pin = bytes(700)  # the last one keeps the heap's end where it is
+        del held[:-1]
+        yield pin
+
+    before = mb()
+    assert len(list(tidy(run)([]))) == 1 and mb() - before < 40
+
+
+def test_sets_are_taken_apart_in_parts(spark, make, monkeypatch):
+    """Parts of batches give what whole batches give."""
+    texts, want = corpus(), None
+    for part in (10_000, 7):
+        monkeypatch.setattr(near_text, "PART", part)
+        got = sorted((r.doc_id, r.component_id) for r in near_text.near_components(make(texts)).collect())
+        want = want or got
+        assert got == want
