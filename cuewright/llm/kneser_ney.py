@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuewright.llm.common import forget, table, written
@@ -124,22 +124,25 @@ def suffix(length: int) -> Column:
 
 
 def shared(keys: DataFrame, order: int = ORDER) -> DataFrame:
-    """key (of order - 1 symbols) and p, the back-off probability of its last symbol after the others. keys: the different
-    grams of both classes."""
-    levels, now = [], keys
-    for length in range(order - 1, 0, -1):
-        now = now.groupBy(suffix(length).alias("key")).agg(F.count("*").alias("n"))
-        levels.append(now)
-    lower = None
-    for length, own in zip(range(1, order), levels[::-1], strict=True):
-        sums = own.groupBy(context().alias("h")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-        rows = own.join(sums, context() == F.col("h"))
-        if lower is None:
-            base = F.lit(1.0 / SYMBOLS)
-        else:
-            rows, base = rows.join(lower.select(F.col("key").alias("low"), F.col("p").alias("base")), suffix(length - 1) == F.col("low")), F.col("base")
-        lower = rows.select("key", ((F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * base) / F.col("total")).alias("p"))
-    return lower
+    """length, key (of that many symbols, fewer than order), n (how many symbols stand before it), total and kinds of n after
+    its context. keys: the different grams of both classes. All lengths are counted at once, so that the plan stays small."""
+    longer = keys.select(F.inline(F.array(*(F.struct(F.lit(k).alias("length"), suffix(k + 1).alias("longer")) for k in range(1, order))))).distinct()
+    own = longer.select("length", F.col("longer").bitwiseAND(F.expr(f"shiftleft(1L, {BITS} * length) - 1")).alias("key"))
+    own = own.withColumn("h", context()).repartition("length", "h").groupBy("length", "h", "key").agg(F.count("*").alias("n"))
+    after = Window.partitionBy("length", "h")
+    return own.select("length", "key", "n", F.sum("n").over(after).alias("total"), F.count("*").over(after).alias("kinds"))
+
+
+def backed_off(keys: DataFrame, order: int = ORDER) -> DataFrame:
+    """gram and p, the back-off probability of its last symbol after the order - 2 before it, of each of keys: its shorter
+    grams are looked up at once, whatever their lengths, and interpolated from one symbol up."""
+    wanted = keys.select(F.col("key").alias("gram"), F.inline(F.array(*(F.struct(F.lit(k).alias("length"), suffix(k).alias("key")) for k in range(1, order)))))
+    found = wanted.join(shared(keys, order), ["length", "key"]).select("gram", "length", "n", "total", "kinds").repartition("gram")
+    found = found.groupBy("gram").agg(*(F.max(F.when(F.col("length") == k, F.col(c))).alias(f"{c}_{k}") for k in range(1, order) for c in ("n", "total", "kinds")))
+    p = F.lit(1.0 / SYMBOLS)
+    for k in range(1, order):
+        p = (F.greatest(F.col(f"n_{k}") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"kinds_{k}") * p) / F.col(f"total_{k}")
+    return found.select("gram", p.alias("p"))
 
 
 def probabilities(counts: DataFrame, part: bool, order: int = ORDER) -> DataFrame:
@@ -148,8 +151,7 @@ def probabilities(counts: DataFrame, part: bool, order: int = ORDER) -> DataFram
     own = counts.select("key", *(F.col(c).alias(k) for k, c in names.items())).where("toxic + ordinary > 0")
     sums = [x for k in names for x in (F.sum(k).alias(f"{k}_total"), F.count_if(F.col(k) > 0).alias(f"{k}_kinds"))]
     contexts = own.groupBy(context().alias("h")).agg(*sums)
-    low = shared(own.select("key"), order).select(F.col("key").alias("low"), "p")
-    rows = own.join(contexts, context() == F.col("h")).join(low, suffix(order - 1) == F.col("low"))
+    rows = own.join(contexts, context() == F.col("h")).join(backed_off(own.select("key"), order), F.col("key") == F.col("gram"))
     back = lambda k: F.when(F.col(f"{k}_total") > 0, DISCOUNT * F.col(f"{k}_kinds") / F.col(f"{k}_total")).otherwise(1.0)
     seen = lambda k: F.when(F.col(f"{k}_total") > 0, F.greatest(F.col(k) - DISCOUNT, F.lit(0.0)) / F.col(f"{k}_total")).otherwise(0.0)
     found = rows.select("key", *((seen(k) + back(k) * F.col("p")).alias(f"p_{k}") for k in names))

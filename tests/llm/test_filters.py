@@ -381,6 +381,29 @@ def test_kneser_ney_by_definition(spark, make, monkeypatch, most):
         assert got[k][-1] == pytest.approx(np.maximum(r - 2, 0).sum() / len(r) ** 0.5, abs=1e-4)
 
 
+def test_kneser_ney_plan(spark):
+    """One exchange serves all lengths of grams: the driver's memory goes with the plan. Back-offs over all lengths equal
+    those of the definition."""
+    rng = np.random.default_rng(4)
+    grams = {tuple(rng.choice([kneser_ney.START, 98, 99, 256, kneser_ney.END], kneser_ney.ORDER).tolist()) for _ in range(500)}
+    key = lambda g: sum(int(x) << kneser_ney.BITS * i for i, x in enumerate(g[::-1]))
+    counts = spark.createDataFrame([(key(g), i % 3, 1, 0, i % 2) for i, g in enumerate(sorted(grams))], "key long, toxic long, ordinary long, toxic_part long, ordinary_part long")
+    exchanges = {n: kneser_ney.probabilities(counts, True, n)._jdf.queryExecution().executedPlan().toString().count("Exchange ") for n in (3, 6)}
+    assert exchanges[3] == exchanges[6] <= 10
+    levels = {kneser_ney.ORDER - 1: Counter(g[1:] for g in grams)}
+    for n in range(kneser_ney.ORDER - 2, 0, -1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+
+    def low(g):
+        if not g:
+            return 1 / 257
+        own = [n for x, n in levels[len(g)].items() if x[:-1] == g[:-1]]
+        return (levels[len(g)][g] - 0.75 + 0.75 * len(own) * low(g[1:])) / sum(own)
+
+    got = {r.gram: r.p for r in kneser_ney.backed_off(counts.select("key")).collect()}
+    assert len(got) == len(grams) and all(got[key(g)] == pytest.approx(low(g[1:]), rel=1e-12) for g in grams)
+
+
 def test_mixing(spark, make):
     good, bad = [prose(60, k) for k in range(60)], [" ".join(["@@ $$ %%"] * 30 + prose(20, k).split()) for k in range(30)]
     docs = make([*good, *bad, None, ""])
