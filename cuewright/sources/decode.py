@@ -18,18 +18,35 @@ SINGLE_BYTE = {
 UTF8, UTF8_BOM, LE, BE, SINGLE, MIXED = "utf-8", "utf-8-bom", "utf-16-le", "utf-16-be", "windows-1254", "karisik"
 
 
-#: 16-bit units as four hexadecimal digits and a space each: a first surrogate without a second, a second without a first.
-LONE = r"(?<![0-9A-F])D[89AB].. (?!D[C-F])|(?<!D[89AB].. )(?<![0-9A-F])D[C-F].. "
+#: UTF-16 bytes as Latin-1 characters: well-formed units (group 1), then a first surrogate without a second or a second without
+#: a first. The runs are possessive, so Java walks them in a loop, whatever their length.
+LONE = {BE: r"(?s)\G((?:[^Ø-ß].|[Ø-Û].[Ü-ß].)*+)[Ø-ß].", LE: r"(?s)\G((?:.[^Ø-ß]|.[Ø-Û].[Ü-ß])*+).[Ø-ß]"}
 
+#: U+FFFD in such characters; Spark's names.
+MARK, CHARSET = {BE: "ÿý", LE: "ýÿ"}, {BE: "UTF-16BE", LE: "UTF-16LE"}
 
-def utf16(body: Column, big: Column) -> tuple[Column, Column]:
-    """UTF-16 bytes as text with lone surrogates as U+FFFD, and how many units were bad, a last odd byte among them. Spark's
-    decoder raises on lone surrogates, so they are repaired first."""
-    units = F.regexp_replace(F.hex(body), "([0-9A-F]{2})([0-9A-F]{2})", F.when(big, "$1$2 ").otherwise("$2$1 "))
-    units = F.regexp_replace(units, "(?<![0-9A-F])[0-9A-F]{2}$", "")
-    whole = F.replace(F.regexp_replace(units, LONE, "FFFD "), F.lit(" "), F.lit(""))
-    bad = F.regexp_count(units, F.lit(LONE)) + F.length(body) % 2
-    return F.decode(F.unhex(whole), "UTF-16BE"), bad.cast("bigint")
+
+def once(x: Column, of) -> Column:
+    """of(x) with x computed once, however often it is used there."""
+    return F.get(F.transform(F.array(x), of), F.lit(0))
+
+
+def utf16(body: Column, big: Column) -> Column:
+    """UTF-16 bytes as a struct: text, with lone surrogates as U+FFFD; bad, how many units were bad, a last odd byte among them;
+    fffd, the text's replacement marks. Spark's decoder raises on lone surrogates, so they are repaired first."""
+    pick = lambda of: F.when(big, of(BE)).otherwise(of(LE))
+    even = F.substring(body, F.lit(1), F.length(body) - F.length(body) % 2)
+    # A lone surrogate's two bytes become one character that no byte is, so lengths tell how many there are.
+    marked = pick(lambda e: F.regexp_replace(latin(even), LONE[e], "$1�"))
+
+    def read(m: Column) -> Column:
+        lone = F.length(even) - F.length(m)
+        whole = F.when(lone == 0, even).otherwise(F.encode(F.replace(m, F.lit("�"), pick(lambda e: F.lit(MARK[e]))), "ISO-8859-1"))
+        text = pick(lambda e: F.decode(whole, CHARSET[e]))
+        bad = (lone + F.length(body) % 2).cast("bigint")
+        return once(text, lambda t: F.struct(t.alias("text"), bad.alias("bad"), times(t, "�").alias("fffd")))
+
+    return once(marked, read)
 
 
 def bom(content) -> tuple[Column, Column, Column]:
@@ -84,10 +101,13 @@ def decoded(files: DataFrame, content: str = "content") -> DataFrame:
     name = F.when(mixed, MIXED).when(~valid, SINGLE).otherwise(F.coalesce("_mark", F.lit(UTF8)))
     report = F.struct(name.alias("encoding"), F.col("_mark").isNotNull().alias("has_bom"), bad.alias("bad_seq"), lost.alias("fffd"), mixed.alias("mixed"), F.when(valid, zero).otherwise(other).alias("single_byte_lines"), F.array_compact(F.array("_note", remark)).alias("notes"))
     wide = F.coalesce(wide, F.lit(False))
-    own, bad_units = utf16(F.when(wide, body), F.col("_mark") == BE)
-    text = F.when(wide, own).otherwise(plain)
-    other = F.struct(F.col("_mark").alias("encoding"), F.lit(True).alias("has_bom"), bad_units.alias("bad_seq"), times(own, "�").alias("fffd"), F.lit(False).alias("mixed"), zero.alias("single_byte_lines"), F.array("_note").alias("notes"))
-    found = F.struct(text.alias("text"), F.when(wide, other.cast(REPORT)).otherwise(report.cast(REPORT)).alias("encoding"))
+
+    def units(x: Column) -> Column:
+        other = F.struct(F.col("_mark").alias("encoding"), F.lit(True).alias("has_bom"), x["bad"].alias("bad_seq"), x["fffd"].alias("fffd"), F.lit(False).alias("mixed"), zero.alias("single_byte_lines"), F.array("_note").alias("notes"))
+        return F.struct(x["text"].alias("text"), other.cast(REPORT).alias("encoding"))
+
+    own = once(utf16(body, F.col("_mark") == BE), units)
+    found = F.when(wide, own).otherwise(F.struct(plain.alias("text"), report.cast(REPORT).alias("encoding")))
     # Exploding one element keeps the optimizer from copying these long expressions to each place that reads the text.
     return rows.select(*files.columns, F.explode(F.array(found)).alias("_f")).select(*files.columns, "_f.*")
 

@@ -1,5 +1,9 @@
 """Boundary rows of rules, times and frames, damaged inputs and encodings."""
 
+import hashlib
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +141,32 @@ def test_encodings(spark):
     assert got == list(cases.values())
 
 
+def test_wide_units(spark):
+    """Every order of surrogates, and bytes that look like halves of them, as Python's decoder reads them."""
+    rng, own = random.Random(1), [0x41, 0xD83D, 0xDE00, 0xD800, 0xDFFF, 0xFFFD, 0x0A, 0x85, 0x2028, 0xD8, 0xDC, 0xD7FF, 0xE000, 0xFEFF, 0xFFFE, 0, 0xD8DC]
+    cases = []
+    for k in range(400):
+        order = ("little", "big")[k % 2]
+        body = b"".join(rng.choice(own).to_bytes(2, order) for _ in range(rng.randint(0, 14)))
+        text = body.decode(f"utf-16-{order[0]}e", "replace")
+        bad = text.count("�") - sum(body[i : i + 2] == (0xFFFD).to_bytes(2, order) for i in range(0, len(body), 2))
+        cases.append(((0xFEFF).to_bytes(2, order) + body + b"\xd8" * (k % 3 == 0), text, bad + (k % 3 == 0)))
+    df = spark.createDataFrame([(i, bytearray(c[0])) for i, c in enumerate(cases)], "i int, content binary")
+    got = [(r.text, r.encoding.bad_seq, r.encoding.fffd) for r in decoded(df).orderBy("i").collect()]
+    assert got == [(text, bad, text.count("�")) for _, text, bad in cases]
+
+
+def test_wide_texts_in_seconds(spark):
+    """A text of eight million bytes, a lone surrogate in its middle, is matched once, not unit by unit for each column."""
+    half = "aß\n中" * 500_000
+    content = b"\xff\xfe" + half.encode("utf-16-le") + b"\x3d\xd8" + half.encode("utf-16-le")
+    df = spark.createDataFrame([(1, bytearray(content))], "id int, content binary")
+    rows = decoded(df).select(F.length("text"), F.sha2("text", 256), "encoding.bad_seq", "encoding.fffd")
+    began = time.perf_counter()
+    assert tuple(rows.first()) == (4_000_001, hashlib.sha256((half + "�" + half).encode()).hexdigest(), 1, 1)
+    assert time.perf_counter() - began < 8
+
+
 def test_profile_files(spark, tmp_path):
     from cuewright.sources.io import read_profile
 
